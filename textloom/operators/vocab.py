@@ -52,7 +52,7 @@ def pair_counts(words: DataFrame, symbols: Column, weight: str = "n") -> DataFra
     """(left, right, n) over a word table whose rows weigh ``weight``."""
     pairs = F.arrays_zip(symbols.alias("l"), F.slice(symbols, F.lit(2), F.size(symbols)).alias("r"))
     zipped = words.filter(F.size(symbols) > 1).select(F.explode(pairs).alias("p"), weight)
-    zipped = zipped.select(F.col("p.0").alias("left"), F.col("p.1").alias("right"), weight)
+    zipped = zipped.select(F.col("p.l").alias("left"), F.col("p.r").alias("right"), weight)
     return zipped.filter("right IS NOT NULL").groupBy("left", "right").agg(F.sum(weight).alias("n"))
 
 
