@@ -126,11 +126,9 @@ def ngrams(tokens: Column, n: int) -> Column:
     """Space-joined n-grams of a token array."""
     if n == 1:
         return tokens
-    last = F.size(tokens) - F.lit(n - 1)
-    return F.when(
-        last >= 1,
-        F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(tokens, i, n), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+    size = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    heads = F.slice(ngrams(tokens, n - 1), F.lit(1), size)
+    return F.zip_with(heads, F.slice(tokens, F.lit(n), size), lambda head, last: F.concat(head, F.lit(" "), last))
 
 
 def format_size(n_bytes: Column) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.encoding import MAX_VOCAB, decode_column, encode_column, vocab_dict
-from textloom.operators.vocab import pair_counts
 from textloom.session import collect_bounded, pin
 
 END = "</w>"
@@ -35,17 +34,44 @@ def _merge_symbols(symbols: list[str], ranks: dict[tuple[str, str], int]) -> lis
     return symbols
 
 
-def _merged_table(state: DataFrame, batch: list[tuple[str, str]]) -> DataFrame:
+def _merged_lines(symbols: list[str], merges: list[tuple[str, str]]) -> list[str]:
+    """Apply merges in order to words whose symbols stand between single spaces.
+
+    ``" a  b  c "``: neighbours never share a space, so replacing text merges every occurrence.
+    All words of a batch are one string, one word per line.
+    """
+    text = "\n".join(symbols)
+    for left, right in merges:
+        text = text.replace(f" {left}  {right} ", f" {left}{right} ")
+    return text.split("\n")
+
+
+def _merged_table(state: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     """The word table after a list of merges; words that became one symbol are finished."""
-    ranks = {pair: i for i, pair in enumerate(batch)}
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            merged = [_merge_symbols(list(s), ranks) for s in pdf["symbols"]]
-            kept = [(s, n) for s, n in zip(merged, pdf["n"]) if len(s) > 1]
-            yield pd.DataFrame(kept, columns=["symbols", "n"])
+            lines = pd.Series(_merged_lines(list(pdf["symbols"]), merges), dtype=object)
+            out = pd.DataFrame({"symbols": lines, "n": pdf["n"].to_numpy()}) if len(pdf) else pdf
+            yield out[out["symbols"].str.contains("  ", regex=False)] if len(out) else out
+
+    return state.mapInPandas(apply, "symbols string, n bigint")
+
+
+def _pair_totals(state: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """(left, right, n) after a list of merges; pairs are combined inside each task first."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple[str, str], int] = {}
+        for pdf in batches:
+            for line, n in zip(_merged_lines(list(pdf["symbols"]), merges), pdf["n"]):
+                parts = line.split()
+                for pair in zip(parts, parts[1:]):
+                    found[pair] = found.get(pair, 0) + n
+        yield pd.DataFrame([(a, b, n) for (a, b), n in found.items()], columns=["left", "right", "n"])
 
-    return state.mapInPandas(apply, "symbols array<string>, n bigint") if batch else state
+    pairs = state.mapInPandas(count, "left string, right string, n bigint")
+    return pairs.groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
 def independent_prefix(ranked: list[tuple[str, str, int]], complete: bool) -> list[tuple[str, str]]:
@@ -81,12 +107,13 @@ def bpe_train(counts: DataFrame, num_merges: int, end_mark: str | None = END, to
         raise ValueError(f"at most {MAX_VOCAB} merges")
     chars = F.filter(F.split("word", ""), lambda c: c != "")
     symbols = F.concat(chars, F.array(F.lit(end_mark))) if end_mark else chars
-    state = counts.select(symbols.alias("symbols"), "n").filter(F.size("symbols") > 1)
+    line = F.concat(F.lit(" "), F.array_join(symbols, "  "), F.lit(" "))
+    state = counts.select(line.alias("symbols"), "n").filter(F.contains("symbols", F.lit("  ")))
     state = pin(state.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "bpe-words")
     merges: list[tuple[str, str]] = []
     pending: list[tuple[str, str]] = []
     while len(merges) < num_merges:
-        pairs = pair_counts(_merged_table(state, pending), F.col("symbols"))
+        pairs = _pair_totals(state, pending)
         ranked = pairs.orderBy(F.desc("n"), "left", "right").limit(top).collect()
         if not ranked:
             break
@@ -94,7 +121,7 @@ def bpe_train(counts: DataFrame, num_merges: int, end_mark: str | None = END, to
         batch = batch[: num_merges - len(merges)]
         merges.extend(batch)
         pending.extend(batch)
-        if len(pending) >= 500:
+        if len(pending) >= 128:
             state, pending = pin(_merged_table(state, pending), "bpe-words"), []
     rows = [(i, left, right, left + right, BASE_SIZE + i) for i, (left, right) in enumerate(merges)]
     return spark.createDataFrame(rows, "rank int, left string, right string, merged string, id bigint")

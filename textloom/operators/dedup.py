@@ -189,22 +189,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     )
     both = pin(both, "cc-edges")
     degree = pin(both.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "cc-degree")
-    labels = pin(degree.select("id", F.col("id").alias("cluster")), "cc-labels")
-    for _ in range(max_rounds):
+    labels = degree.select("id", F.col("id").alias("cluster"))
+    for turn in range(max_rounds):
         heard = lookup(both, labels, "id", counts=degree).groupBy(F.col("nb").alias("id"))
         heard = heard.agg(F.min("cluster").alias("heard"))
         step = labels.join(heard, "id", "left").select(
             "id", "cluster", F.least("cluster", "heard").alias("next")
         )
-        step = pin(step, "cc-step")
-        targets = step.select(F.col("id").alias("next"), F.col("next").alias("jump"))
-        jumped = lookup(step, targets, "next", how="left").select(
-            "id", "cluster", F.least(F.coalesce("jump", "next"), "next").alias("next")
-        )
-        jumped = pin(jumped, "cc-round")
-        changed = jumped.filter("next < cluster").limit(1).count()
-        labels = jumped.select("id", F.col("next").alias("cluster"))
-        if not changed:
+        if turn >= 2:
+            # Near copies settle in two rounds; longer chains also jump to their label's label.
+            step = pin(step, "cc-step")
+            targets = step.select(F.col("id").alias("next"), F.col("next").alias("jump"))
+            jumped = F.least(F.coalesce("jump", "next"), "next")
+            step = lookup(step, targets, "next", how="left").select("id", "cluster", jumped.alias("next"))
+        step = pin(step, "cc-round")
+        labels = step.select("id", F.col("next").alias("cluster"))
+        if step.filter("next < cluster").isEmpty():
             return labels
     raise RuntimeError("components did not settle")
 

@@ -69,8 +69,17 @@ def tfidf(
     kept = kept.select("term", idf)
     bounded = max_features is not None and max_features <= 100_000
     weighed = counts.join(F.broadcast(kept) if bounded else kept, "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return weighed.join(norms, key).select(key, "term", "tf", (F.col("raw") / F.col("norm")).alias("weight"))
+    return unit_length(weighed, key).select(key, "term", "tf", "weight")
+
+
+def unit_length(weighed: DataFrame, key: str) -> DataFrame:
+    """Add ``weight``: ``raw`` scaled to unit length per key.
+
+    A window over the key (one row's terms) reads its input once; a group and join back would
+    compute it twice.
+    """
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return weighed.withColumn("weight", F.col("raw") / norm)
 
 
 def top_terms(weights: DataFrame, key: str, k: int = 10) -> DataFrame:
@@ -83,25 +92,24 @@ def top_terms(weights: DataFrame, key: str, k: int = 10) -> DataFrame:
 def skipgram_pairs(df: DataFrame, tokens: Column, vocab: DataFrame, window: int = 5) -> DataFrame:
     """(target, context, n): ids of words at most ``window`` apart, both in the vocabulary.
 
-    The window is a slice of the row's own token array. Word pairs are counted before the
+    The window is a slice of the row's own token array. Only words that follow are paired: the
+    pairs that precede are the same ones turned round. Word pairs are counted before the
     vocabulary is joined, so frequent words travel as counts.
     """
     around = df.withColumn("_t", tokens).filter(F.size("_t") > 1)
     pairs = F.transform(
-        F.col("_t"),
-        lambda t, i: F.struct(
-            t.alias("t"),
-            F.concat(
-                F.slice(F.col("_t"), F.greatest(i - window + 1, F.lit(1)), F.least(i, F.lit(window))),
-                F.slice(F.col("_t"), i + 2, F.lit(window)),
-            ).alias("c"),
-        ),
+        F.col("_t"), lambda t, i: F.struct(t.alias("t"), F.slice(F.col("_t"), i + 2, F.lit(window)).alias("c"))
     )
     words = around.select(F.inline(pairs)).select("t", F.explode("c").alias("c"))
     counted = words.groupBy("t", "c").agg(F.count(F.lit(1)).alias("n"))
-    target = vocab.select(F.col("word").alias("t"), F.col("id").alias("target"))
-    context = vocab.select(F.col("word").alias("c"), F.col("id").alias("context"))
-    return counted.join(target, "t").join(context, "c").select("target", "context", "n")
+    first = vocab.select(F.col("word").alias("t"), F.col("id").alias("a"))
+    second = vocab.select(F.col("word").alias("c"), F.col("id").alias("b"))
+    known = counted.join(first, "t").join(second, "c").select("a", "b", "n")
+    turned = F.array(
+        F.struct(F.col("a").alias("target"), F.col("b").alias("context"), "n"),
+        F.struct(F.col("b").alias("target"), F.col("a").alias("context"), "n"),
+    )
+    return known.select(F.inline(turned)).groupBy("target", "context").agg(F.sum("n").alias("n"))
 
 
 def sum_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:

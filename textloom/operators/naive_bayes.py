@@ -50,7 +50,7 @@ def words_by_threshold(freqs: DataFrame, label: int, threshold: float) -> DataFr
 
 def nb_train(df: DataFrame, tokens: Column, label: str) -> DataFrame:
     """(word, n, loglikelihood, logprior). ``n`` is the word's training count."""
-    freqs = pos_neg(class_word_freqs(df, tokens, label))
+    freqs = pin(pos_neg(class_word_freqs(df, tokens, label)), "word-classes")
     totals = freqs.agg(F.count(F.lit(1)).alias("v"), F.sum("positive").alias("np"), F.sum("negative").alias("nn"))
     t = scalar(totals, F.col("v"), F.col("np"), F.col("nn"))
     classes = df.agg(
@@ -85,7 +85,7 @@ def nb_errors(scored: DataFrame, label: str) -> DataFrame:
 
 def freq_features(df: DataFrame, key: str, tokens: Column, freqs: DataFrame) -> DataFrame:
     """(key, x0, x1, x2): bias, summed positive and negative counts of the row's words."""
-    wide = pos_neg(freqs).withColumn("n", F.col("positive") + F.col("negative"))
+    wide = pin(pos_neg(freqs).withColumn("n", F.col("positive") + F.col("negative")), "word-classes")
     hits = lookup(doc_words(df, key, tokens), wide.select("word", "positive", "negative"), "word", counts=wide)
     sums = hits.groupBy(key).agg(
         F.sum(F.col("c") * F.col("positive")).alias("x1"), F.sum(F.col("c") * F.col("negative")).alias("x2")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
+from textloom.operators import clean as cl
 from textloom.operators import datasets as ds
 from textloom.operators import features as ft
 from textloom.operators import models as ml
@@ -164,7 +165,8 @@ LABELLED = f"""{CLEAN_DOCS},
 def labelled(spark, sf):
     """(doc_id, label, tokens): labelled documents without stop words."""
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    docs = cleaned(spark, sf).join(labels, "doc_id")
+    docs = documents(spark, sf).select("doc_id", "content").join(labels, "doc_id")
+    docs = cl.normalize_whitespace(cl.clean(docs))
     return docs.select("doc_id", "label", tx.drop_stop_words(tx.words(F.col("content_clean"))).alias("tokens"))
 
 
@@ -222,7 +224,7 @@ def labelled_words(spark, sf):
 )
 def lookup_join(spark, sf):
     """Words of each document with their count in class 0, 0 when never seen there."""
-    all_counts = freqs(spark, sf)
+    all_counts = pin(freqs(spark, sf), "word-classes")
     negative = all_counts.filter("label = 0").select("word", "n")
     joined = lookup(labelled_words(spark, sf), negative.withColumnRenamed("n", "freq"), "word", counts=negative, how="left")
     return joined.select("doc_id", "word", "c", F.coalesce("freq", F.lit(0)).alias("freq"))

@@ -68,14 +68,28 @@ def pair_counts(spark, sf):
 
 BPE_MERGES = 64
 
+# Tables trained in this session: encoding and decoding reuse them as long as the session lives.
+_TRAINED: dict[tuple[str, str, str], object] = {}
+
+
+def trained(spark, sf, name, train):
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _TRAINED:
+        _TRAINED[key] = train(spark, sf)
+    return _TRAINED[key]
+
 
 def merges(spark, sf):
+    return trained(spark, sf, "bpe", train_merges)
+
+
+def train_merges(spark, sf):
     return pin(bpe.bpe_train(vc.word_counts(documents(spark, sf), tx.words(F.col("content"))), BPE_MERGES), "merges")
 
 
 @query("bpe_train")
 def bpe_train(spark, sf):
-    return merges(spark, sf)
+    return train_merges(spark, sf)
 
 
 @query("bpe_encode")
@@ -112,10 +126,14 @@ PIECES = f"""{CHARS}, {CLEAN_TOKENS.strip()},
         SELECT token, rk - 1 + (SELECT COUNT(*) FROM chars) FROM pieces WHERE rk <= {WORDPIECE_SIZE} - (SELECT COUNT(*) FROM chars)""",
 )
 def wordpiece_train(spark, sf):
-    return wordpiece_vocab(spark, sf)
+    return train_wordpiece(spark, sf)
 
 
 def wordpiece_vocab(spark, sf):
+    return trained(spark, sf, "wordpiece", train_wordpiece)
+
+
+def train_wordpiece(spark, sf):
     chars = vc.char_vocab(documents(spark, sf), "content")
     return pin(wp.wordpiece_train(counts(spark, sf), chars, WORDPIECE_SIZE), "wordpiece")
 
@@ -141,13 +159,17 @@ UNIGRAM_SIZE = 1000
 
 
 def unigram_vocab(spark, sf):
+    return trained(spark, sf, "unigram", train_unigram)
+
+
+def train_unigram(spark, sf):
     words_ = vc.word_counts(cleaned(spark, sf), clean_words())
     return pin(unigram.unigram_train(words_, UNIGRAM_SIZE, seeds=10_000, coverage=1.0), "unigram")
 
 
 @query("unigram_train")
 def unigram_train(spark, sf):
-    return unigram_vocab(spark, sf)
+    return train_unigram(spark, sf)
 
 
 @query("unigram_encode")
