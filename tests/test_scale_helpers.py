@@ -11,6 +11,7 @@ from textloom.operators import dedup as dd
 from textloom.operators import retrieval as rt
 from textloom.operators import vectors as vt
 from textloom.operators.ordering import head_split, row_index
+from textloom.operators import skew
 from textloom.operators.skew import lookup
 
 
@@ -26,7 +27,9 @@ def test_head_split(spark, n, ratio):
     assert sorted(r["k"] for r in df.filter("split = 'train'").collect()) == list(range(int(n * ratio)))
 
 
-def test_lookup_equals_join_with_a_hot_key(spark):
+@pytest.mark.parametrize("hot_rows", [0, 100_000])
+def test_lookup_equals_join_with_a_hot_key(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
     many = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(3000)], "id int, k string")
     one = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 3000, 6)], "k string, v int")
     for how in ("inner", "left"):
@@ -89,8 +92,9 @@ def brute_pairs(rows, threshold):
     return out
 
 
-@pytest.mark.parametrize("threshold", [0.9, 0.7])
-def test_near_duplicates_equal_brute_force(spark, threshold):
+@pytest.mark.parametrize("threshold,hot_rows", [(0.9, 0), (0.7, 100_000)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, threshold, hot_rows):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
     rows = near_copies()
     df = spark.createDataFrame(rows, "id int, t string")
     pairs = brute_pairs(rows, threshold)
