@@ -84,7 +84,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return pin(rows.mapInArrow(run, "doc_id long, part int, before long, doc_tokens long, ids binary"), "token-ids")
+    return pin(rows.mapInArrow(run, "doc_id long, part int, before long, doc_tokens long, ids binary"), "token-ids", compression="zstd")
 
 
 def pieces(tokens: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import datasource as ds
 from pyspark.sql.types import StructType
 
 from textloom.operators.skew import lookup
-from textloom.session import fresh_path
+from textloom.session import fresh_path, pin
 
 SCHEMA = (
     "record_id string, warc_type string, warc_date string, target_uri string, payload_digest string, "
@@ -279,6 +279,8 @@ def page_records(pages: DataFrame, least: int = 100) -> DataFrame:
     rows = rows.withColumn("http_length", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
     large = rows.filter((F.col("http_length") >= least) & F.col("page_id").isNotNull())
     owners = large.groupBy("digest").agg(F.min("page_id").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Pinned, its size is known: where few payloads repeat, the join sends them to the pages instead of moving pages.
+    owners = pin(owners, "payload-owners")
     rows = lookup(rows, owners.select("digest", "owner"), "digest", counts=owners, how="left")
     again = F.coalesce(F.col("page_id") > F.col("owner"), F.lit(False))
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
