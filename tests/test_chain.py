@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textloom.operators import clean as cl
 from textloom.plans.preprocess import PreprocessConfig, preprocess, run_preprocess
 from textloom.sources import readers as rd
+from textloom.sources import schemas
 from textloom.sources import writers as wr
 from textloom.streaming.corpus import preprocess_stream
 
@@ -51,10 +52,10 @@ def test_missing_columns_and_methods(spark):
 
 def test_readers(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"id": "1", "content": "x", "metadata": {"url": "u"}}, {"id": "2"}]))
-    rows = rd.read_corpus(spark, str(tmp_path / "a.json")).orderBy("id").collect()
+    rows = rd.read_corpus(spark, str(tmp_path / "a.json"), schemas.DOCUMENT).orderBy("id").collect()
     assert rows[0]["metadata"] == {"url": "u"} and rows[1]["content"] is None
     (tmp_path / "empty.json").write_text("[]")
-    assert rd.read_json(spark, str(tmp_path / "empty.json")).columns == ["id", "content", "metadata", "source", "timestamp"]
+    assert rd.read_json(spark, str(tmp_path / "empty.json"), schemas.DOCUMENT).columns == ["id", "content", "metadata", "source", "timestamp"]
     (tmp_path / "c.csv").write_text("other,content\n1,hello\n2,\n")
     assert [r["text"] for r in rd.load_corpus_texts(spark, str(tmp_path / "c.csv")).collect()] == ["hello"]
     (tmp_path / "s.json").write_text(json.dumps(["one", "two", ""]))

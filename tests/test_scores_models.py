@@ -97,8 +97,8 @@ def test_job_log_edges(spark):
     )
     assert jl.avg_duration(jobs).first()[0] == 0.0
     history = spark.createDataFrame([("a", e, s) for e, s in enumerate([0.5, 0.9, 0.9, 0.6])], "run string, epoch int, score double")
-    assert tuple(jl.best_epoch(history).first()) == ("a", 1, 0.9)
-    assert tuple(jl.best_epoch(history, False).first()) == ("a", 0, 0.5)
+    assert tuple(jl.best_epoch(history, "score").first()) == ("a", 1, 0.9)
+    assert tuple(jl.best_epoch(history, "score", False).first()) == ("a", 0, 0.5)
     assert jl.early_stop(history).first()["stop"] is True
     assert jl.early_stop(history, patience=4).first()["stop"] is False
 

@@ -15,6 +15,7 @@ class _Page(HTMLParser):
         self.open: list[tuple[str, dict[str, str]]] = []
         self.texts: list[tuple[str, tuple[tuple[str, dict[str, str]], ...]]] = []
         self.anchors: list[tuple[str, str, bool]] = []
+        self.hrefs: list[str] = []
 
     def handle_starttag(self, tag, attrs):
         values = {k: v or "" for k, v in attrs}
@@ -24,6 +25,8 @@ class _Page(HTMLParser):
             items = [i for i, (t, c) in enumerate(path) if t == "li" and "b_algo" in c]
             in_result = bool(items) and any(t == "h2" for t, _ in path[items[0] + 1 :])
             self.anchors.append((values.get("class", ""), values.get("href", ""), in_result))
+            if "href" in values:
+                self.hrefs.append(values["href"])
         if tag not in VOID:
             self.open.append((tag, values))
 
@@ -74,3 +77,8 @@ def book_body(html: str) -> str:
 def anchors(html: str) -> list[tuple[str, str, bool]]:
     """(class, href, is a result heading) of every anchor in order."""
     return parse(html).anchors
+
+
+def hrefs(html: str) -> list[str]:
+    """Decoded target of every anchor that has one, however it is quoted, in order."""
+    return parse(html).hrefs

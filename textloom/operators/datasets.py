@@ -31,7 +31,8 @@ def map_labels(df: DataFrame, label: str, mapping: dict | None = None) -> DataFr
     if mapping:
         pairs = [F.lit(x) for kv in mapping.items() for x in kv]
         return df.withColumn("label_id", F.coalesce(F.create_map(*pairs)[F.col(label)], F.lit(0)))
-    return df.join(label_map(df, label), label)
+    ids = label_map(df, label).withColumnRenamed(label, "_label")
+    return df.join(ids, F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
 
 
 def prepare_classification(df: DataFrame, key: list[str], mapping: dict | None = None, ratio: float = 0.8) -> DataFrame:
@@ -59,9 +60,10 @@ def per_class_split(df: DataFrame, label: str, key: str, n: int = 4000) -> DataF
     """
     w = Window.partitionBy(label).orderBy(key)
     heads = df.select(label, key).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
-    bounds = heads.groupBy(label).agg(F.max(key).alias("_last"))
-    flagged = df.join(bounds, label)
-    return flagged.withColumn("split", F.when(F.col(key) <= F.col("_last"), "train").otherwise("test")).drop("_last")
+    bounds = heads.groupBy(F.col(label).alias("_label")).agg(F.max(key).alias("_last"))
+    # Rows without a class are a class of their own.
+    flagged = df.join(bounds, F.col(label).eqNullSafe(F.col("_label")), "left")
+    return flagged.withColumn("split", F.when(F.col(key) <= F.col("_last"), "train").otherwise("test")).drop("_label", "_last")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -124,13 +126,11 @@ def format_instructions(turns: DataFrame, add_eos: bool = True) -> DataFrame:
     )
 
 
-def format_chats(turns: DataFrame, part_turns: int = 1024, add_eos: bool = True) -> DataFrame:
-    """(conv_id, part, chat): turns rendered in order; very long conversations come in parts."""
+def format_chats(turns: DataFrame, add_eos: bool = True) -> DataFrame:
+    """(conv_id, chat): the turns of a conversation rendered in order. One output row is one conversation."""
     line = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit(EOS if add_eos else ""))
-    grouped = turns.groupBy("conv_id", F.floor(F.col("turn") / part_turns).cast("bigint").alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("lines")
-    )
-    return grouped.select("conv_id", "part", F.array_join(F.col("lines.line"), "\n").alias("chat"))
+    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("lines"))
+    return grouped.select("conv_id", F.array_join(F.col("lines.line"), "\n").alias("chat"))
 
 
 def chunk_list(df: DataFrame, key: str, size: int) -> DataFrame:

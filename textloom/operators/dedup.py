@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -42,10 +43,12 @@ def band_layout(threshold: float, miss: float = 1e-6, max_hashes: int = 128) ->
     best = None
     for rows in range(1, 17):
         hit = threshold**rows
-        bands = 1 if hit >= 1 else math.ceil(math.log(miss) / math.log(1 - hit))
+        bands = 1 if hit >= 1 else math.ceil(math.log(miss) / math.log1p(-hit))
         if bands * rows <= max_hashes:
             best = (bands, rows)
-    return best or (max_hashes, 1)
+    if best is None:
+        raise ValueError(f"no layout of {max_hashes} hashes finds pairs at {threshold} with miss chance {miss}")
+    return best
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -178,7 +181,7 @@ def near_dup_links(df: DataFrame, id_col: str, text: str, threshold: float = 0.9
     return first.unionByName(copy_rows)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, cluster): smallest id reachable over ``edges(a, b)``; only ids that have an edge.
 
     Minimum labels spread along edges, then jump to their label's label; each round is pinned.
@@ -190,7 +193,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     both = pin(both, "cc-edges")
     degree = pin(both.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "cc-degree")
     labels = degree.select("id", F.col("id").alias("cluster"))
-    for turn in range(max_rounds):
+    for turn in itertools.count():
         heard = lookup(both, labels, "id", counts=degree).groupBy(F.col("nb").alias("id"))
         heard = heard.agg(F.min("cluster").alias("heard"))
         step = labels.join(heard, "id", "left").select(
@@ -206,12 +209,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         labels = step.select("id", F.col("next").alias("cluster"))
         if step.filter("next < cluster").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
-def near_dup_dedup(df: DataFrame, id_col: str, text: str, threshold: float = 0.9, k: int = 5) -> DataFrame:
-    """Keep the smallest id of every near-dup cluster; exact copies collapse first."""
-    distinct = exact_dedup(df, text, (id_col,))
-    clusters = connected_components(near_dup_edges(df, id_col, text, threshold, k))
-    losers = clusters.filter("id != cluster").select(F.col("id").alias(id_col))
+def near_dup_dedup(
+    df: DataFrame, id_col: str, text: str, threshold: float = 0.9, k: int = 5, order: tuple[str, ...] | None = None
+) -> DataFrame:
+    """The earliest row of every near-dup cluster by ``order`` (default: the id); exact copies collapse first."""
+    order = tuple(c for c in order or () if c != id_col)
+    distinct = exact_dedup(df, text, (*order, id_col))
+    clusters = connected_components(near_dup_edges(distinct, id_col, text, threshold, k))
+    if not order:
+        losers = clusters.filter("id != cluster").select(F.col("id").alias(id_col))
+    else:
+        clusters = pin(clusters.select(F.col("id").alias(id_col), "cluster"), "clusters")
+        keys = distinct.select(id_col, F.struct(*order, id_col).alias("_key")).join(clusters, id_col)
+        first = keys.groupBy("cluster").agg(F.min("_key").alias("_key"))
+        losers = clusters.join(first.select(F.col(f"_key.{id_col}").alias(id_col)), id_col, "left_anti").select(id_col)
     return distinct.join(losers, id_col, "left_anti")

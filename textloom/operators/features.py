@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import text as tx
-from textloom.session import scalar
+from textloom.operators.skew import lookup
+from textloom.session import MAX_SHIPPED_ROWS, pin, scalar
 
 
 def word_tokens(text: Column) -> Column:
@@ -45,8 +50,13 @@ def count_matrix(
     """Long form (key, term, tf) of the count matrix."""
     tokens = tx.drop_stop_words(word_tokens(F.col(text)), stop_words)
     counts = term_counts(df, key, tokens)
-    kept = features(counts, _n_rows(df), min_df, max_df, max_features)
-    return counts.join(F.broadcast(kept.select("term")), "term").select(key, "term", "tf")
+    kept = features(counts, _n_rows(df), min_df, max_df, max_features).select("term")
+    return counts.join(F.broadcast(kept) if _shipped(max_features) else kept, "term").select(key, "term", "tf")
+
+
+def _shipped(max_features: int | None) -> bool:
+    """Whether a feature table is small enough, by its limit, to be sent to every task."""
+    return max_features is not None and max_features <= MAX_SHIPPED_ROWS
 
 
 def _n_rows(df: DataFrame) -> Column:
@@ -67,8 +77,7 @@ def tfidf(
     kept = features(counts, n_docs, min_df, max_df, max_features)
     idf = (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf")
     kept = kept.select("term", idf)
-    bounded = max_features is not None and max_features <= 100_000
-    weighed = counts.join(F.broadcast(kept) if bounded else kept, "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    weighed = counts.join(F.broadcast(kept) if _shipped(max_features) else kept, "term").withColumn("raw", F.col("tf") * F.col("idf"))
     return unit_length(weighed, key).select(key, "term", "tf", "weight")
 
 
@@ -92,19 +101,35 @@ def top_terms(weights: DataFrame, key: str, k: int = 10) -> DataFrame:
 def skipgram_pairs(df: DataFrame, tokens: Column, vocab: DataFrame, window: int = 5) -> DataFrame:
     """(target, context, n): ids of words at most ``window`` apart, both in the vocabulary.
 
-    The window is a slice of the row's own token array. Only words that follow are paired: the
-    pairs that precede are the same ones turned round. Word pairs are counted before the
-    vocabulary is joined, so frequent words travel as counts.
+    Words become ids before anything is paired, and only pairs of ids are shuffled, counted per batch
+    first. Only words that follow are paired: the pairs that precede are the same ones turned round.
+    A vocabulary of up to MAX_SHIPPED_ROWS words is sent to the tasks; a larger one is joined by word.
     """
-    around = df.withColumn("_t", tokens).filter(F.size("_t") > 1)
-    pairs = F.transform(
-        F.col("_t"), lambda t, i: F.struct(t.alias("t"), F.slice(F.col("_t"), i + 2, F.lit(window)).alias("c"))
-    )
-    words = around.select(F.inline(pairs)).select("t", F.explode("c").alias("c"))
-    counted = words.groupBy("t", "c").agg(F.count(F.lit(1)).alias("n"))
-    first = vocab.select(F.col("word").alias("t"), F.col("id").alias("a"))
-    second = vocab.select(F.col("word").alias("c"), F.col("id").alias("b"))
-    known = counted.join(first, "t").join(second, "c").select("a", "b", "n")
+    vocab = pin(vocab.select("word", "id"), "vocabulary")
+    rows = df.select(tokens.alias("_t")).filter(F.size("_t") > 1)
+    if vocab.count() <= MAX_SHIPPED_ROWS:
+        ids = {r["word"]: r["id"] for r in vocab.collect()}
+        as_ids = lambda batch: [np.fromiter((ids.get(w, -1) for w in words), np.int64) for words in batch.column("_t").to_pylist()]
+    else:
+        placed = rows.withColumn("_row", F.monotonically_increasing_id())
+        words = pin(placed.select("_row", F.posexplode("_t").alias("_pos", "word")), "word-places")
+        known = lookup(words, vocab, "word", how="left").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", "id"))).alias("_t"))
+        rows = known.select(F.transform("_t", lambda x: F.coalesce(x["id"], F.lit(-1))).alias("_t"))
+        as_ids = lambda batch: [np.array(x, np.int64) for x in batch.column("_t").to_pylist()]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for x in as_ids(batch):
+                for gap in range(1, window + 1):
+                    a, b = x[:-gap], x[gap:]
+                    both = (a >= 0) & (b >= 0)
+                    left.append(a[both])
+                    right.append(b[both])
+            found, n = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(n)], ["a", "b", "n"])
+
+    known = rows.mapInArrow(pairs, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
     turned = F.array(
         F.struct(F.col("a").alias("target"), F.col("b").alias("context"), "n"),
         F.struct(F.col("b").alias("target"), F.col("a").alias("context"), "n"),
@@ -131,8 +156,6 @@ def _fold_vectors(rows: DataFrame, key: str, vector: str, fold) -> DataFrame:
 
 def doc_vectors(df: DataFrame, key: str, tokens: Column, vectors: DataFrame, size: int) -> DataFrame:
     """(key, vector): mean vector of the known words of each row, zeros when there are none."""
-    from textloom.operators.skew import lookup
-
     words = df.select(key, F.explode(tokens).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("c"))
     known = lookup(words, vectors.select("word", "vector"), "word")
     dims = known.select(key, "c", F.posexplode("vector").alias("i", "x"))

@@ -10,20 +10,23 @@ from textloom.session import scalar
 
 
 def preprocess_stats(df: DataFrame, config) -> DataFrame:
-    """One row: original, cleaned, de-duplicated and entity row counts of the chain."""
+    """One row: original, cleaned, de-duplicated and entity row counts, observed in one pass of the chain."""
     from dataclasses import replace
 
     from textloom.operators.clean import extract_entities
     from textloom.plans.preprocess import preprocess
 
-    survivors = preprocess(df, replace(config, extract_entities=False))
-    kept_all = preprocess(df, replace(config, extract_entities=False, dedup_threshold=1.0))
-    original = scalar(df.agg(F.count(F.lit(1)).alias("n")), F.col("n"))
-    cleaned = scalar(kept_all.agg(F.count(F.lit(1)).alias("n")), F.col("n"))
-    return extract_entities(survivors).agg(
+    counters: dict = {}
+    survivors = preprocess(df, replace(config, extract_entities=False), counters)
+    row = extract_entities(survivors).agg(
         F.count(F.lit(1)).alias("deduped_count"),
-        F.coalesce(F.sum(F.size("entities")), F.lit(0)).alias("entity_count"),
-    ).select(original.alias("original_count"), cleaned.alias("cleaned_count"), "deduped_count", "entity_count")
+        F.coalesce(F.sum(F.size("entities")), F.lit(0)).cast("bigint").alias("entity_count"),
+    ).first()
+    counts = {name: obs.get["rows"] for name, obs in counters.items()}
+    return df.sparkSession.createDataFrame(
+        [(counts["original"], counts["cleaned"], row["deduped_count"], row["entity_count"])],
+        "original_count bigint, cleaned_count bigint, deduped_count bigint, entity_count bigint",
+    )
 
 
 def job_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -35,9 +38,9 @@ def job_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def status_counts(jobs: DataFrame, status: str = "status") -> DataFrame:
-    """Rows per status and a ``total`` row in one aggregation."""
-    grouped = jobs.rollup(status).agg(F.count(F.lit(1)).alias("n"))
-    return grouped.withColumn(status, F.coalesce(F.col(status), F.lit("total")))
+    """Rows per status and a ``total`` row in one aggregation; a missing status stays null."""
+    grouped = jobs.rollup(status).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_total"))
+    return grouped.withColumn(status, F.when(F.col("_total") == 1, "total").otherwise(F.col(status))).drop("_total")
 
 
 def seconds_between(start: str | Column, end: str | Column) -> Column:
@@ -101,12 +104,27 @@ def training_speed(samples: Column, seconds: Column) -> Column:
     return F.when(seconds > 0, samples / seconds).otherwise(0.0)
 
 
-def best_epoch(history: DataFrame, higher_is_better: bool = True) -> DataFrame:
-    """Per run the epoch with the best score, the earliest on ties."""
-    score = F.col("score") if higher_is_better else -F.col("score")
-    return history.groupBy("run").agg(
-        F.max_by(F.struct("epoch", "score"), F.struct(score, -F.col("epoch"))).alias("m")
-    ).select("run", F.col("m.epoch").alias("best_epoch"), F.col("m.score").alias("best_score"))
+# Metrics that can name the best epoch, in order of preference; of perplexity less is better.
+EPOCH_METRICS = (("accuracy", 1), ("f1", 1), ("perplexity", -1))
+
+
+def best_epoch(history: DataFrame, score: str | None = None, higher_is_better: bool = True) -> DataFrame:
+    """Per run the epoch with the best score, the earliest on ties.
+
+    Without a score column each run is judged by the first of accuracy, f1 and perplexity that it has.
+    """
+    if score is not None:
+        choice = [(score, 1 if higher_is_better else -1)]
+    else:
+        choice = [(m, sign) for m, sign in EPOCH_METRICS if m in history.columns]
+        if not choice:
+            raise ValueError("no metric column to judge epochs by")
+    best = lambda m, sign: F.max_by(
+        F.when(F.col(m).isNotNull(), F.struct("epoch", F.col(m).cast("double").alias("score"))),
+        F.when(F.col(m).isNotNull(), F.struct((sign * F.col(m)).alias("s"), (-F.col("epoch")).alias("e"))),
+    )
+    found = history.groupBy("run").agg(F.coalesce(*[best(m, sign) for m, sign in choice]).alias("m"))
+    return found.select("run", F.col("m.epoch").alias("best_epoch"), F.col("m.score").alias("best_score"))
 
 
 def early_stop(history: DataFrame, patience: int = 3, threshold: float = 0.01) -> DataFrame:

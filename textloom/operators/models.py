@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import PCA, CountVectorizer, StandardScaler, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textloom.functions import text as tx
 from textloom.functions.vectors import dot
@@ -86,27 +88,66 @@ def topic_top_words(topics: Topics, k: int = 10) -> DataFrame:
     )
 
 
-def nmf_topics(counts: DataFrame, key: str, n_topics: int = 10, iterations: int = 15, seed: int = 42, k: int = 10) -> DataFrame:
-    """(topic, rank, term, weight): non-negative factors of the count matrix by alternating least squares.
+def nmf_factors(
+    counts: DataFrame, key: str, n_topics: int = 10, iterations: int = 200, tolerance: float = 1e-4, seed: int = 42, inner: int = 20
+) -> tuple[list[str], np.ndarray]:
+    """(terms, topic rows): non-negative factors W H of the count matrix, least squares over all cells.
 
-    Implicit preferences weigh seen counts and still fit every absent cell as zero, without
-    writing the zeros out.
+    Alternating multiplicative updates. Each round the rows find their W for the given H inside the
+    tasks and send back W'W and W'A, summed over all rows; H (topics x kept terms) is all that the
+    driver holds. Stops when a round lowers the error by less than ``tolerance`` of the first one.
     """
-    terms = counts.select("term").distinct()
-    # At most the configured number of features, so one ordered partition is bounded.
-    ids = terms.withColumn("term_id", F.row_number().over(Window.orderBy("term")))
-    cells = pin(counts.join(F.broadcast(ids), "term").select(F.col(key).cast("int").alias("row"), "term_id", F.col("tf").cast("float")), "cells")
-    ids = pin(ids, "term-ids")
-    als = ALS(
-        rank=n_topics, maxIter=iterations, seed=seed, nonnegative=True, implicitPrefs=True,
-        userCol="row", itemCol="term_id", ratingCol="tf",
-    )
-    factors = als.fit(cells).itemFactors
-    loads = factors.select(F.col("id").alias("term_id"), F.posexplode("features").alias("topic", "weight"))
-    ranked = loads.join(ids, "term_id").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("weight"), "term"))
-    )
-    return ranked.filter(F.col("rank") <= k).select("topic", "rank", "term", "weight")
+    terms = sorted(r["term"] for r in collect_bounded(counts.select("term").distinct(), what="terms"))
+    place = {t: i for i, t in enumerate(terms)}
+    rows = pin(counts.groupBy(key).agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("tf").cast("double")).alias("tf")), "count-rows")
+    random = np.random.default_rng(seed)
+    total = counts.agg(F.avg("tf")).first()[0] or 1.0
+    h = np.sqrt(total / n_topics) * np.abs(random.standard_normal((n_topics, len(terms)))) + 1e-9
+
+    def sums(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        gram = h @ h.T
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((n_topics, n_topics + len(terms)))
+            for batch in batches:
+                lists = zip(batch.column("terms").to_pylist(), batch.column("tf").to_pylist())
+                cells = [(np.array([place[t] for t in ts], int), np.array(n)) for ts, n in lists]
+                ah = np.array([n @ h.T[at] for at, n in cells])
+                w = np.full(ah.shape, np.sqrt(total / n_topics))
+                for _ in range(inner):
+                    w *= ah / np.maximum(w @ gram, 1e-12)
+                out[:, :n_topics] += w.T @ w
+                for x, (at, n) in zip(w, cells):
+                    out[:, n_topics + at] += np.outer(x, n)
+            i, j = np.nonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(out[i, j])], ["i", "j", "x"])
+
+        total_sums = np.zeros((n_topics, n_topics + len(terms)))
+        found = rows.mapInArrow(run, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toArrow()
+        total_sums[found["i"].to_numpy(), found["j"].to_numpy()] = found["x"].to_numpy()
+        return total_sums[:, :n_topics], total_sums[:, n_topics:]
+
+    square = counts.agg(F.sum(F.col("tf").cast("double") ** 2)).first()[0] or 0.0
+    errors: list[float] = []
+    for _ in range(iterations):
+        ww, wa = sums(h)
+        errors.append(float(np.sqrt(max(square - 2 * (wa * h).sum() + (ww * (h @ h.T)).sum(), 0.0))))
+        if len(errors) > 1 and errors[-2] - errors[-1] <= tolerance * errors[0]:
+            break
+        for _ in range(inner):
+            h = h * wa / np.maximum(ww @ h, 1e-12)
+    return terms, h
+
+
+def nmf_topics(counts: DataFrame, key: str, n_topics: int = 10, iterations: int = 200, seed: int = 42, k: int = 10) -> DataFrame:
+    """(topic, rank, term, weight): the k heaviest terms of each topic."""
+    terms, h = nmf_factors(counts, key, n_topics, iterations, seed=seed)
+    rows = [
+        (topic, rank + 1, terms[i], float(weights[i]))
+        for topic, weights in enumerate(h)
+        for rank, i in enumerate(sorted(range(len(terms)), key=lambda i: (-weights[i], terms[i]))[:k])
+    ]
+    return counts.sparkSession.createDataFrame(rows, "topic int, rank int, term string, weight double")
 
 
 def word2vec(df: DataFrame, tokens: Column, size: int = 100, window: int = 5, min_count: int = 2, epochs: int = 10, seed: int = 42) -> DataFrame:
@@ -129,12 +170,12 @@ def _estimator(name: str):
     raise ValueError(f"unknown model {name!r}")
 
 
-def linear_svm(train: DataFrame, test: DataFrame, iterations: int = 50, max_classes: int = 1000) -> DataFrame:
-    """One linear SVM per class against the rest; the largest margin wins.
+def linear_svm(train: DataFrame, test: DataFrame, iterations: int = 50) -> DataFrame:
+    """One linear SVM per class against the rest; the largest margin wins. One fit per class.
 
     The margins are plain expressions on the feature array, so scoring adds no Python and no UDF.
     """
-    classes = sorted(r["label"] for r in collect_bounded(train.select("label").distinct(), max_classes, "classes"))
+    classes = sorted(r["label"] for r in train.select("label").distinct().collect())
 
     def fit(c):
         rows = train.select("features", (F.col("label") == c).cast("double").alias("label"))

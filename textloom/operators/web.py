@@ -96,9 +96,14 @@ def book_record_document(title: Column, authors: Column, subjects: Column, descr
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, href) of every anchor in order."""
-    hrefs = F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1))
-    return pages.select("page_id", F.posexplode(hrefs).alias("pos", "href"))
+    """(page_id, pos, href) of every anchor with a target, in order; entities are decoded."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(page_id, pos, href) for page_id, html in zip(pdf["page_id"], pdf["html"]) for pos, href in enumerate(hp.hrefs(html or ""))]
+            yield pd.DataFrame(rows, columns=["page_id", "pos", "href"])
+
+    return pages.select("page_id", "html").mapInPandas(read, "page_id bigint, pos int, href string")
 
 
 def anchor_rows(pages: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from textloom.plans.registry import query, table
 from textloom.plans.sqltext import CLEAN_DOCS, CLEAN_TOKENS, WS, clean, in_list, squeeze, words
 from textloom.session import fresh_path, spread
 from textloom.sources import readers as rd
+from textloom.sources import schemas
 from textloom.sources import writers as wr
 
 
@@ -45,7 +46,7 @@ def read_json(spark, sf):
         F.col("doc_id").cast("string").alias("id"), "content", F.create_map(F.lit("lang"), "lang").alias("metadata"), "source"
     )
     wr.write_documents_json(docs, path)
-    return rd.read_json(spark, path).select("id", "content", "source", F.col("metadata")["lang"].alias("lang_tag"))
+    return rd.read_json(spark, path, schemas.DOCUMENT).select("id", "content", "source", F.col("metadata")["lang"].alias("lang_tag"))
 
 
 @query(
@@ -87,12 +88,13 @@ def load_corpus_texts(spark, sf):
     return lines.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("read_task_csv", f"SELECT {squeeze('text')} AS text, lang AS label FROM documents")
+@query("read_task_csv", "SELECT text, lang AS label FROM documents")
 def read_task_csv(spark, sf):
+    """Written with a further column and the label first; read by name."""
     path = fresh_path(spark, "task-csv")
-    rows = table(spark, sf, "documents").select(tx.squeeze_spaces(F.col("text")).alias("text"), F.col("lang").alias("label"))
+    rows = table(spark, sf, "documents").select(F.col("lang").alias("label"), "doc_id", "text")
     wr.write_corpus(rows, path, "csv")
-    return rd.read_task_csv(spark, path, "classification")
+    return rd.read_task_csv(spark, path, "classification", escaped=True)
 
 
 @query(
@@ -108,9 +110,22 @@ def read_delimited_pairs(spark, sf):
     return rd.read_delimited_pairs(spark, path, ["city1", "country1", "city2", "country2"])
 
 
-@query("list_datasets")
+@query(
+    "list_datasets",
+    """SELECT 'supplier' AS name, true AS sized, COUNT(*) AS n FROM supplier
+       UNION ALL SELECT 'nation', true, COUNT(*) FROM nation UNION ALL SELECT 'customer', true, COUNT(*) FROM customer""",
+)
 def list_datasets(spark, sf):
-    return rd.list_datasets(spark, sf.rstrip("/").rsplit("/", 1)[0])
+    """Three given tables written below one folder, listed, and counted through the listed paths."""
+    root, names = fresh_path(spark, "datasets"), ("customer", "nation", "supplier")
+    for name in names:
+        table(spark, sf, name).write.parquet(f"{root}/{name}")
+    found = rd.list_datasets(spark, root)
+    counts = None
+    for name in names:
+        n = spark.read.parquet(f"{root}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        counts = n if counts is None else counts.unionByName(n)
+    return found.join(counts, "name").select("name", (F.col("size") > 0).alias("sized"), "n")
 
 
 @query(
@@ -132,17 +147,19 @@ def format_size(spark, sf):
 @query(
     "write_corpus",
     " UNION ALL ".join(
-        f"SELECT '{f}' AS format, doc_id, lang, {squeeze('text')} AS content FROM documents" for f in ("parquet", "csv", "json")
+        f"SELECT '{f}' AS format, doc_id, lang, text AS content FROM documents" for f in ("parquet", "csv", "json")
     ),
 )
 def write_corpus(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", tx.squeeze_spaces(F.col("text")).alias("content"))
+    docs = table(spark, sf, "documents").select("doc_id", "lang", F.col("text").alias("content"))
     out = None
     for fmt in ("parquet", "csv", "json"):
         path = fresh_path(spark, f"corpus-{fmt}")
         wr.write_corpus(docs, path, fmt)
-        reader = {"parquet": rd.read_parquet, "csv": rd.read_csv, "json": rd.read_json}[fmt]
-        back = reader(spark, path) if fmt == "parquet" else reader(spark, path, docs.schema)
+        if fmt == "csv":
+            back = rd.read_csv(spark, path, docs.schema, escaped=True)
+        else:
+            back = rd.read_parquet(spark, path) if fmt == "parquet" else rd.read_json(spark, path, docs.schema)
         back = back.select(F.lit(fmt).alias("format"), "doc_id", "lang", "content")
         out = back if out is None else out.unionByName(back)
     return out

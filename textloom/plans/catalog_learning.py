@@ -90,11 +90,11 @@ def head_split(spark, sf):
 
 @query(
     "per_class_split",
-    """SELECT doc_id, quality, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY doc_id) <= 200 THEN 'train' ELSE 'test' END AS split
+    """SELECT doc_id, quality, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY doc_id) <= 4000 THEN 'train' ELSE 'test' END AS split
        FROM labels""",
 )
 def per_class_split(spark, sf):
-    return ds.per_class_split(table(spark, sf, "labels").select("doc_id", "quality"), "quality", "doc_id", 200)
+    return ds.per_class_split(table(spark, sf, "labels").select("doc_id", "quality"), "quality", "doc_id")
 
 
 @query(
@@ -132,9 +132,8 @@ def format_instructions(spark, sf):
 
 @query(
     "format_chats",
-    f"""SELECT conv_id, CAST(turn // 1024 AS BIGINT) AS part,
-               string_agg('<|' || role || '|>' || chr(10) || text || '{ds.EOS}', chr(10) ORDER BY turn) AS chat
-        FROM conversations GROUP BY 1, 2""",
+    f"""SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text || '{ds.EOS}', chr(10) ORDER BY turn) AS chat
+        FROM conversations GROUP BY 1""",
 )
 def format_chats(spark, sf):
     return ds.format_chats(table(spark, sf, "conversations"))
@@ -225,8 +224,10 @@ def labelled_words(spark, sf):
 def lookup_join(spark, sf):
     """Words of each document with their count in class 0, 0 when never seen there."""
     all_counts = pin(freqs(spark, sf), "word-classes")
-    negative = all_counts.filter("label = 0").select("word", "n")
-    joined = lookup(labelled_words(spark, sf), negative.withColumnRenamed("n", "freq"), "word", counts=negative, how="left")
+    negative = all_counts.filter("label = 0").select("word", F.col("n").alias("freq"))
+    # Hot words are those of either class: the counts are of the many side.
+    uses = all_counts.groupBy("word").agg(F.sum("n").alias("n"))
+    joined = lookup(labelled_words(spark, sf), negative, "word", counts=uses, how="left")
     return joined.select("doc_id", "word", "c", F.coalesce("freq", F.lit(0)).alias("freq"))
 
 
@@ -235,8 +236,9 @@ def lookup_join(spark, sf):
     f"WITH {TOKEN_COUNTS} SELECT doc_id, word, c FROM dw WHERE word IN (SELECT word FROM pn WHERE positive + negative >= 5)",
 )
 def vocab_semi_join(spark, sf):
-    known = nb.pos_neg(freqs(spark, sf)).filter("positive + negative >= 5")
-    return labelled_words(spark, sf).join(known.select("word"), "word", "left_semi").select("doc_id", "word", "c")
+    known = pin(nb.pos_neg(freqs(spark, sf)).filter("positive + negative >= 5").selectExpr("word", "positive + negative AS n"), "known-words")
+    # One row per word on the right: an inner lookup is the semi join, with hot words spread.
+    return lookup(labelled_words(spark, sf), known.select("word"), "word", counts=known).select("doc_id", "word", "c")
 
 
 @query(

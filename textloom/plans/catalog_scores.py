@@ -339,10 +339,14 @@ def history(spark, sf):
 @query(
     "best_epoch",
     f"""WITH {HISTORY} SELECT run, epoch AS best_epoch, score AS best_score
-        FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY score DESC, epoch) AS rk FROM h) WHERE rk = 1""",
+        FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY CASE WHEN run % 2 = 0 THEN -score ELSE score END, epoch) AS rk
+              FROM h) WHERE rk = 1""",
 )
 def best_epoch(spark, sf):
-    return jl.best_epoch(history(spark, sf))
+    """Even runs have an accuracy and are judged by it, the others by their perplexity."""
+    score = F.col("score")
+    metrics = history(spark, sf).select("run", "epoch", F.when(F.col("run") % 2 == 0, score).alias("accuracy"), score.alias("perplexity"))
+    return jl.best_epoch(metrics)
 
 
 @query("early_stop", f"WITH {HISTORY} SELECT run, COUNT(*) > 3 AND arg_max(score, epoch) < max(score) - 0.01 AS stop FROM h GROUP BY 1")

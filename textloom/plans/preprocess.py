@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from textloom.functions import text as tx
 from textloom.operators import clean as cl
@@ -55,7 +56,7 @@ def preprocess(df: DataFrame, config: PreprocessConfig, counters: dict[str, Obse
     if config.dedup_threshold < 1.0:
         cl.require_columns(df, *config.order)
         if config.near_duplicates:
-            df = near_dup_dedup(df, config.id_col, "content_clean", config.dedup_threshold)
+            df = near_dup_dedup(df, config.id_col, "content_clean", config.dedup_threshold, order=config.order)
         else:
             df = exact_dedup(df, "content_clean", config.order)
         df = counted(df, "deduped")
@@ -64,10 +65,12 @@ def preprocess(df: DataFrame, config: PreprocessConfig, counters: dict[str, Obse
     return df
 
 
-def run_preprocess(spark: SparkSession, source: str, target: str, config: PreprocessConfig) -> dict[str, float]:
+def run_preprocess(
+    spark: SparkSession, source: str, target: str, config: PreprocessConfig, schema: StructType | str | None = None
+) -> dict[str, float]:
     """Read, preprocess, write; publish only when every step kept at least one row."""
     counters: dict[str, Observation] = {}
-    result = preprocess(read_corpus(spark, source), config, counters)
+    result = preprocess(read_corpus(spark, source, schema), config, counters)
     staging = fresh_path(spark, "preprocess")
     write_corpus(result, staging, config.output_format)
     counts = {name: obs.get["rows"] for name, obs in counters.items()}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,23 +14,59 @@ from pyspark.sql import functions as F
 # Upper bound for anything that is shipped to every executor or read back to the driver.
 MAX_SHIPPED_ROWS = 200_000
 
+_scopes: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only if unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The cluster's shared folder (spark.checkpoint.dir).
+
+    A temporary folder stands in for it in local mode only: on a cluster each executor would write
+    to its own disk, and what is read back would be incomplete.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="textloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+def _hadoop_path(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path below the application's own folder, which goes when the application ends.
 
-def pin(df: DataFrame, name: str = "pin", partition_by: list[str] | None = None) -> DataFrame:
+    Inside ``with scratch(spark)`` the path already goes at the end of the block.
+    """
+    root = f"{shared_folder(spark)}/textloom/{spark.sparkContext.applicationId}"
+    folder, fs = _hadoop_path(spark, root)
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables pinned inside the block when it ends; results must be written or collected before."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            place, fs = _hadoop_path(spark, path)
+            fs.delete(place, True)
+
+
+def pin(df: DataFrame, name: str = "pin", partition_by: list[str] | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage of iterative jobs and fixes row placement; survives lost executors.
@@ -37,6 +76,8 @@ def pin(df: DataFrame, name: str = "pin", partition_by: list[str] | None = None)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if compression:
+        writer = writer.option("compression", compression)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
