@@ -9,15 +9,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from textloom.llm.common import int64, lists, mix, utf8
+from textloom.llm.common import mix, utf8
 from textloom.session import pin
 
 # The model is fitted on this many trusted documents at most, those whose ids have the smallest hashes.
-FIT_DOCUMENTS = 20_000
+FIT_DOCUMENTS = 10_000
 # Words of the model: the most frequent of the fitted text. Others are one unknown word.
 VOCABULARY = 10_000
 # Three-word runs seen less often in the fitted text are left out of the model.
@@ -27,9 +28,12 @@ QUANTILE = 0.99
 # A language with fewer trusted documents takes the limit of all languages together.
 LEAST_DOCUMENTS = 100
 FILTER_BITS = 1 << 25
-# Runs that hold more than this share of the fitted text are spread over SALTS tasks.
-HOT_SHARE = 1 / 2000
-SALTS = 16
+# Tables that the run values are cut into, and scan partitions whose documents share a copy of them.
+SHARDS = 16
+GROUP_PARTITIONS = 16
+# Documents that ask the model together; a place in a batch has two bytes.
+BATCH_DOCUMENTS = 8_000
+BATCH_RUNS = 4_000_000
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -122,9 +126,8 @@ class Model:
     lp1: np.ndarray  # per word, the unknown one last
     back: np.ndarray  # per context word
     unknown_after: np.ndarray  # value of (v, unknown), per v
-    values: DataFrame  # (key, value, n), a row per known run
+    values: DataFrame  # (key, value), a row per known run
     filter: np.ndarray  # bits of the known keys
-    hot: np.ndarray  # keys that hold a large share
 
 
 def key_of(u: object, v: object, w: object, base: int) -> object:
@@ -159,29 +162,26 @@ def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS, voca
     after_two = context(three, ["u", "v"], "n", d3)
     p2 = two.join(F.broadcast(words), "w").join(F.broadcast(after_one), "v")
     p2 = p2.withColumn("p2", (F.col("a") - of_count("a", d2)) / F.col("total") + F.col("back") * F.col("p1"))
-    p2 = pin(p2.select("v", "w", "n", "p2", (F.log("p2") - F.log("back") - F.log("p1")).alias("gain")), "two-word-model")
+    p2 = pin(p2.select("v", "w", "p2", (F.log("p2") - F.log("back") - F.log("p1")).alias("gain")), "two-word-model")
     as_context = after_two.select(F.col("u").alias("v"), F.col("v").alias("w"), F.log("back").alias("lead"))
     values2 = p2.join(as_context, ["v", "w"], "left").select(
-        key_of(F.lit(-1).cast("long"), F.col("v"), F.col("w"), base).alias("key"), (F.col("gain") + F.coalesce("lead", F.lit(0.0))).alias("value"), "n", "v", "w"
+        key_of(F.lit(-1).cast("long"), F.col("v"), F.col("w"), base).alias("key"), (F.col("gain") + F.coalesce("lead", F.lit(0.0))).alias("value"), "v", "w"
     )
     p3 = three.filter(F.col("n") >= LEAST_COUNT).join(after_two, ["u", "v"]).join(p2.select("v", "w", "p2"), ["v", "w"])
     gain = F.log((F.col("n") - of_count("n", d3)) / F.col("total") + F.col("back") * F.col("p2")) - F.log("back") - F.log("p2")
-    values3 = p3.select(key_of(F.col("u").cast("long"), F.col("v"), F.col("w"), base).alias("key"), gain.alias("value"), "n")
+    values3 = p3.select(key_of(F.col("u").cast("long"), F.col("v"), F.col("w"), base).alias("key"), gain.alias("value"))
     unknown_after = np.zeros(unknown + 1)
     for r in values2.filter(F.col("w") == unknown).select("v", "value").collect():  # a row per word
         unknown_after[r["v"]] = r["value"]
     back = np.zeros(unknown + 2)
     for r in after_one.collect():  # a row per word
         back[r["v"]] = math.log(r["back"])
-    values = pin(values2.filter(F.col("w") < unknown).select("key", "value", "n").unionByName(values3), "model")
-    mass = values.agg(F.sum("n")).first()[0] or 0
-    # At most a few thousand by construction: each holds more than HOT_SHARE of the fitted runs.
-    hot = [r["key"] for r in values.filter(F.col("n") > mass * HOT_SHARE).select("key").collect()]
+    values = pin(values2.filter(F.col("w") < unknown).select("key", "value").unionByName(values3), "model")
     lp1 = np.log(p1)
     # An unknown word is one of the unknown words of the fitted text, all alike.
     kinds = texts.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).agg(F.approx_count_distinct("word").alias("k")).first()["k"]
     lp1[unknown] -= math.log(max(kinds - unknown, 2))
-    return Model(ids, lp1, back, unknown_after, values, filter_bits(values), np.array(sorted(hot), np.int64))
+    return Model(ids, lp1, back, unknown_after, values, filter_bits(values))
 
 
 def places(keys: np.ndarray) -> np.ndarray:
@@ -202,21 +202,56 @@ def filter_bits(values: DataFrame) -> np.ndarray:
     return out
 
 
-def scored_words(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` columns doc_id and lang with n (words), base (log-likelihood without known runs), keys and counts of runs to look up.
+ASKED = "part int, shard int, batch long, keys binary, sizes binary, cells binary, place int, doc_id long, lang string, n long, base double"
 
-    The end of a text counts as one more, unknown word.
+
+def scored_words(docs: DataFrame, model: Model, groups: int) -> DataFrame:
+    """What the documents ask of the model, and what is known of them without it.
+
+    Per batch of documents and shard one row with its known runs: their ``keys``, how many documents of
+    the batch hold each (``sizes``), and these documents' places in the batch (2 bytes) and counts
+    (1 byte; longer counts repeat) in ``cells``. Per document one row with n (words) and base
+    (log-likelihood without known runs). The end of a text counts as one more, unknown word.
+    Batches are numbered by scan partition, the same in any rerun.
     """
     ids, lp1, back, after, bits = model.ids, model.lp1, model.back, model.unknown_after, model.filter
     unknown, base = ids.unknown, ids.unknown + 2
+    columns = [c.split() for c in ASKED.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64()}
+
+    def rows(count: int, /, **given: object) -> pa.RecordBatch:
+        made = [
+            given[c] if isinstance(given.get(c), pa.Array) else pa.nulls(count, kinds[k]) if c not in given else pa.array(given[c], kinds[k])
+            for c, k in columns
+        ]
+        return pa.RecordBatch.from_arrays(made, [c for c, _ in columns])
+
+    def asked(number: int, keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        key = np.concatenate(keys)
+        place = np.repeat(np.arange(len(keys), dtype=np.uint16), [len(k) for k in keys])
+        times = np.concatenate(counts)
+        while (big := times > 255).any():
+            key, place = np.concatenate([key, key[big]]), np.concatenate([place, place[big]])
+            times = np.concatenate([np.where(big, 255, times), times[big] - 255])
+        shard = shard_of(key)
+        order = np.lexsort((place, key, shard))
+        key, shard, cells = key[order], shard[order], np.empty((len(order), 3), np.uint8)
+        cells[:, 0], cells[:, 1], cells[:, 2] = place[order] & 255, place[order] >> 8, times[order]
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        sizes, first = np.diff(np.append(starts, len(key))).astype(np.int32), np.searchsorted(shard[starts], np.arange(SHARDS + 1))
+        ends = np.append(starts, len(key))[first]
+        cut = lambda x, at: [x[i:j].tobytes() for i, j in zip(at, at[1:])]
+        given = {"keys": cut(key[starts], first), "sizes": cut(sizes, first), "cells": cut(cells, ends)}
+        return rows(SHARDS, part=[(number >> 32) % groups] * SHARDS, shard=range(SHARDS), batch=[number] * SHARDS, **given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, keys, counts = TaskContext.get().partitionId() << 32, [], []
         for batch in batches:
-            sizes, sums, keys, counts = [], [], [], []
+            first, sizes, sums = len(keys), [], []
             for text in utf8(batch.column("text")):
                 w = ids.of(text or b"")
                 v, x = w[:-1], w[1:]
-                total = float(lp1[w].sum() + back[v].sum() + after[v[x == unknown]].sum())
+                sums.append(float(lp1[w].sum() + back[v].sum() + after[v[x == unknown]].sum()))
                 inner = v < unknown
                 two = key_of(-1, v, x, base)[inner & (x < unknown)]
                 three = key_of(w[:-2], w[1:-1], w[2:], base)[inner[:-1] & inner[1:]]
@@ -224,34 +259,82 @@ def scored_words(docs: DataFrame, model: Model) -> DataFrame:
                 at = places(key)
                 known = (bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) > 0
                 sizes.append(len(v))
-                sums.append(total)
                 keys.append(key[known])
-                counts.append(m[known].astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), lists(map(int64, keys), pa.int64()), lists(counts, pa.int32())],
-                ["doc_id", "lang", "n", "base", "keys", "counts"],
-            )
+                counts.append(m[known])
+            n, place = batch.num_rows, np.arange(first, len(keys), dtype=np.int32)
+            yield rows(
+                n, part=[(number >> 32) % groups] * n, shard=place % SHARDS, batch=[number] * n, place=place,
+                doc_id=batch.column("doc_id"), lang=batch.column("lang").cast(pa.string()), n=sizes, base=sums,
+            )
+            if len(keys) > BATCH_DOCUMENTS or sum(map(len, keys)) > BATCH_RUNS:
+                yield asked(number, keys, counts)
+                number, keys, counts = number + 1, [], []
+        if keys:
+            yield asked(number, keys, counts)
+
+    return docs.select("doc_id", "lang", "text").mapInArrow(run, ASKED)
+
+
+def shard_of(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) % SHARDS
+
+
+def value_shards(values: DataFrame, groups: int) -> DataFrame:
+    """(part, shard, keys, values): the run values in SHARDS sorted tables, one copy per group of scan partitions."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = shard_of(batch.column("key").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch.column("key"), batch.column("value")], ["shard", "key", "value"])
+
+    def one(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("key")
+        keys, values = (rows[c].to_numpy() for c in ("key", "value"))
+        return pa.table({"shard": rows["shard"][:1], "keys": [keys.tobytes()], "values": [values.tobytes()]})
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, n long, base double, keys array<long>, counts array<int>")
+    placed = values.select("key", "value").mapInArrow(place, "shard int, key long, value double")
+    packed = placed.groupBy("shard").applyInArrow(one, "shard int, keys binary, values binary")
+    return packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, n_words, perplexity (null without words).
 
-    Each document's runs meet the table of run values, which is sharded by run; a run that is
-    frequent in the fitted text is spread over several shards. Sums go back by document.
+    Documents and run values meet by shard of the run and group of scan partitions: a task holds one
+    shard of the values and what its group's documents ask of it, both bounded, and gives one sum per
+    document. Frequent runs are no hot keys: a batch names each run once. Sums go back by document.
     """
-    rows = pin(scored_words(docs, model).withColumn("row", F.monotonically_increasing_id()), "run-counts")
-    hot = docs.sparkSession.createDataFrame(pa.table({"key": pa.array(model.hot, pa.int64())})).withColumn("hot", F.lit(True))
-    hot = F.broadcast(hot)
-    asked = rows.select("row", F.explode(F.arrays_zip("keys", "counts")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.counts").alias("m"))
-    asked = asked.join(hot, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod("row", F.lit(SALTS))).otherwise(0).cast("int"))
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    shards = model.values.join(hot, "key", "left").select("key", "value", F.explode(salts).alias("salt"))
-    more = asked.select("row", "m", "key", "salt").join(shards, ["key", "salt"]).groupBy("row").agg(F.sum(F.col("m") * F.col("value")).alias("more"))
-    out = rows.select("row", "doc_id", "lang", "n", "base").join(more, "row", "left")
-    likelihood = F.col("base") + F.coalesce("more", F.lit(0.0))
-    return out.select("doc_id", "lang", F.col("n").alias("n_words"), F.when(F.col("n") > 0, F.exp(-likelihood / (F.col("n") + 1))).alias("perplexity"))
+    groups = max(1, docs.rdd.getNumPartitions() // GROUP_PARTITIONS)
+
+    def look_up(asked: pa.Table, held: pa.Table) -> pa.Table:
+        own = asked.filter(pc.is_valid(asked["place"])).select(["batch", "place", "doc_id", "lang", "n", "base"])
+        out = [own.rename_columns(["batch", "place", "doc_id", "lang", "n", "sum"])]
+        if held.num_rows:
+            keys, values = np.frombuffer(held["keys"][0].as_py(), np.int64), np.frombuffer(held["values"][0].as_py())
+            sums: dict[int, np.ndarray] = {}
+            for row in asked.filter(pc.is_valid(asked["keys"])).select(["batch", "keys", "sizes", "cells"]).to_pylist():
+                wanted = np.frombuffer(row["keys"], np.int64)
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                value = np.repeat(np.where(keys[at] == wanted, values[at], 0.0), np.frombuffer(row["sizes"], np.int32))
+                cells = np.frombuffer(row["cells"], np.uint8).reshape(-1, 3)
+                place = cells[:, 0] + (cells[:, 1].astype(np.int64) << 8)
+                sums[row["batch"]] = np.bincount(place, value * cells[:, 2]) if len(place) else np.empty(0)
+            found = [(b, np.flatnonzero(x)) for b, x in sums.items()]
+            n = sum(len(at) for _, at in found)
+            parts = [
+                pa.array(np.repeat(np.array([b for b, _ in found], np.int64), [len(at) for _, at in found])),
+                pa.array(np.concatenate([at for _, at in found] or [np.empty(0)]), pa.int32(), safe=False),
+                pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()),
+                pa.array(np.concatenate([sums[b][at] for b, at in found] or [np.empty(0)])),
+            ]
+            out.append(pa.table(parts, names=out[0].column_names))
+        return pa.concat_tables(out)
+
+    asked, held = scored_words(docs, model, groups), value_shards(model.values, groups)
+    schema = "batch long, place int, doc_id long, lang string, n long, sum double"
+    parts = asked.groupBy("part", "shard").cogroup(held.groupBy("part", "shard")).applyInArrow(look_up, schema)
+    out = parts.groupBy("batch", "place").agg(F.sum("sum").alias("sum"), F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n").alias("n"))
+    return out.select("doc_id", "lang", F.col("n").alias("n_words"), F.when(F.col("n") > 0, F.exp(-F.col("sum") / (F.col("n") + 1))).alias("perplexity"))
 
 
 def limits(scores: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
