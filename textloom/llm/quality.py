@@ -17,17 +17,18 @@ from pyspark.sql import functions as F
 from textloom.llm.common import mix, utf8
 from textloom.session import pin
 
-# The model is fitted on this many trusted documents at most, those whose ids have the smallest hashes.
+# The model is fitted on half of the trusted documents, and on this many at most: those whose ids have the smallest hashes.
 FIT_DOCUMENTS = 10_000
 # Words of the model: the most frequent of the fitted text. Others are one unknown word.
 VOCABULARY = 10_000
 # Three-word runs seen less often in the fitted text are left out of the model.
 LEAST_COUNT = 2
-# A language's limit is this quantile of its trusted documents' perplexities.
+# A language's limit is this quantile of the perplexities of its other trusted documents.
 QUANTILE = 0.99
 # A language with fewer trusted documents takes the limit of all languages together.
-LEAST_DOCUMENTS = 100
+LEAST_DOCUMENTS = 50
 FILTER_BITS = 1 << 25
+LEAST_DISCOUNT = 0.05
 # Tables that the run values are cut into, and scan partitions whose documents share a copy of them.
 SHARDS = 16
 GROUP_PARTITIONS = 16
@@ -37,10 +38,13 @@ BATCH_RUNS = 4_000_000
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """doc_ids that every label row calls good and not toxic."""
+    """(doc_id, fit): documents that every label row calls good and not toxic; half of them, by hash, are for fitting.
+
+    The other half is never fitted on, so its perplexities are those of any good text.
+    """
     rows = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     rows = rows.agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    return rows.filter("q = 1 AND t = 0").select("doc_id")
+    return rows.filter("q = 1 AND t = 0").select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("fit"))
 
 
 def frequent_words(texts: DataFrame, most: int) -> list[bytes]:
@@ -92,10 +96,13 @@ def counted_runs(texts: DataFrame, ids: Ids) -> DataFrame:
 
 
 def discounts(counts: dict[int, int]) -> list[float]:
-    """D1, D2, D3+ from the numbers of runs seen once to four times (modified Kneser-Ney)."""
+    """D1, D2, D3+ from the numbers of runs seen once to four times (modified Kneser-Ney).
+
+    Small samples can give no or negative discounts; some mass always goes to the shorter context.
+    """
     n = [counts.get(i, 0) for i in range(5)]
     y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-    return [min(i, max(0.0, i - (i + 1) * y * n[i + 1] / n[i])) if n[i] and n[i + 1] else 0.5 for i in (1, 2, 3)]
+    return [min(i, max(LEAST_DISCOUNT, i - (i + 1) * y * n[i + 1] / n[i])) if n[i] and n[i + 1] else 0.5 for i in (1, 2, 3)]
 
 
 def of_count(c: str, values: list[float]) -> Column:
@@ -136,7 +143,7 @@ def key_of(u: object, v: object, w: object, base: int) -> object:
 
 
 def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS, vocabulary: int = VOCABULARY) -> Model:
-    sample = trusted_ids(labels).join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
+    sample = trusted_ids(labels).filter("fit").select("doc_id").join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
     # The broadcast ids are ``documents`` at most.
     texts = pin(docs.join(F.broadcast(pin(sample, "trusted-sample")), "doc_id", "left_semi").select("text"), "trusted-texts")
     ids = Ids(frequent_words(texts, vocabulary))
@@ -338,8 +345,8 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def limits(scores: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """(lang, limit): each language's quantile over all its trusted documents; the null language holds that of all."""
-    known = scores.join(trusted_ids(labels), "doc_id", "left_semi").filter("perplexity IS NOT NULL AND lang IS NOT NULL")
+    """(lang, limit): each language's quantile over all its trusted documents kept from fitting; the null language holds that of all."""
+    known = scores.join(trusted_ids(labels).filter("NOT fit"), "doc_id", "left_semi").filter("perplexity IS NOT NULL AND lang IS NOT NULL")
     by = known.rollup("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("limit"), F.count(F.lit(1)).alias("n"))
     return by.filter((F.col("n") >= LEAST_DOCUMENTS) | F.col("lang").isNull()).select("lang", "limit")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import io
 import json
 import re
 import uuid
@@ -131,7 +132,7 @@ class WarcReader(ds.DataSourceReader):
         rows, size = [], 0
         for path in partition.paths:
             with store.open_input_file(path) as raw:
-                for row in records(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw, tests, self.columns):
+                for row in records(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(raw), tests, self.columns):
                     rows.append(row)
                     size += 500 + len(row.get("payload") or b"")
                     if size >= BATCH_BYTES:
