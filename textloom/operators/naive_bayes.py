@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.skew import lookup
-from textloom.session import pin, scalar
+from textloom.session import MAX_SHIPPED_ROWS, pin, scalar
 
 
 def doc_words(df: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -108,29 +110,41 @@ def _margin(theta: list[float], columns: list[str]) -> Column:
 
 
 def gd_logistic(
-    examples: DataFrame, columns: list[str], label: str, alpha: float, num_iters: int
+    examples: DataFrame, columns: list[str], label: str, alpha: float = 1e-9, num_iters: int = 1500
 ) -> tuple[float, list[float]]:
-    """(cost, theta) of batch gradient descent from zero. One aggregation of a few sums per step.
+    """(cost, theta) of batch gradient descent from zero.
 
-    The examples are narrow (a few numbers per row), pinned once and kept in memory; a lost
-    executor recomputes its blocks from the pinned files.
+    Equal examples are counted first: a step is a weighted sum over the different ones. Up to
+    MAX_SHIPPED_ROWS of these, the steps run on them as one matrix. More stay a pinned table, and
+    every step is one aggregation of a few sums over it.
     """
-    rows = pin(examples.select(*columns, F.col(label).cast("double").alias("y")), "examples").persist()
+    rows = examples.select(*[F.col(c).cast("double").alias(c) for c in columns], F.col(label).cast("double").alias("y"))
+    rows = pin(rows.groupBy(*columns, "y").agg(F.count(F.lit(1)).alias("m")), "examples")
+    if rows.count() <= MAX_SHIPPED_ROWS:
+        return _matrix_steps(rows.toPandas(), columns, alpha, num_iters)
     theta, cost = [0.0] * len(columns), float("nan")
-    try:
-        for _ in range(num_iters):
-            h = sigmoid(_margin(theta, columns))
-            loss = -(F.col("y") * F.log(h) + (1 - F.col("y")) * F.log(1 - h))
-            step = rows.agg(
-                F.avg(loss).alias("cost"), *[F.avg(F.col(c) * (h - F.col("y"))).alias(f"g{i}") for i, c in enumerate(columns)]
-            ).first()
-            cost = step["cost"]
-            theta = [t - alpha * step[f"g{i}"] for i, t in enumerate(theta)]
-    finally:
-        rows.unpersist()
+    for _ in range(num_iters):
+        z = _margin(theta, columns)
+        h, loss = sigmoid(z), F.greatest(z, F.lit(0.0)) - F.col("y") * z + F.log1p(F.exp(-F.abs(z)))
+        sums = [F.sum(F.col("m") * F.col(c) * (h - F.col("y"))).alias(f"g{i}") for i, c in enumerate(columns)]
+        step = rows.agg(F.sum("m").alias("n"), F.sum(F.col("m") * loss).alias("loss"), *sums).first()
+        cost = step["loss"] / step["n"]
+        theta = [t - alpha * step[f"g{i}"] / step["n"] for i, t in enumerate(theta)]
     return cost, theta
 
 
+def _matrix_steps(rows: pd.DataFrame, columns: list[str], alpha: float, num_iters: int) -> tuple[float, list[float]]:
+    x, y, m = rows[columns].to_numpy(), rows["y"].to_numpy(), rows["m"].to_numpy(float)
+    theta, n, cost = np.zeros(len(columns)), m.sum(), float("nan")
+    for _ in range(num_iters if n else 0):
+        z = x @ theta
+        h = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+        # The log loss, written so that no logarithm of zero arises.
+        cost = float((m * (np.maximum(z, 0) - y * z + np.log1p(np.exp(-np.abs(z))))).sum() / n)
+        theta = theta - alpha / n * (x.T @ (m * (h - y)))
+    return cost, theta.tolist()
+
+
 def logistic_predict(features: DataFrame, columns: list[str], theta: list[float]) -> DataFrame:
     """Adds ``probability`` and ``predicted`` (probability over one half)."""
     scored = features.withColumn("probability", sigmoid(_margin(theta, columns)))

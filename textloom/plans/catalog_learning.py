@@ -348,29 +348,38 @@ def freq_features(spark, sf):
 XS = ["x0", "x1", "x2"]
 
 
-@query("gd_logistic")
-def gd_logistic(spark, sf):
-    cost, theta = nb.gd_logistic(feature_rows(spark, sf), XS, "label", 1e-9, 30)
-    rows = [("cost", cost)] + [(f"theta{i}", t) for i, t in enumerate(theta)]
-    return spark.createDataFrame(rows, "name string, value double")
+ALPHA, STEPS = 1e-9, 1500
+# Each step is a row made from the one before; the cost is that of the theta before the last step.
+GRADIENT_STEPS = "WITH RECURSIVE " + FREQ_FEATURES.replace("ff AS (", "ff AS MATERIALIZED (").strip() + f""",
+  st AS (SELECT 0 AS it, 0.0::DOUBLE AS a0, 0.0::DOUBLE AS a1, 0.0::DOUBLE AS a2, 0.0::DOUBLE AS cost UNION ALL
+    SELECT it + 1, a0 - {ALPHA}::DOUBLE * avg(x0 * (h - label)), a1 - {ALPHA}::DOUBLE * avg(x1 * (h - label)), a2 - {ALPHA}::DOUBLE * avg(x2 * (h - label)),
+           avg(greatest(z, 0) - label * z + ln(1 + exp(-abs(z))))
+    FROM (SELECT *, 1 / (1 + exp(-z)) AS h FROM (SELECT st.*, ff.x0, ff.x1, ff.x2, ff.label, a0 * x0 + a1 * x1 + a2 * x2 AS z FROM st, ff WHERE it < {STEPS}))
+    GROUP BY it, a0, a1, a2),
+  th AS (SELECT a0, a1, a2, cost FROM st WHERE it = {STEPS})"""
 
 
-# Two steps from zero are short enough to write out: h = 1/2, then one sigmoid.
-GD2 = f"""{FREQ_FEATURES},
-  g1 AS (SELECT 1e-9 * avg(x0 * (label - 0.5)) AS a0, 1e-9 * avg(x1 * (label - 0.5)) AS a1, 1e-9 * avg(x2 * (label - 0.5)) AS a2 FROM ff),
-  h1 AS (SELECT ff.*, a0, a1, a2, 1 / (1 + exp(-(a0 * x0 + a1 * x1 + a2 * x2))) AS h FROM ff, g1),
-  g2 AS (SELECT any_value(a0) - 1e-9 * avg(x0 * (h - label)) AS b0, any_value(a1) - 1e-9 * avg(x1 * (h - label)) AS b1,
-                any_value(a2) - 1e-9 * avg(x2 * (h - label)) AS b2 FROM h1)"""
+@query(
+    "gd_logistic",
+    f"""{GRADIENT_STEPS} SELECT 'cost' AS name, round(cost, 6) AS value FROM th
+        UNION ALL SELECT 'theta0', round(a0 * 1e6, 3) FROM th UNION ALL SELECT 'theta1', round(a1 * 1e6, 3) FROM th
+        UNION ALL SELECT 'theta2', round(a2 * 1e6, 3) FROM th""",
+)
+def gd_logistic(spark, sf):
+    """The cost, and the coefficients in millionths."""
+    cost, theta = nb.gd_logistic(feature_rows(spark, sf), XS, "label", ALPHA, STEPS)
+    rows = [("cost", round(cost, 6))] + [(f"theta{i}", round(t * 1e6, 3)) for i, t in enumerate(theta)]
+    return spark.createDataFrame(rows, "name string, value double")
 
 
 @query(
     "logistic_predict",
-    f"""WITH {GD2} SELECT doc_id, label, round(1 / (1 + exp(-(b0 * x0 + b1 * x1 + b2 * x2))), 6) AS probability,
-               CASE WHEN 1 / (1 + exp(-(b0 * x0 + b1 * x1 + b2 * x2))) > 0.5 THEN 1 ELSE 0 END AS predicted FROM ff, g2""",
+    f"""{GRADIENT_STEPS} SELECT doc_id, label, round(1 / (1 + exp(-(a0 * x0 + a1 * x1 + a2 * x2))), 6) AS probability,
+               CASE WHEN 1 / (1 + exp(-(a0 * x0 + a1 * x1 + a2 * x2))) > 0.5 THEN 1 ELSE 0 END AS predicted FROM ff, th""",
 )
 def logistic_predict(spark, sf):
     rows = pin(feature_rows(spark, sf), "features")
-    _, theta = nb.gd_logistic(rows, XS, "label", 1e-9, 2)
+    _, theta = nb.gd_logistic(rows, XS, "label", ALPHA, STEPS)
     scored = nb.logistic_predict(rows, XS, theta)
     return scored.select("doc_id", "label", F.round("probability", 6).alias("probability"), "predicted")
 
