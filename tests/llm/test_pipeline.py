@@ -1,9 +1,7 @@
 import corpus_pipeline
-import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm.common import without_ids
-from textloom.llm.queries import QUERIES
 
 
 def test_stages_keep_the_columns_and_their_decisions_take_effect(spark, sf):
@@ -43,8 +41,3 @@ def test_without_ids(spark):
     gone = spark.createDataFrame([(i,) for i in range(0, 1000, 3)] * 2 + [(None,)], "doc_id long")
     left = {r["x"] for r in without_ids(docs, gone).collect()}
     assert left == {i for i in range(1000) if i % 11 == 0 or i % 3}
-
-
-@pytest.mark.parametrize("name", QUERIES)
-def test_query_gives_rows(spark, sf, name):
-    assert QUERIES[name](spark, sf).limit(1).count() == 1
