@@ -14,7 +14,9 @@ from textloom.operators import joblog as jl
 from textloom.operators import models as ml
 from textloom.operators import retrieval as rt
 from textloom.operators import vectors as vec
+from textloom.operators import vocab as vc
 from textloom.operators import web
+from textloom.plans.chain import TOKENIZERS, Chain, choose
 from textloom.plans.preprocess import PreprocessConfig, run_preprocess
 from textloom.session import pin, scratch, shared_folder
 from textloom.sources import readers as rd
@@ -235,3 +237,27 @@ def test_topics_separate_two_vocabularies(spark):
     for r in ml.nmf_topics(counts, "id", 2, k=5).collect():
         tops.setdefault(r["topic"], set()).add(r["term"])
     assert sorted(map(sorted, tops.values())) == sorted(map(sorted, words))
+
+
+def test_vocabulary_comes_back_with_its_settings(spark, tmp_path):
+    words = spark.createDataFrame([("a", 0), ("b", 1)], "word string, id long")
+    vc.save_vocab(words, str(tmp_path / "v"), {"min_freq": 5, "type": "word"})
+    assert {tuple(r) for r in vc.load_vocab(spark, str(tmp_path / "v")).collect()} == {("a", 0), ("b", 1)}
+    assert vc.load_vocab_config(spark, str(tmp_path / "v")) == {"min_freq": 5, "type": "word"}
+
+
+def test_chain_counts_every_step_in_one_action(spark):
+    chain = Chain().add("even", lambda df: df.filter("id % 2 = 0")).add("few", lambda df: df.filter("id < 10"))
+    out = []
+    assert chain.run(spark.range(100), lambda df: out.extend(df.collect())) == {"even": 50, "few": 5}
+    assert len(out) == 5
+    with pytest.raises(ValueError, match="left no rows"):
+        Chain().add("none", lambda df: df.filter("id < 0")).run(spark.range(3), lambda df: df.collect())
+    with pytest.raises(ValueError, match="already"):
+        chain.add("few", lambda df: df)
+
+
+def test_families_are_chosen_by_name():
+    assert choose(TOKENIZERS, "bpe")[0].__name__ == "bpe_train"
+    with pytest.raises(ValueError, match="known: classification"):
+        choose({"classification": 1}, "other")

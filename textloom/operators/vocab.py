@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,16 +68,23 @@ def next_token_pairs(df: DataFrame, tokens: Column) -> DataFrame:
     return pairs.select(F.inline(each)).groupBy("token", "next_token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def save_vocab(vocab: DataFrame, path: str) -> None:
-    vocab.write.mode("overwrite").parquet(path)
+def save_vocab(vocab: DataFrame, path: str, config: dict | None = None) -> None:
+    """The table below ``path``/tokens and its settings as JSON below ``path``/config."""
+    vocab.write.mode("overwrite").parquet(f"{path}/tokens")
+    row = vocab.sparkSession.createDataFrame([(json.dumps(config or {}, sort_keys=True),)], "value string")
+    row.coalesce(1).write.mode("overwrite").text(f"{path}/config")
 
 
 def load_vocab(spark, path: str, by_id: bool = False) -> DataFrame:
     """The saved table; with ``by_id`` as the inverse map (id, token)."""
-    table = spark.read.parquet(path)
+    table = spark.read.parquet(f"{path}/tokens")
     return table.select("id", *[c for c in table.columns if c != "id"]) if by_id else table
 
 
+def load_vocab_config(spark, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/config").first()["value"])
+
+
 def saved_and_loaded(vocab: DataFrame, by_id: bool = False) -> DataFrame:
     path = fresh_path(vocab.sparkSession, "vocab")
     save_vocab(vocab, path)
