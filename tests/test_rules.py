@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import tweets
 from textloom.operators import datasets as ds
 from textloom.operators import dedup as dd
 from textloom.operators import features as ft
@@ -261,3 +262,16 @@ def test_families_are_chosen_by_name():
     assert choose(TOKENIZERS, "bpe")[0].__name__ == "bpe_train"
     with pytest.raises(ValueError, match="known: classification"):
         choose({"classification": 1}, "other")
+
+
+def test_token_classes_of_short_posts(spark):
+    texts = {
+        "I </3 you <3 :-) :D": ["i", "</3", "you", "<3", ":-)", ":D"],
+        "mail bob.x@b.com or +1 (555) 123-4567": ["mail", "bob.x@b.com", "or", "+1 (555) 123-4567"],
+        "a --> b <b> x &amp; y": ["a", "-->", "b", "<b>", "x", "&", "y"],
+        "#self-care don't 3.5 wow!!!!!!": ["#self-care", "don't", "3.5", "wow", "!", "!", "!"],
+        "so... http://a.b/c?d=1 @someone _x_": ["so", "...", "http://a.b/c?d=1", "_x_"],
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r["text"]: r["tokens"] for r in df.select("text", tweets.tweet_tokens(F.col("text")).alias("tokens")).collect()}
+    assert got == texts
