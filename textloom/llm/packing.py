@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +21,47 @@ from textloom.session import pin
 
 WINDOW = 1024
 END_ID = 0
-# Space-separated pieces whose ids a worker remembers.
+# Pieces whose ids a worker remembers: up to twice as many, the older half goes first.
 CACHED_PIECES = 300_000
-# A space with white space beside it or at an end: pieces around it are not independent.
-ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
 
 
-class PieceIds(dict):
-    """Ids, as little-endian bytes, of the pieces of texts cut before their single spaces.
+# The published pre-tokenizer pattern of this kind of byte-level BPE.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Below this code point all libraries agree on what a letter is.
+LATIN_END = "\u0250"
 
-    A byte-level BPE never merges across such a space: its pre-tokenizer starts a new piece there.
-    So the ids of a text are those of its pieces one after another, and frequent pieces are
-    encoded once. Texts with other white space arrangements are encoded whole.
+
+def fast_encoder(path: str):
+    """The same vocabulary in a library that encodes short pieces faster; None unless it is of that very kind.
+
+    Requires that merges rank in the order of the ids they make, and the plain byte-level pre-tokenizer.
+    """
+    import tiktoken
+
+    spec = json.loads(open(path, encoding="utf-8").read())
+    before, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or spec.get("normalizer") or model.get("type") != "BPE":
+        return None
+    vocab = model["vocab"]
+    merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if merged != sorted(merged):
+        return None
+    # The byte alphabet of such files: printable bytes as themselves, the others from U+0100 on in turn.
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    others = [b for b in range(256) if b not in set(printable)]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in special}
+    return tiktoken.Encoding("pieces", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+
+
+class PieceIds:
+    """Ids, as little-endian bytes, of texts by way of their pieces between single spaces.
+
+    A byte-level BPE never merges across a single space between other characters: its pre-tokenizer
+    starts a new piece there. So the ids of a text are those of its first piece and of every further
+    piece with the space in front, and frequent pieces are encoded once. Texts in which white space
+    stands beside a space, or at an end, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,24 +71,50 @@ class PieceIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         # The strings of special tokens are ordinary text when they stand in a document.
         self.tokenizer.encode_special_tokens = True
+        self.fast = fast_encoder(path)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.odd = {""}
 
     def encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, pieces: set[str]) -> None:
+        if len(self.known) > CACHED_PIECES:
+            self.known, self.older = {}, self.known
+        missing = pieces - self.known.keys() - self.odd
+        again = missing & self.older.keys()
+        self.known.update((p, self.older[p]) for p in again)
+        new = missing - again
+        odd = {p for p in new if p[0].isspace() or p[-1].isspace()}
+        self.odd |= odd
+        new -= odd
+        if self.fast is not None:
+            plain = [p for p in new if max(p) < LATIN_END]
+            self.known.update((p, array("I", self.fast.encode_ordinary(" " + p)).tobytes()) for p in plain)
+            new.difference_update(plain)
+        rest = list(new)
+        self.known.update(zip(rest, self.encoded([" " + p for p in rest])))
 
     def of(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if ODD_SPACE.search(t)]
-        cut = {i: [p if k == 0 else " " + p for k, p in enumerate(t.split(" "))] for i, t in enumerate(texts)}
-        for i in whole:
-            del cut[i]
-        if len(self) > CACHED_PIECES:
-            self.clear()
-        missing = list({p for pieces in cut.values() for p in pieces if p not in self})
-        for start in range(0, len(missing), 10_000):
-            block = missing[start : start + 10_000]
-            self.update(zip(block, self.encoded(block)))
-        out = {i: b"".join(map(self.__getitem__, pieces)) for i, pieces in cut.items()}
-        out.update(zip(whole, self.encoded([texts[i] for i in whole])))
-        return [out[i] for i in range(len(texts))]
+        cut = [t.split(" ") for t in texts]
+        self.learn(set().union(*cut))
+        known, odd = self.known, self.odd
+        plain = [odd.isdisjoint(pieces) for pieces in cut]
+        # A first piece has no space in front: it, or the whole text, is encoded as it stands.
+        heads = self.encoded([pieces[0] if easy else text for easy, pieces, text in zip(plain, cut, texts)])
+        out = [
+            head + b"".join(map(known.__getitem__, pieces[1:])) if easy else head for easy, head, pieces in zip(plain, heads, cut)
+        ]
+        if len(odd) > CACHED_PIECES:
+            self.odd = {""}
+        return out
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> PieceIds:
+    """One per worker process: what it has learned serves all its tasks."""
+    return PieceIds(path)
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
@@ -68,7 +125,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = PieceIds(tokenizer), 0
+        encoder, before = encoder_of(tokenizer), 0
         part = TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
