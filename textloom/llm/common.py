@@ -7,7 +7,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.session import pin
@@ -105,18 +105,23 @@ def lists(values: Iterable[np.ndarray], kind: pa.DataType) -> pa.Array:
 FILTER_WORDS = 1 << 17
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id stands in ``ids(doc_id)``, moving few of the texts.
+def id_filter(ids: DataFrame) -> Column:
+    """A test that is true for every doc_id in ``ids(doc_id)`` and false for most others; null is in no set.
 
-    A bit filter of fixed size (1 MB) tells most rows that surely stay; only the others are joined with
-    the ids. A full filter would send every row to the join: the result is the same. Null ids stay.
+    A bit filter of fixed size (1 MB). A full one would be true everywhere: what follows has to decide.
     """
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_WORDS * 64))
     bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(cast(doc_id AS long)), 64) AS int))")
-    ids = pin(ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct(), "ids-to-drop")
     set_bits = ids.groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
     dense = ids.sparkSession.range(FILTER_WORDS).withColumnRenamed("id", "word").join(set_bits, "word", "left").fillna(0)
     dense = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bits"))
     word = F.get(pin(dense, "id-bits").scalar(), F.floor(place / 64).cast("int"))
-    maybe = F.coalesce(bit.bitwiseAND(word) != 0, F.lit(False))
+    return F.coalesce(bit.bitwiseAND(word) != 0, F.lit(False))
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id stands in ``ids(doc_id)``, moving few of the texts: rows
+    that surely stay take no part in the join. Null ids stay."""
+    ids = pin(ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct(), "ids-to-drop")
+    maybe = id_filter(ids)
     return docs.filter(~maybe).unionByName(docs.filter(maybe).join(ids, "doc_id", "left_anti").select(*docs.columns))

@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from textloom.llm.common import GOLDEN, Rolling, WordHashes, int64, lists, mix, utf8
+from textloom.llm.common import GOLDEN, Rolling, WordHashes, id_filter, int64, lists, mix, utf8
 from textloom.operators.dedup import connected_components
 from textloom.operators.skew import lookup
 from textloom.session import pin
@@ -94,13 +95,15 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose whole shingle sets reach the threshold.
+    """Those of the pinned ``pairs(a, b)`` whose whole shingle sets reach the threshold.
 
-    ``a`` is often the hub of many pairs, hence the salted lookup of its text.
+    Only texts of ids in the pairs move. ``a`` is often the hub of many pairs, hence the salted lookup.
     """
-    with_b = pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    both = lookup(with_b, docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a", counts=counts)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.filter(id_filter(asked))
+    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = lookup(with_b, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a", counts=counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, of_hub = None, set()
@@ -117,35 +120,55 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(run, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links (a, b) that join every group; ``sets(doc_id, n, bands)`` has one row per different set.
+# Members of a bucket that meet all the others in one round, round after round; then all that are left.
+HUBS = (1, 4, 32, 256)
 
-    In a band's bucket all members meet its smallest id first. Those that it links are in one group.
-    Only the others meet the rest of the bucket, so a bucket of m near copies costs m comparisons.
+
+def links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, groups): verified links (a, b) that join every group, and (id, cluster) of the linked ids.
+
+    ``sets(doc_id, n, bands)`` has one row per different set. In a band's bucket a few members, the hubs,
+    meet all others; whom they link is in one group and needs no further comparison inside it. In later
+    rounds hubs come from outside the bucket's largest group and meet the members of other groups only.
+    The last round takes every member outside the largest group that was no hub yet. So no pair of
+    different groups in a bucket stays uncompared, and a bucket of m near copies costs a few times m.
     """
-    rows = sets.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("bucket"))
-    roots = rows.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("root"), F.count(F.lit(1)).alias("size"))
-    roots = pin(roots.filter("size > 1"), "buckets")
-    members = lookup(rows, roots, "bucket", counts=roots, weight="size").select(
-        "bucket", "id", "n", F.col("root.id").alias("root"), F.col("root.n").alias("root_n")
-    )
-    members = pin(members, "bucket-members")
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    star = members.filter((F.col("id") != F.col("root")) & fits("n", "root_n"))
-    star = star.select(F.col("root").alias("a"), F.col("id").alias("b")).distinct()
-    linked = pin(verified(star, docs, k, percent), "star-links")
-
-    settled = linked.select(F.col("a").alias("root"), F.col("b").alias("id"))
-    loose = members.filter("id != root").join(settled, ["root", "id"], "left_anti")
-    others = members.select("bucket", F.col("id").alias("other"), F.col("n").alias("other_n"), "root")
-    rest = (
-        loose.select("bucket", "id", "n")
-        .join(others, "bucket")
-        .filter((F.col("other") != F.col("root")) & (F.col("id") != F.col("other")) & fits("n", "other_n"))
-        .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-        .distinct()
-    )
-    return linked.unionByName(verified(pin(rest, "rest-pairs"), docs, k, percent)).distinct()
+    rows = sets.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("bucket"))
+    sizes = pin(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
+    members = lookup(rows, sizes, "bucket", counts=sizes, weight="size").select("bucket", "id", "n", F.lit(False).alias("met"))
+    members = pin(members.withColumn("comp", F.col("id")), "bucket-members")
+    spark = docs.sparkSession
+    found, groups = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, cluster long")
+    for turn, most in enumerate((*HUBS, None)):
+        parts = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
+        main = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("size", -F.col("comp"))).alias("main"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts"))
+        main = pin(main.filter("parts > 1").drop("parts"), "open-buckets")
+        if main.isEmpty():
+            break
+        members = lookup(members, main, "bucket", counts=main, weight="size")
+        # The first hub is any: with nothing linked yet, the largest group is the smallest id alone.
+        outside = F.col("comp") != F.col("main") if turn else F.col("comp") == F.col("main")
+        hubs = members.filter(outside & ~F.col("met"))
+        if most is not None:
+            order = Window.partitionBy("bucket").orderBy("id")
+            hubs = hubs.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= most)
+        hubs = pin(hubs.select("bucket", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp")), "hubs")
+        if hubs.isEmpty():
+            break
+        pairs = members.join(hubs, "bucket").filter((F.col("comp") != F.col("hub_comp")) & fits("n", "hub_n"))
+        pairs = pin(pairs.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+        new = pin(verified(pairs, docs, k, percent), "links")
+        if not new.isEmpty():
+            found = pin(found.unionByName(new), "links")
+            groups = pin(connected_components(found), "groups")
+        if most is None:
+            break
+        met = hubs.select("bucket", F.col("hub").alias("id"), F.lit(True).alias("now"))
+        named = groups.withColumnRenamed("cluster", "group")
+        members = members.select("bucket", "id", "n", "met").join(met, ["bucket", "id"], "left").join(named, "id", "left")
+        members = pin(members.select("bucket", "id", "n", F.coalesce("now", "met").alias("met"), F.coalesce("group", "id").alias("comp")), "bucket-members")
+    return found, groups
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -169,11 +192,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = pin(classes, "set-classes")
     one_each = classes.select(F.col("rep").alias("doc_id"), "n", "bands")
     # Versions of one document: their ids are links of their own.
-    edges = pin(links(docs, one_each, k, percent), "links")
+    edges, groups = links(docs, one_each, k, percent)
     repeated = used.groupBy("doc_id").agg(F.count(F.lit(1)).alias("v")).filter("v > 1")
     versions = used.select("doc_id", "digest").join(repeated, "doc_id").join(classes.select("digest", "rep"), "digest").filter("doc_id != rep")
-    edges = edges.unionByName(versions.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    groups = connected_components(edges)
+    versions = pin(versions.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "versions")
+    if not versions.isEmpty():
+        groups = connected_components(edges.unionByName(versions))
     named = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select(
         "digest", "rep", F.coalesce("cluster", "rep").alias("component_id"), "size"
     )
