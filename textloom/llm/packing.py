@@ -16,13 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm.common import utf8
 from textloom.session import pin
 
 WINDOW = 1024
 END_ID = 0
 # Pieces whose ids a worker remembers: up to twice as many, the older half goes first.
-CACHED_PIECES = 300_000
+CACHED_PIECES = 500_000
 
 
 # The published pre-tokenizer pattern of this kind of byte-level BPE.
@@ -82,10 +81,10 @@ class PieceIds:
     def learn(self, pieces: set[str]) -> None:
         if len(self.known) > CACHED_PIECES:
             self.known, self.older = {}, self.known
-        missing = pieces - self.known.keys() - self.odd
-        again = missing & self.older.keys()
-        self.known.update((p, self.older[p]) for p in again)
-        new = missing - again
+        # difference() looks its own elements up in the tables; the operator would walk through the tables.
+        missing = pieces.difference(self.known).difference(self.odd)
+        self.known.update((p, self.older[p]) for p in missing if p in self.older)
+        new = missing.difference(self.older)
         odd = {p for p in new if p[0].isspace() or p[-1].isspace()}
         self.odd |= odd
         new -= odd
@@ -98,9 +97,10 @@ class PieceIds:
 
     def of(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
-        self.learn(set().union(*cut))
+        seen = set().union(*cut)
+        self.learn(seen)
         known, odd = self.known, self.odd
-        plain = [odd.isdisjoint(pieces) for pieces in cut]
+        plain = [True] * len(cut) if odd.isdisjoint(seen) else [odd.isdisjoint(pieces) for pieces in cut]
         # A first piece has no space in front: it, or the whole text, is encoded as it stands.
         heads = self.encoded([pieces[0] if easy else text for easy, pieces, text in zip(plain, cut, texts)])
         out = [
@@ -129,9 +129,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
         part = TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for start in range(0, batch.num_rows, 50):
-                some = batch.slice(start, 50)
-                ids = [x + end for x in encoder.of([(t or b"").decode() for t in utf8(some.column("text"))])]
+            for start in range(0, batch.num_rows, 100):
+                some = batch.slice(start, 100)
+                ids = [x + end for x in encoder.of([t or "" for t in some.column("text").to_pylist()])]
                 sizes = [len(x) // 4 for x in ids]
                 begins = np.cumsum([before, *sizes])
                 before = int(begins[-1])
