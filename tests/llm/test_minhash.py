@@ -76,3 +76,19 @@ def test_rolling_hashes_tell_runs_apart(words, k):
     texts = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
     assert len(runs) == len(texts)
     assert len(set(runs.tolist())) == len(set(texts))
+
+
+def test_parity_bits_keep_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    for percent in (80, 85):
+        bands, rows = minhash.band_layout(percent)
+        far = minhash.most_differing(percent, bands * rows)
+        worst = 0
+        for _ in range(150):
+            pool = rng.integers(0, 2**63, 400).astype(np.uint64)
+            # Equal sizes with exactly the threshold's similarity or a little more.
+            common = int(np.ceil(2 * percent / (100 + percent) * 200))
+            a, b = pool[:200], np.concatenate([pool[:common], pool[200 : 400 - common]])
+            x, y = (minhash.parity_bits(minhash.signature(v, bands * rows)) for v in (a, b))
+            worst = max(worst, int(np.unpackbits((x ^ y).view(np.uint8)).sum()))
+        assert worst <= far < 0.27 * bands * rows

@@ -21,6 +21,8 @@ from textloom.session import pin
 # Positions that the two permutations permute.
 POSITIONS = 1 << 22
 MAX_COORDINATES = 192
+PARITY_WORDS = 3
+PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
 
 
 def band_layout(percent: int, miss: float = 1e-6, coordinates: int = MAX_COORDINATES) -> tuple[int, int]:
@@ -63,6 +65,22 @@ def band_keys(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def parity_bits(low: np.ndarray) -> np.ndarray:
+    """The lowest bit of every coordinate, in three 64-bit numbers."""
+    bits = np.zeros(64 * PARITY_WORDS, np.uint8)
+    bits[: len(low)] = low & 1
+    return np.packbits(bits).view(np.int64)
+
+
+def most_differing(percent: int, coordinates: int) -> int:
+    """Parity bits in which sets at the threshold differ at most, but for a chance below one in a million.
+
+    A bit differs with chance (1 - similarity) / 2; circulant coordinates vary less than independent ones.
+    """
+    p = (1 - percent / 100) / 2
+    return math.ceil(coordinates * p + 5.5 * math.sqrt(coordinates * p * (1 - p)))
+
+
 def shingle_hashes(words: list[bytes], k: int, cache: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the k-word runs; of the whole sequence if it is shorter."""
     return np.unique(Rolling(cache.of(words)).runs(min(k, len(words)))) if words else np.empty(0, np.uint64)
@@ -74,24 +92,28 @@ def shingle_set(text: bytes, k: int) -> set:
 
 
 def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, digest, bands): set size, digest of the whole set, one key per band. No shuffle."""
+    """(doc_id, n, digest, p0 .. p2, bands): set size, digest of the whole set, parity bits, one key per band. No shuffle."""
     bands, rows = band_layout(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            sizes, digests, keys = [], [], []
+            sizes, digests, keys, bits = [], [], [], []
             for text in utf8(batch.column("text")):
                 hashes = shingle_hashes((text or b"").lower().split(), k, cache)
                 sizes.append(len(hashes))
                 digests.append(hashlib.blake2b(hashes, digest_size=16).digest())
-                keys.append(int64(band_keys(signature(hashes, bands * rows), bands, rows)) if len(hashes) else np.empty(0, np.int64))
+                low = signature(hashes, bands * rows)
+                bits.append(parity_bits(low))
+                keys.append(int64(band_keys(low, bands, rows)) if len(hashes) else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists(keys, pa.int64())],
-                ["doc_id", "n", "digest", "bands"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())]
+                + [pa.array([b[i] for b in bits], pa.int64()) for i in range(PARITY_WORDS)]
+                + [lists(keys, pa.int64())],
+                ["doc_id", "n", "digest", *PARITY, "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, p0 long, p1 long, p2 long, bands array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -121,22 +143,26 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
 
 # Members of a bucket that meet all the others in one round, round after round; then all that are left.
-HUBS = (1, 4, 32, 256)
+HUBS = (1, 12)
 
 
 def links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(links, groups): verified links (a, b) that join every group, and (id, cluster) of the linked ids.
 
-    ``sets(doc_id, n, bands)`` has one row per different set. In a band's bucket a few members, the hubs,
+    ``sets(doc_id, n, p0 .. p2, bands)`` has one row per different set. In a band's bucket a few members, the hubs,
     meet all others; whom they link is in one group and needs no further comparison inside it. In later
     rounds hubs come from outside the bucket's largest group and meet the members of other groups only.
     The last round takes every member outside the largest group that was no hub yet. So no pair of
     different groups in a bucket stays uncompared, and a bucket of m near copies costs a few times m.
+    Pairs whose sizes or parity bits are too far apart for the threshold are never made.
     """
+    bands, per_band = band_layout(percent)
+    far = most_differing(percent, bands * per_band)
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"hub_{p}"))) for p in PARITY), F.lit(0))
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    rows = sets.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("bucket"))
+    rows = sets.select(F.col("doc_id").alias("id"), "n", *PARITY, F.explode("bands").alias("bucket"))
     sizes = pin(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
-    members = lookup(rows, sizes, "bucket", counts=sizes, weight="size").select("bucket", "id", "n", F.lit(False).alias("met"))
+    members = lookup(rows, sizes, "bucket", counts=sizes, weight="size").select("bucket", "id", "n", *PARITY, F.lit(False).alias("met"))
     members = pin(members.withColumn("comp", F.col("id")), "bucket-members")
     spark = docs.sparkSession
     found, groups = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, cluster long")
@@ -153,10 +179,10 @@ def links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> tuple[DataF
         if most is not None:
             order = Window.partitionBy("bucket").orderBy("id")
             hubs = hubs.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= most)
-        hubs = pin(hubs.select("bucket", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp")), "hubs")
+        hubs = pin(hubs.select("bucket", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), *[F.col(p).alias(f"hub_{p}") for p in PARITY]), "hubs")
         if hubs.isEmpty():
             break
-        pairs = members.join(hubs, "bucket").filter((F.col("comp") != F.col("hub_comp")) & fits("n", "hub_n"))
+        pairs = members.join(hubs, "bucket").filter((F.col("comp") != F.col("hub_comp")) & fits("n", "hub_n") & (apart <= far))
         pairs = pin(pairs.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
         new = pin(verified(pairs, docs, k, percent), "links")
         if not new.isEmpty():
@@ -166,8 +192,8 @@ def links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> tuple[DataF
             break
         met = hubs.select("bucket", F.col("hub").alias("id"), F.lit(True).alias("now"))
         named = groups.withColumnRenamed("cluster", "group")
-        members = members.select("bucket", "id", "n", "met").join(met, ["bucket", "id"], "left").join(named, "id", "left")
-        members = pin(members.select("bucket", "id", "n", F.coalesce("now", "met").alias("met"), F.coalesce("group", "id").alias("comp")), "bucket-members")
+        members = members.select("bucket", "id", "n", *PARITY, "met").join(met, ["bucket", "id"], "left").join(named, "id", "left")
+        members = pin(members.select("bucket", "id", "n", *PARITY, F.coalesce("now", "met").alias("met"), F.coalesce("group", "id").alias("comp")), "bucket-members")
     return found, groups
 
 
@@ -187,10 +213,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sk = pin(sketches(docs, k, percent), "sketches")
     used = sk.filter("n > 0 AND doc_id IS NOT NULL")
     classes = used.groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.min("n").alias("n"), F.any_value("bands").alias("bands")
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.min("n").alias("n"), *[F.any_value(c).alias(c) for c in (*PARITY, "bands")]
     )
     classes = pin(classes, "set-classes")
-    one_each = classes.select(F.col("rep").alias("doc_id"), "n", "bands")
+    one_each = classes.select(F.col("rep").alias("doc_id"), "n", *PARITY, "bands")
     # Versions of one document: their ids are links of their own.
     edges, groups = links(docs, one_each, k, percent)
     repeated = used.groupBy("doc_id").agg(F.count(F.lit(1)).alias("v")).filter("v > 1")
