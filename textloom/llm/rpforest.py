@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.llm.vectors import best_rows, folded, matrix, one_per_id, ranked
 from textloom.session import pin
@@ -17,7 +18,8 @@ TREES = 10
 # The trees are grown on this many vectors at most; every vector is then put into its leaves.
 SAMPLE_ROWS = 20_000
 LEAF_ROWS = 128
-# Rows that the leaves of a query hold together, over all trees.
+# Rows that the leaves of a query hold together, over all trees: this share of the table's rows, and this many at least.
+SEARCH_SHARE = 0.8
 SEARCH_ROWS = 12_000
 # Rows of one leaf that a task takes at a time; larger leaves are cut by hash.
 BLOCK_ROWS = 4096
@@ -96,6 +98,8 @@ def nearest(
     ``embeddings(vec_id, embedding)``; ``query`` tells its query rows. The trees are grown on the
     ``sample_rows`` vectors whose ids have the smallest hashes; all vectors are indexed. The found
     leaves of a query are searched whole, and cosines are computed on the given vectors in double precision.
+    They hold SEARCH_SHARE of the rows, ``search_rows`` at least: a tree has a few thousand leaves at any
+    larger size, so a query sees the same share of them and recall does not fall as the table grows.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those of
     another dimension than the most frequent one; of rows that share a vec_id the smallest vector counts.
@@ -110,6 +114,7 @@ def nearest(
     if points is None:
         return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     scale = n / len(points)
+    budget = max(search_rows, SEARCH_SHARE * n)
     leaf = max(8, int(LEAF_ROWS / scale))
     forest = [Tree(points, leaf, seed) for seed in range(trees)]
     salts = max(1, round(scale * leaf / BLOCK_ROWS))
@@ -125,7 +130,7 @@ def nearest(
         for batch in batches:
             points = unit(matrix(batch.column("v"), np.float64))
             for j, point in enumerate(points):
-                at = search(forest, point, search_rows, scale)
+                at = search(forest, point, budget, scale)
                 m = len(at)
                 one = batch.slice(j, 1).take(pa.array([0] * m, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
@@ -159,4 +164,8 @@ def nearest(
 
     keys = ["tree", "leaf", "salt"]
     hits = visits.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(rank, "query_id long, ids array<long>, score double")
-    return ranked(hits, k)
+    # A vector beyond the first k + 1, copies folded, is behind k others at every id: only these are unfolded.
+    one = hits.groupBy("query_id", F.col("ids")[0].alias("first")).agg(F.any_value("ids").alias("ids"), F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "first")
+    best = one.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most)
+    return ranked(best.select("query_id", "ids", "score"), k)
