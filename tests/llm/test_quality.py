@@ -106,6 +106,17 @@ def test_good_text_stays_and_junk_goes(corpus):
     assert not kept[2000] and not kept[2001] and not kept[2002] and kept[2003] and kept[2004]
 
 
+def test_formulas_hold_at_production_settings(corpus):
+    """No run is left out and no word seen twice is unknown."""
+    rows, docs, labels = corpus
+    fitted = {r["doc_id"] for r in quality.trusted_ids(labels).filter("fit").collect()}
+    want = reference_model([t for i, t, _ in rows if i in fitted], None)
+    got = {r["doc_id"]: r["perplexity"] for r in quality.perplexities(docs, quality.fit(docs, labels)).collect()}
+    for i, t, _ in rows:
+        if i is not None and (t or "").split():
+            assert got[i] == pytest.approx(want(t), rel=2e-2 if i >= 1000 else 1e-2)
+
+
 def test_held_out_accuracy_on_the_tables(spark):
     """Fitted without the labels of odd documents, and judged on those."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")

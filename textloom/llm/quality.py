@@ -14,23 +14,25 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import mix, utf8
+from textloom.llm.common import GOLDEN, WordHashes, int64, mix, utf8
 from textloom.session import pin
 
 # The model is fitted on half of the trusted documents, and on this many at most: those whose ids have the smallest hashes.
 FIT_DOCUMENTS = 10_000
-# Words of the model: the most frequent of the fitted text. Others are one unknown word.
-VOCABULARY = 10_000
-# Three-word runs seen less often in the fitted text are left out of the model.
-LEAST_COUNT = 2
+# Words of the model: all that the fitted text holds twice or more. Others are one unknown word.
+VOCABULARY = None
+# Three-word runs seen less often in the fitted text are left out of the model: none.
+LEAST_COUNT = 1
 # A language's limit is this quantile of the perplexities of its other trusted documents.
 QUANTILE = 0.99
 # A language with fewer trusted documents takes the limit of all languages together.
 LEAST_DOCUMENTS = 50
-FILTER_BITS = 1 << 25
+# Bits of the filter of known runs, at least and at most.
+FILTER_BITS = 1 << 25, 1 << 27
 LEAST_DISCOUNT = 0.05
-# Tables that the run values are cut into, and scan partitions whose documents share a copy of them.
+# Tables that the run values are cut into at least, run values in one, and scan partitions whose documents share a copy of them at least.
 SHARDS = 16
+SHARD_RUNS = 500_000
 GROUP_PARTITIONS = 16
 # Documents that ask the model together; a place in a batch has two bytes.
 BATCH_DOCUMENTS = 8_000
@@ -47,7 +49,9 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return rows.filter("q = 1 AND t = 0").select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("fit"))
 
 
-def frequent_words(texts: DataFrame, most: int) -> list[bytes]:
+def frequent_words(texts: DataFrame, most: int | None) -> tuple[np.ndarray, int]:
+    """Sorted 64-bit hashes of the words seen twice or more, or of the ``most`` most frequent of these, and the number of all words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
@@ -58,41 +62,49 @@ def frequent_words(texts: DataFrame, most: int) -> list[bytes]:
                 counts.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-    words = texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in words.filter("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()]
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(int64(cache.of(batch.column("word").to_pylist())))], ["hash"])
 
+    counted = pin(texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    words = counted.filter("n > 1")
+    if most is not None:
+        words = words.orderBy(F.desc("n"), "word").limit(most)
+    return np.unique(words.select("word").mapInArrow(hashed, "hash long").toArrow()["hash"].to_numpy().view(np.uint64)), counted.count()
 
-class Ids(dict):
-    """Number of each word of the model; any other word is the unknown one."""
 
-    def __init__(self, words: list[bytes]) -> None:
-        super().__init__(zip(words, range(len(words))))
-        self.unknown = len(words)
+class Ids:
+    """Number of each word of the model, found by its hash (8 bytes a word); any other word is the unknown one."""
 
-    def __missing__(self, word: bytes) -> int:
-        return self.unknown
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes, self.unknown, self.cache = hashes, len(hashes), WordHashes()
 
     def of(self, text: bytes) -> np.ndarray:
         """Numbers of the words, and the unknown word as the end of the text."""
-        words = text.split()
-        return np.fromiter(map(self.__getitem__, [*words, b""]), np.int64, len(words) + 1)
+        wanted = self.cache.of(text.split())
+        out = np.full(len(wanted) + 1, self.unknown, np.int64)
+        if self.unknown:
+            at = np.minimum(np.searchsorted(self.hashes, wanted), self.unknown - 1)
+            out[:-1] = np.where(self.hashes[at] == wanted, at, self.unknown)
+        return out
 
 
 def counted_runs(texts: DataFrame, ids: Ids) -> DataFrame:
     """(u, v, w, n): counts of three-word runs; u or v is ``begin`` where the text begins, both before its first word."""
-    begin, base = ids.unknown + 1, ids.unknown + 2
+    begin = ids.unknown + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = []
+            parts = []
             for text in utf8(batch.column("text")):
                 w = np.concatenate([[begin, begin], ids.of(text or b"")])
-                keys.append((w[:-2] * base + w[1:-1]) * base + w[2:])
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+                parts.append(np.stack([w[:-2], w[1:-1], w[2:]]))
+            rows = np.concatenate(parts, axis=1)
+            _, at, n = np.unique(key_of(*rows), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[at], pa.int32()) for x in rows), pa.array(n)], ["u", "v", "w", "n"])
 
-    runs = texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return runs.selectExpr(f"cast(key div {base * base} AS int) AS u", f"cast(key div {base} % {base} AS int) AS v", f"cast(key % {base} AS int) AS w", "n")
+    return texts.mapInArrow(run, "u int, v int, w int, n long").groupBy("u", "v", "w").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: dict[int, int]) -> list[float]:
@@ -135,19 +147,33 @@ class Model:
     unknown_after: np.ndarray  # value of (v, unknown), per v
     values: DataFrame  # (key, value), a row per known run
     filter: np.ndarray  # bits of the known keys
+    shards: int  # tables that the values are cut into
+
+
+def key_of(u: object, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run; two-word runs take u = -1."""
+    key = mix(np.broadcast_to(np.asarray(u, np.int64), v.shape).astype(np.uint64) + GOLDEN)
+    return int64(mix(mix(key + v.astype(np.uint64)) + w.astype(np.uint64)))
 
 
-def key_of(u: object, v: object, w: object, base: int) -> object:
-    """Two-word runs take u = -1."""
-    return ((u + 1) * base + v) * base + w
+def keyed(runs: DataFrame) -> DataFrame:
+    """(key, value) from ``runs(u, v, w, value)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = key_of(*(batch.column(c).to_numpy().astype(np.int64) for c in ("u", "v", "w")))
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("value")], ["key", "value"])
+
+    return runs.select("u", "v", "w", "value").mapInArrow(run, "key long, value double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS, vocabulary: int = VOCABULARY) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS, vocabulary: int | None = VOCABULARY) -> Model:
     sample = trusted_ids(labels).filter("fit").select("doc_id").join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
     # The broadcast ids are ``documents`` at most.
     texts = pin(docs.join(F.broadcast(pin(sample, "trusted-sample")), "doc_id", "left_semi").select("text"), "trusted-texts")
-    ids = Ids(frequent_words(texts, vocabulary))
-    unknown, base = ids.unknown, ids.unknown + 2
+    hashes, kinds = frequent_words(texts, vocabulary)
+    ids = Ids(hashes)
+    unknown = ids.unknown
     runs = pin(counted_runs(texts, ids), "runs")
 
     three = runs.filter((F.col("u") < unknown) & (F.col("v") < unknown))
@@ -156,8 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS, voca
     two = two_all.filter(F.col("v") < unknown)
     d2 = discounts(few_counts(two, "a"))
     # A row per word of the model.
-    one = {r["w"]: r["a"] for r in two_all.groupBy("w").agg(F.count(F.lit(1)).alias("a")).collect()}
-    a1 = np.array([one.get(i, 0) for i in range(unknown + 1)], float)
+    one = two_all.groupBy("w").agg(F.count(F.lit(1)).alias("a")).toArrow()
+    a1 = np.zeros(unknown + 1)
+    a1[one["w"].to_numpy()] = one["a"].to_numpy()
     d1 = discounts(Counter(a1[a1 > 0].astype(int).tolist()))
     cut = np.select([a1 == 0, a1 == 1, a1 == 2], [0.0, d1[0], d1[1]], d1[2])
     total = max(a1.sum(), 1.0)
@@ -167,44 +194,45 @@ def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS, voca
     words = spark.createDataFrame(pa.table({"w": pa.array(range(unknown + 1), pa.int32()), "p1": p1}))  # a row per word
     after_one = context(two, ["v"], "a", d2)
     after_two = context(three, ["u", "v"], "n", d3)
-    p2 = two.join(F.broadcast(words), "w").join(F.broadcast(after_one), "v")
+    p2 = two.join(words, "w").join(after_one, "v")
     p2 = p2.withColumn("p2", (F.col("a") - of_count("a", d2)) / F.col("total") + F.col("back") * F.col("p1"))
     p2 = pin(p2.select("v", "w", "p2", (F.log("p2") - F.log("back") - F.log("p1")).alias("gain")), "two-word-model")
     as_context = after_two.select(F.col("u").alias("v"), F.col("v").alias("w"), F.log("back").alias("lead"))
     values2 = p2.join(as_context, ["v", "w"], "left").select(
-        key_of(F.lit(-1).cast("long"), F.col("v"), F.col("w"), base).alias("key"), (F.col("gain") + F.coalesce("lead", F.lit(0.0))).alias("value"), "v", "w"
+        F.lit(-1).alias("u"), "v", "w", (F.col("gain") + F.coalesce("lead", F.lit(0.0))).alias("value")
     )
     p3 = three.filter(F.col("n") >= LEAST_COUNT).join(after_two, ["u", "v"]).join(p2.select("v", "w", "p2"), ["v", "w"])
     gain = F.log((F.col("n") - of_count("n", d3)) / F.col("total") + F.col("back") * F.col("p2")) - F.log("back") - F.log("p2")
-    values3 = p3.select(key_of(F.col("u").cast("long"), F.col("v"), F.col("w"), base).alias("key"), gain.alias("value"))
+    values3 = p3.select("u", "v", "w", gain.alias("value"))
     unknown_after = np.zeros(unknown + 1)
-    for r in values2.filter(F.col("w") == unknown).select("v", "value").collect():  # a row per word
-        unknown_after[r["v"]] = r["value"]
+    found = values2.filter(F.col("w") == unknown).select("v", "value").toArrow()  # a row per word
+    unknown_after[found["v"].to_numpy()] = found["value"].to_numpy()
     back = np.zeros(unknown + 2)
-    for r in after_one.collect():  # a row per word
-        back[r["v"]] = math.log(r["back"])
-    values = pin(values2.filter(F.col("w") < unknown).select("key", "value").unionByName(values3), "model")
+    found = after_one.select("v", "back").toArrow()  # a row per word
+    back[found["v"].to_numpy()] = np.log(found["back"].to_numpy())
+    values = pin(keyed(values2.filter(F.col("w") < unknown).unionByName(values3)), "model")
     lp1 = np.log(p1)
     # An unknown word is one of the unknown words of the fitted text, all alike.
-    kinds = texts.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).agg(F.approx_count_distinct("word").alias("k")).first()["k"]
     lp1[unknown] -= math.log(max(kinds - unknown, 2))
-    return Model(ids, lp1, back, unknown_after, values, filter_bits(values))
+    n = values.count()
+    bits = min(max(FILTER_BITS[0], 1 << (8 * n).bit_length()), FILTER_BITS[1])
+    return Model(ids, lp1, back, unknown_after, values, filter_bits(values, bits), max(SHARDS, math.ceil(n / SHARD_RUNS)))
 
 
-def places(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys.astype(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+def places(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(keys.astype(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def filter_bits(values: DataFrame) -> np.ndarray:
-    """One bit per known key in FILTER_BITS bits: runs surely unknown need no lookup. Of fixed size."""
+def filter_bits(values: DataFrame, bits: int) -> np.ndarray:
+    """One bit per known key in ``bits`` bits: runs surely unknown need no lookup. A full filter only costs lookups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = places(batch.column("key").to_numpy(zero_copy_only=False))
+            at = places(batch.column("key").to_numpy(zero_copy_only=False), bits)
             yield pa.RecordBatch.from_arrays([pa.array(at // 32), pa.array(np.left_shift(1, at % 32))], ["word", "bit"])
 
     rows = values.select("key").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out = np.zeros(bits // 32, np.uint32)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
     return out
 
@@ -222,7 +250,7 @@ def scored_words(docs: DataFrame, model: Model, groups: int) -> DataFrame:
     Batches are numbered by scan partition, the same in any rerun.
     """
     ids, lp1, back, after, bits = model.ids, model.lp1, model.back, model.unknown_after, model.filter
-    unknown, base = ids.unknown, ids.unknown + 2
+    unknown, shards = ids.unknown, model.shards
     columns = [c.split() for c in ASKED.split(", ")]
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64()}
 
@@ -240,16 +268,16 @@ def scored_words(docs: DataFrame, model: Model, groups: int) -> DataFrame:
         while (big := times > 255).any():
             key, place = np.concatenate([key, key[big]]), np.concatenate([place, place[big]])
             times = np.concatenate([np.where(big, 255, times), times[big] - 255])
-        shard = shard_of(key)
+        shard = shard_of(key, shards)
         order = np.lexsort((place, key, shard))
         key, shard, cells = key[order], shard[order], np.empty((len(order), 3), np.uint8)
         cells[:, 0], cells[:, 1], cells[:, 2] = place[order] & 255, place[order] >> 8, times[order]
-        starts = np.flatnonzero(np.diff(key, prepend=-1))
-        sizes, first = np.diff(np.append(starts, len(key))).astype(np.int32), np.searchsorted(shard[starts], np.arange(SHARDS + 1))
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        sizes, first = np.diff(np.append(starts, len(key))).astype(np.int32), np.searchsorted(shard[starts], np.arange(shards + 1))
         ends = np.append(starts, len(key))[first]
         cut = lambda x, at: [x[i:j].tobytes() for i, j in zip(at, at[1:])]
         given = {"keys": cut(key[starts], first), "sizes": cut(sizes, first), "cells": cut(cells, ends)}
-        return rows(SHARDS, part=[(number >> 32) % groups] * SHARDS, shard=range(SHARDS), batch=[number] * SHARDS, **given)
+        return rows(shards, part=[(number >> 32) % groups] * shards, shard=range(shards), batch=[number] * shards, **given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, keys, counts = TaskContext.get().partitionId() << 32, [], []
@@ -260,17 +288,17 @@ def scored_words(docs: DataFrame, model: Model, groups: int) -> DataFrame:
                 v, x = w[:-1], w[1:]
                 sums.append(float(lp1[w].sum() + back[v].sum() + after[v[x == unknown]].sum()))
                 inner = v < unknown
-                two = key_of(-1, v, x, base)[inner & (x < unknown)]
-                three = key_of(w[:-2], w[1:-1], w[2:], base)[inner[:-1] & inner[1:]]
+                two = key_of(-1, v, x)[inner & (x < unknown)]
+                three = key_of(w[:-2], w[1:-1], w[2:])[inner[:-1] & inner[1:]]
                 key, m = np.unique(np.concatenate([two, three]), return_counts=True)
-                at = places(key)
+                at = places(key, 32 * len(bits))
                 known = (bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) > 0
                 sizes.append(len(v))
                 keys.append(key[known])
                 counts.append(m[known])
             n, place = batch.num_rows, np.arange(first, len(keys), dtype=np.int32)
             yield rows(
-                n, part=[(number >> 32) % groups] * n, shard=place % SHARDS, batch=[number] * n, place=place,
+                n, part=[(number >> 32) % groups] * n, shard=place % shards, batch=[number] * n, place=place,
                 doc_id=batch.column("doc_id"), lang=batch.column("lang").cast(pa.string()), n=sizes, base=sums,
             )
             if len(keys) > BATCH_DOCUMENTS or sum(map(len, keys)) > BATCH_RUNS:
@@ -282,16 +310,16 @@ def scored_words(docs: DataFrame, model: Model, groups: int) -> DataFrame:
     return docs.select("doc_id", "lang", "text").mapInArrow(run, ASKED)
 
 
-def shard_of(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) % SHARDS
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(keys.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) % shards
 
 
-def value_shards(values: DataFrame, groups: int) -> DataFrame:
-    """(part, shard, keys, values): the run values in SHARDS sorted tables, one copy per group of scan partitions."""
+def value_shards(values: DataFrame, shards: int, groups: int) -> DataFrame:
+    """(part, shard, keys, values): the run values in ``shards`` sorted tables, one copy per group of scan partitions."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard = shard_of(batch.column("key").to_numpy(zero_copy_only=False))
+            shard = shard_of(batch.column("key").to_numpy(zero_copy_only=False), shards)
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch.column("key"), batch.column("value")], ["shard", "key", "value"])
 
     def one(rows: pa.Table) -> pa.Table:
@@ -311,7 +339,8 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     shard of the values and what its group's documents ask of it, both bounded, and gives one sum per
     document. Frequent runs are no hot keys: a batch names each run once. Sums go back by document.
     """
-    groups = max(1, docs.rdd.getNumPartitions() // GROUP_PARTITIONS)
+    # More shards need fewer groups for as many tasks, so the copies of a large model stay few.
+    groups = max(1, docs.rdd.getNumPartitions() // max(GROUP_PARTITIONS, model.shards))
 
     def look_up(asked: pa.Table, held: pa.Table) -> pa.Table:
         own = asked.filter(pc.is_valid(asked["place"])).select(["batch", "place", "doc_id", "lang", "n", "base"])
@@ -337,7 +366,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
             out.append(pa.table(parts, names=out[0].column_names))
         return pa.concat_tables(out)
 
-    asked, held = scored_words(docs, model, groups), value_shards(model.values, groups)
+    asked, held = scored_words(docs, model, groups), value_shards(model.values, model.shards, groups)
     schema = "batch long, place int, doc_id long, lang string, n long, sum double"
     parts = asked.groupBy("part", "shard").cogroup(held.groupBy("part", "shard")).applyInArrow(look_up, schema)
     out = parts.groupBy("batch", "place").agg(F.sum("sum").alias("sum"), F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n").alias("n"))
