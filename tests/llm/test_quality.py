@@ -117,6 +117,16 @@ def test_formulas_hold_at_production_settings(corpus):
             assert got[i] == pytest.approx(want(t), rel=2e-2 if i >= 1000 else 1e-2)
 
 
+def test_all_trusted_documents_are_fitted(spark, monkeypatch):
+    """More than the 10 000 that once were the most."""
+    docs = spark.range(25_000).selectExpr("id AS doc_id", "concat('a b ', id % 7) AS text", "'en' AS lang")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    seen, words = [], quality.frequent_words
+    monkeypatch.setattr(quality, "frequent_words", lambda texts, most: seen.append(texts.count()) or words(texts, most))
+    quality.fit(docs, labels)
+    assert seen == [quality.trusted_ids(labels).filter("fit").count()] and seen[0] > 12_000
+
+
 def test_held_out_accuracy_on_the_tables(spark):
     """Fitted without the labels of odd documents, and judged on those."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")

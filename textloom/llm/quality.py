@@ -14,11 +14,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import GOLDEN, WordHashes, int64, mix, utf8
+from textloom.llm.common import GOLDEN, WordHashes, id_filter, int64, mix, utf8
 from textloom.session import pin
 
-# The model is fitted on half of the trusted documents, and on this many at most: those whose ids have the smallest hashes.
-FIT_DOCUMENTS = 10_000
+# The model is fitted on half of the trusted documents: on all of that half.
 # Words of the model: all that the fitted text holds twice or more. Others are one unknown word.
 VOCABULARY = None
 # Three-word runs seen less often in the fitted text are left out of the model: none.
@@ -167,10 +166,10 @@ def keyed(runs: DataFrame) -> DataFrame:
     return runs.select("u", "v", "w", "value").mapInArrow(run, "key long, value double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS, vocabulary: int | None = VOCABULARY) -> Model:
-    sample = trusted_ids(labels).filter("fit").select("doc_id").join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-    # The broadcast ids are ``documents`` at most.
-    texts = pin(docs.join(F.broadcast(pin(sample, "trusted-sample")), "doc_id", "left_semi").select("text"), "trusted-texts")
+def fit(docs: DataFrame, labels: DataFrame, vocabulary: int | None = VOCABULARY) -> Model:
+    fitted = pin(trusted_ids(labels).filter("fit").select("doc_id"), "trusted-ids")
+    # Of the texts that the join moves, most are trusted.
+    texts = pin(docs.filter(id_filter(fitted)).join(fitted, "doc_id", "left_semi").select("text"), "trusted-texts")
     hashes, kinds = frequent_words(texts, vocabulary)
     ids = Ids(hashes)
     unknown = ids.unknown
