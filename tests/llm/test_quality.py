@@ -127,6 +127,15 @@ def test_all_trusted_documents_are_fitted(spark, monkeypatch):
     assert seen == [quality.trusted_ids(labels).filter("fit").count()] and seen[0] > 12_000
 
 
+def test_every_language_has_its_own_limit(spark):
+    """A rare language above the limit of the large one keeps its documents; one without evidence keeps all."""
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    held = sorted(r["doc_id"] for r in quality.trusted_ids(labels).filter("NOT fit").collect())
+    scores = [(i, "en", 10.0) for i in held[:-4]] + [(i, "xx", 500.0) for i in held[-4:-1]] + [(held[-1], None, 70.0), (900, "yy", 9e9)]
+    got = {r["lang"]: r["limit"] for r in quality.limits(spark.createDataFrame(scores, "doc_id long, lang string, perplexity double"), labels).collect()}
+    assert set(got) == {"en", "xx", None} and 10 <= got["en"] < 11 and got["xx"] > 500 and 70 < got[None] < 500
+
+
 def test_held_out_accuracy_on_the_tables(spark):
     """Fitted without the labels of odd documents, and judged on those."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")

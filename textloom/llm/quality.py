@@ -22,10 +22,9 @@ from textloom.session import pin
 VOCABULARY = None
 # Three-word runs seen less often in the fitted text are left out of the model: none.
 LEAST_COUNT = 1
-# A language's limit is this quantile of the perplexities of its other trusted documents.
+# A language's limit is this quantile of the perplexities of its n other trusted documents, times 1 + MARGIN / n.
 QUANTILE = 0.99
-# A language with fewer trusted documents takes the limit of all languages together.
-LEAST_DOCUMENTS = 50
+MARGIN = 5
 # Bits of the filter of known runs, at least and at most.
 FILTER_BITS = 1 << 25, 1 << 27
 LEAST_DISCOUNT = 0.05
@@ -373,10 +372,14 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def limits(scores: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """(lang, limit): each language's quantile over all its trusted documents kept from fitting; the null language holds that of all."""
-    known = scores.join(trusted_ids(labels).filter("NOT fit"), "doc_id", "left_semi").filter("perplexity IS NOT NULL AND lang IS NOT NULL")
-    by = known.rollup("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("limit"), F.count(F.lit(1)).alias("n"))
-    return by.filter((F.col("n") >= LEAST_DOCUMENTS) | F.col("lang").isNull()).select("lang", "limit")
+    """(lang, limit): each language's quantile over all its trusted documents kept from fitting, the null language's too.
+
+    Below 1 / (1 - quantile) documents the quantile is their maximum. The margin above it shrinks with
+    their number, so few documents give a cautious limit and no number of them switches to another rule.
+    """
+    known = scores.join(trusted_ids(labels).filter("NOT fit"), "doc_id", "left_semi").filter("perplexity IS NOT NULL")
+    by = known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("limit"), F.count(F.lit(1)).alias("n"))
+    return by.select("lang", (F.col("limit") * (1 + MARGIN / F.col("n"))).alias("limit"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -384,18 +387,17 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Da
 
     Trusted text: documents that ``labels(doc_id, quality, toxic)`` calls good and not toxic. A document
     is kept unless its perplexity is above its language's limit. A document without words is not kept.
-    A null language, or one with few trusted documents, takes the limit of all languages together; without
-    any trusted document there is no limit and everything with words is kept. Null and repeated doc_ids
-    are rows like others. Other columns are ignored.
+    Documents without a language are a language of their own. A language without any trusted document
+    has no limit, and everything with words is kept. Null and repeated doc_ids are rows like others.
+    Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     scores = pin(perplexities(docs, fit(docs, labels)), "perplexities")
     found = limits(scores, labels, quantile).collect()  # a row per language
-    overall = next((r["limit"] for r in found if r["lang"] is None), None)
+    limit = F.lit(next((r["limit"] for r in found if r["lang"] is None), None)).cast("double")
     named = [r for r in found if r["lang"] is not None]
-    limit = F.lit(overall).cast("double")
-    if named:
-        table = F.create_map(*[F.lit(x) for r in named for x in (r["lang"], float(r["limit"]))])
-        limit = F.coalesce(F.try_element_at(table, F.col("lang")), limit)
+    table = F.create_map(*[F.lit(x) for r in named for x in (r["lang"], float(r["limit"]))]) if named else None
+    own = F.try_element_at(table, F.col("lang")) if named else F.lit(None).cast("double")
+    limit = F.when(F.col("lang").isNull(), limit).otherwise(own)
     rows = scores.withColumn("threshold", limit)
     return rows.withColumn("kept", (F.col("n_words") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
