@@ -92,3 +92,11 @@ def test_parity_bits_keep_pairs_at_the_threshold():
             x, y = (minhash.parity_bits(minhash.signature(v, bands * rows)) for v in (a, b))
             worst = max(worst, int(np.unpackbits((x ^ y).view(np.uint8)).sum()))
         assert worst <= far < 0.27 * bands * rows
+
+
+def test_versions_without_words_link_nothing(spark):
+    """Null versions of paired ids do not end the job, and empty ones are not equal to each other."""
+    rows = [(1, "a b c d"), (1, None), (2, "a b c d"), (2, ""), (2, None), (5, "e f g"), (5, " "), (6, "x y z"), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, 2), (5, 6)], "a long, b long")
+    assert [tuple(r) for r in minhash.verified(pairs, docs, 3, 85).collect()] == [(1, 2)]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm.common import GOLDEN, Rolling, WordHashes, id_filter, int64, lists, mix, utf8
+from textloom.llm.common import GOLDEN, WORD_PATTERN, Rolling, WordHashes, id_filter, int64, lists, mix, utf8
 from textloom.operators.dedup import connected_components
 from textloom.operators.skew import lookup
 from textloom.session import pin
@@ -123,7 +123,8 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     """
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.filter(id_filter(asked))
+    # Versions without words are linked with nothing.
+    texts = docs.filter(id_filter(asked)).filter(F.col("text").rlike(WORD_PATTERN))
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = lookup(with_b, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a", counts=counts)
 
