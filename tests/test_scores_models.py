@@ -141,3 +141,12 @@ def test_kmeans_needs_rows(spark):
     assert ml.kmeans(df).select("cluster").distinct().count() == 1
     df = ml.hstack(spark.createDataFrame([(i, [float(i)]) for i in range(40)], "id int, v array<double>"), [], ["v"])
     assert ml.kmeans(df).select("cluster").distinct().count() == 4
+
+
+def test_doc_vectors_query_trains_whole_word_vectors(spark, monkeypatch):
+    """The word vectors of the query are those of ``word2vec`` at its own settings: 100 dimensions, 10 epochs."""
+    from textloom.plans import catalog_learning as learning
+
+    asked = {}
+    monkeypatch.setattr(learning.ml, "word2vec", lambda df, tokens, **settings: asked.update(settings) or spark.createDataFrame([], "word string, vector array<double>"))
+    assert len(learning.doc_vectors(spark, "/root/testdata/sf0.001").first()["vector"]) == 100 and not asked

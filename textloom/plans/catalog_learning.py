@@ -499,8 +499,8 @@ def word2vec(spark, sf):
 @query("doc_vectors")
 def doc_vectors(spark, sf):
     docs = pin(cleaned(spark, sf).select("doc_id", clean_words().alias("tokens")), "doc-tokens")
-    vectors = pin(ml.word2vec(docs, F.col("tokens"), size=32, epochs=2), "word-vectors")
-    return ft.doc_vectors(docs, "doc_id", F.col("tokens"), vectors, 32)
+    vectors = pin(ml.word2vec(docs, F.col("tokens")), "word-vectors")
+    return ft.doc_vectors(docs, "doc_id", F.col("tokens"), vectors, 100)
 
 
 # ---------------------------------------------------------------- classical models
