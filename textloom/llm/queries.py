@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import licenses, minhash, mixing, packing, quality, rpforest, secrets, substring, topk, warc
+from textloom.llm import licenses, merkle, minhash, mixing, packing, pii, quality, ranking, rpforest, secrets, substring, topk, warc
 from textloom.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -55,6 +55,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 WORDS = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -156,11 +168,123 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(len(g.gone),
 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
+_near = " ".join(f"WHEN kind = {i} THEN regexp_matches(w, '(?:^|[^a-z])(?:{pii.NEAR[k]})(?:[^a-z]|$)')" for i, k in enumerate(pii.KINDS))
+_points = " ".join(f"WHEN kind = {i} THEN {pii.POINTS[k]}" for i, k in enumerate(pii.KINDS))
+_names = " ".join(f"WHEN kind = {i} THEN '{k}'" for i, k in enumerate(pii.KINDS))
+_shapes = " ".join(f"WHEN regexp_matches(f, '{pii.SHAPES[k]}') THEN {pii.KINDS.index(k)}" for k in reversed(pii.SHAPES))
+# Number of the kind and its pattern as the contract writes it (groups unnamed); 99: runs that may have an added shape.
+_proposals = {
+    0: r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 1: r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", 2: r"[0-9](?:[\x20-]?[0-9])+",
+    3: r"\+[0-9][\x20().0-9-]+[0-9]", 4: pii.IBAN, 99: pii.RUN,
+}
+
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+g AS MATERIALIZED (
+{" UNION ALL ".join(f"SELECT rid, {k} AS kind, regexp_extract_all(t, '{rx}') AS m, regexp_split_to_array(t, '{rx}') AS b FROM d" for k, rx in _proposals.items())}),
+u AS (SELECT rid, kind, unnest(m) AS f, unnest(b[:len(m)]) AS b, generate_subscripts(m, 1) AS i FROM g WHERE len(m) > 0),
+e AS (SELECT rid, kind, f, CAST(sum(length(b) + length(f)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS e FROM u),
+c AS (SELECT rid, kind, f, e - length(f) AS s, e, regexp_replace(f, '[^0-9]', '', 'g') AS n, replace(f, ' ', '') AS v FROM e),
+ok AS (
+  SELECT rid, CASE WHEN kind < 99 THEN kind {_shapes} END AS kind, s, e - CASE WHEN kind = 99 AND ends_with(f, '.') THEN 1 ELSE 0 END AS e
+  FROM c
+  WHERE CASE kind WHEN 0 THEN true
+    WHEN 1 THEN len(list_filter(string_split(f, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) > 0 AND CAST(left(ltrim(x, '0'), 3) AS INTEGER) > 255))) = 0
+    WHEN 2 THEN length(n) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length(n)), lambda i: CASE
+        WHEN i % 2 = 0 THEN CAST(n[length(n) - i] AS INTEGER) WHEN CAST(n[length(n) - i] AS INTEGER) > 4 THEN 2 * CAST(n[length(n) - i] AS INTEGER) - 9
+        ELSE 2 * CAST(n[length(n) - i] AS INTEGER) END)) % 10 = 0
+    WHEN 3 THEN length(n) BETWEEN 10 AND 15
+    WHEN 4 THEN length(v) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0::BIGINT, list_transform(range(0, length(v)), lambda i: CAST(ascii(v[(i + 4) % length(v) + 1]) AS BIGINT))),
+        lambda a, x: CASE WHEN x < 65 THEN (a * 10 + x - 48) % 97 ELSE (a * 100 + x - 55) % 97 END) = 1
+    ELSE length(f) BETWEEN 6 AND 13 AND ({" OR ".join(f"regexp_matches(f, '{x}')" for x in pii.SHAPES.values())}) END),
+spans AS (SELECT * FROM ok WHERE kind < 4 UNION ALL
+  SELECT * FROM ok WHERE kind >= 4 AND NOT EXISTS (
+    SELECT 1 FROM ok o WHERE o.rid = ok.rid AND o.kind < least(ok.kind, 5) AND (o.kind < 4 OR ok.kind > 4) AND o.s < ok.e AND ok.s < o.e)),
+near AS (
+  SELECT x.*, translate(substr(t, greatest(s - {pii.BEFORE}, 0) + 1, s - greatest(s - {pii.BEFORE}, 0)), '{UPPER}', '{LOWER}') AS before,
+    translate(substr(t, e + 1, {pii.AFTER}), '{UPPER}', '{LOWER}') AS after FROM spans x JOIN d USING (rid)),
+w AS (SELECT *, unnest([before, after]) AS w FROM near),
+h AS (SELECT rid, kind, s, e, any_value(before) AS before, any_value(after) AS after, bool_or(CASE {_near} END) AS raised,
+    bool_or(regexp_matches(w, '(?:^|[^a-z])(?:{pii.AGAINST})(?:[^a-z]|$)')) AS lowered FROM w GROUP BY rid, kind, s, e),
+r AS (SELECT rid, kind, s, e, least(100, greatest(0, CASE {_points} END + CASE WHEN raised THEN {pii.RAISE} ELSE 0 END - CASE WHEN lowered THEN {pii.LOWER} ELSE 0 END)) AS score,
+    regexp_matches(before, '[a-z0-9]$') OR regexp_matches(after, '^[a-z0-9]') AS loose FROM h),
+f AS (SELECT *, CASE {_names} END || ':' || s || ':' || e AS x FROM r WHERE kind < 4 OR (score >= {pii.LEAST} AND NOT loose)),
+a AS (SELECT rid, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
+    string_agg(x, ',' ORDER BY s, kind, e) FILTER (kind < 4) AS base, string_agg(x, ',' ORDER BY s, kind, e) AS spans, string_agg(CAST(score AS VARCHAR), ',' ORDER BY s, kind, e) AS scores
+  FROM f GROUP BY rid)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM d LEFT JOIN a USING (rid)
+"""
+
+TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_enc = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+
+# Per byte of the decimal doc_id eight steps of the reflected polynomial.
+_crc = "x"
+for _ in range(8):
+    _crc = f"[CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END FOR y IN [{_crc}]][1]"
+
+OP12_SQL = f"""
+WITH RECURSIVE
+l AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, sha256({_enc} || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256({_enc} || coalesce(strlen(text) || ':' || translate(text, '{UPPER}', '{LOWER}'), '-')) AS altered,
+    doc_id IS NOT NULL AND xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda a, b: [{_crc} FOR x IN [xor(a, b)]][1]), 4294967295) % 3 = 0 AS tampered
+  FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM l),
+up(lvl, lang, i, n, h) AS (
+  SELECT 0, lang, i, n, leaf FROM p
+  UNION ALL
+  SELECT lvl + 1, lang, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY lvl, lang, i // 8, n),
+subs AS (SELECT lang, max(lvl) AS top, arg_max(h, lvl) AS subroot FROM up GROUP BY lang),
+s0 AS (SELECT lang, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS i, count(*) OVER () AS n, top, subroot FROM subs),
+rt(lvl, i, n, h) AS (
+  SELECT 0, i, n, subroot FROM s0
+  UNION ALL
+  SELECT lvl + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM rt WHERE n > 1 GROUP BY lvl, i // 8, n),
+root AS (SELECT arg_max(h, lvl) AS root FROM rt),
+nodes AS (SELECT lvl, lang, i, n, h FROM up),
+step(rid, lvl, lang, i, n, cur, sib) AS (
+  SELECT rid, 0, lang, i, n, CASE WHEN tampered THEN altered ELSE leaf END, '' FROM p
+  UNION ALL
+  SELECT s.rid, s.lvl + 1, s.lang, s.i // 8, any_value((s.n + 7) // 8),
+    sha256(string_agg(CASE WHEN u.i = s.i THEN s.cur ELSE u.h END, '' ORDER BY u.i)), any_value(s.sib) || coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i <> s.i), '')
+  FROM step s JOIN nodes u ON u.lvl = s.lvl AND u.lang IS NOT DISTINCT FROM s.lang AND u.i // 8 = s.i // 8 WHERE s.n > 1 GROUP BY s.rid, s.lvl, s.lang, s.i),
+own AS (SELECT rid, arg_max(cur, lvl) AS cur, arg_max(sib, lvl) AS sib, any_value(lang) AS lang FROM step GROUP BY rid),
+fold(rid, lvl, i, n, cur, sib) AS (
+  SELECT rid, 0, s0.i, s0.n, own.cur, own.sib FROM own JOIN s0 ON own.lang IS NOT DISTINCT FROM s0.lang
+  UNION ALL
+  SELECT s.rid, s.lvl + 1, s.i // 8, any_value((s.n + 7) // 8), sha256(string_agg(CASE WHEN u.i = s.i THEN s.cur ELSE u.h END, '' ORDER BY u.i)),
+    any_value(s.sib) || coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i <> s.i), '')
+  FROM fold s JOIN rt u ON u.lvl = s.lvl AND u.i // 8 = s.i // 8 WHERE s.n > 1 GROUP BY s.rid, s.lvl, s.i),
+done AS (SELECT rid, arg_max(cur, lvl) AS folded_root, arg_max(sib, lvl) AS sib FROM fold GROUP BY rid)
+SELECT p.doc_id, p.leaf, s0.subroot, root.root, sha256(done.sib) AS proof_sha256, done.folded_root, done.folded_root = root.root AS verified
+FROM p JOIN done USING (rid) JOIN s0 ON p.lang IS NOT DISTINCT FROM s0.lang, root
+"""
+
+OP13_SQL = rf"""
+WITH q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERMS}')) AS term FROM benchmark),
+qt AS (SELECT item_id, term, count(*) AS r FROM q GROUP BY item_id, term),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERMS}') AS w FROM documents WHERE text IS NOT NULL),
+c AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+u AS (SELECT rid, doc_id, len(w) AS n, unnest(w) AS term FROM d),
+tf AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM u SEMI JOIN qt USING (term) GROUP BY rid, doc_id, n, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM df, c),
+s AS (SELECT item_id, rid, doc_id, CAST(sum(r * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM tf JOIN qt USING (term) JOIN w USING (term), c GROUP BY item_id, rid, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_rp_forest_neighbours, op3_warc_round_trip, op4_concat_and_cut, op5_secret_scan,
-        op6_kneser_ney_quality, op7_source_mix, op8_license_scan, op9_pivot_top_k, op10_substring_dedup,
+        op6_kneser_ney_quality, op7_source_mix, op8_license_scan, op9_pivot_top_k, op10_substring_dedup, op11_pii_scan,
+        op12_merkle_manifest, op13_ranked_search,
     )
 }
 # The others have no SQL form: a sampled index (2), a tokenizer (4), fitted models (5, 6).
@@ -171,4 +295,7 @@ ORACLES: dict[str, str] = {
     "op8_license_scan": OP8_SQL,
     "op9_pivot_top_k": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op11_pii_scan": OP11_SQL,
+    "op12_merkle_manifest": OP12_SQL,
+    "op13_ranked_search": OP13_SQL,
 }

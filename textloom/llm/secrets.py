@@ -5,12 +5,12 @@ Column expressions only; nothing here runs Python on the executors.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.llm.textspans import Kind, clear, let, proposals, replaced
+
 # Fixed values of the contract.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -19,7 +19,6 @@ KINDS = ("assign", "access", "hex", "markov")
 # A run that could be a random string.
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
 CODES = 128
-CHUNK = 256
 # The labelled samples: identifiers come from the words of this many documents, random strings from this many digests.
 SAMPLE_DOCUMENTS = 2000
 RANDOM_STRINGS = 4000
@@ -27,58 +26,6 @@ RANDOM_STRINGS = 4000
 LEAST_RATIO = 12.0
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
-def running_sums(lengths: Column) -> Column:
-    """Sum of the elements before each one; by blocks, so long arrays stay cheap."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / CHUNK).cast("int")), lambda b: total(F.slice(lengths, b * CHUNK + 1, F.lit(CHUNK))))
-
-    def at(blocks: Column) -> Column:
-        before = F.transform(F.sequence(F.lit(0), F.size(blocks) - 1), lambda b: total(F.slice(blocks, F.lit(1), b)))
-        return let(
-            before,
-            lambda base: F.transform(
-                lengths,
-                lambda _, i: F.get(base, F.floor(i / CHUNK).cast("int")) + total(F.slice(lengths, F.floor(i / CHUNK).cast("int") * CHUNK + 1, i % CHUNK)),
-            ),
-        )
-
-    return let(blocks, at)
-
-
-def spans(text: Column, pattern: str, group: int, least: int) -> Column:
-    """array<struct<start, end, found>> of the leftmost matches whose ``group`` has ``least`` characters."""
-    rx = F.lit(pattern)
-
-    def of(parts: Column) -> Column:
-        whole, value, between = parts["whole"], parts["value"], parts["between"]
-        lengths = F.zip_with(F.slice(between, F.lit(1), F.size(whole)), whole, lambda b, m: F.length(b) + F.length(m))
-        ends = let(lengths, lambda n: F.zip_with(running_sums(n), n, lambda s, x: s + x))
-        rows = F.zip_with(ends, F.arrays_zip(whole.alias("whole"), value.alias("value")), lambda e, m: F.struct((e - F.length(m["whole"])).alias("start"), e.alias("end"), m["whole"].alias("found"), F.length(m["value"]).alias("size")))
-        return F.transform(F.filter(rows, lambda r: r["size"] >= least), lambda r: r.dropFields("size"))
-
-    parts = F.struct(
-        F.regexp_extract_all(text, rx, F.lit(0)).alias("whole"),
-        F.regexp_extract_all(text, rx, F.lit(group)).alias("value"),
-        F.split(text, pattern, -1).alias("between"),
-    )
-    return let(parts, of)
-
-
-def no_spans() -> Column:
-    return F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)")
-
-
-def when_found(text: Column, pattern: str, group: int, least: int, hint: Column | None = None) -> Column:
-    """The spans; a text without a match costs one search, and none if the hint is false."""
-    test = text.rlike(pattern)
-    return F.when(test if hint is None else hint & test, spans(text, pattern, group, least)).otherwise(no_spans())
-
-
 def pair_codes(value: Column) -> Column:
     """The neighbouring characters of an ASCII string, each pair as one number."""
     return let(
@@ -131,30 +78,17 @@ def secret_spans(docs: DataFrame, model: list[float], least: float = LEAST_RATIO
     # One constant; an array of literals would be thousands of expressions.
     ratios = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.drop("found").withColumn(
-        "_fixed",
-        F.struct(
-            when_found(text, ASSIGN, 1, 6, F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))).alias("assign"),
-            when_found(text, ACCESS, 0, 20, F.contains(text, F.lit("AKIA"))).alias("access"),
-            when_found(text, HEX, 0, 24).alias("hex"),
-            when_found(text, CANDIDATE, 0, 16).alias("markov"),
-        ),
-    )
+    long_value = lambda found: F.length(F.regexp_extract(found, ASSIGN, 1)) >= 6
+    kinds = [
+        Kind(0, ASSIGN, long_value, F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))),
+        Kind(1, ACCESS, hint=F.contains(text, F.lit("AKIA"))),
+        Kind(2, HEX),
+        Kind(3, CANDIDATE),
+    ]
+    rows = docs.drop("found").withColumn("found", proposals(text, kinds))
+    rows = rows.withColumn("found", clear(F.col("found"), lambda x: F.when(x["kind"] < 3, 0).otherwise(1), 2))
     score = lambda v: F.aggregate(pair_codes(v), F.lit(0.0), lambda s, p: s + F.get(ratios, p))
-    numbered = lambda kind: F.transform(
-        F.col(f"_fixed.{kind}"), lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"))
-    )
-    fixed = F.concat(*map(numbered, KINDS[:3]))
-
-    def all_spans(fixed: Column) -> Column:
-        free = F.filter(
-            F.col("_fixed.markov"),
-            lambda m: ~F.exists(fixed, lambda f: (f["start"] < m["end"]) & (m["start"] < f["end"])) & (score(m["found"]) >= least),
-        )
-        more = F.transform(free, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
-        return F.array_sort(F.concat(fixed, more))
-
-    return rows.withColumn("found", let(fixed, all_spans)).drop("_fixed")
+    return rows.withColumn("found", F.transform(F.filter("found", lambda x: (x["kind"] < 3) | (score(x["found"]) >= least)), lambda x: x.dropFields("found")))
 
 
 def written(found: Column) -> Column:
@@ -165,15 +99,7 @@ def written(found: Column) -> Column:
 
 def without_secrets(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
     """The text with every span replaced by ``mark``; overlapping spans become one."""
-    # Characters of the text between spans, from the end of the farthest span so far.
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        gap = F.when(x["start"] >= s["at"], F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), gap.alias("out"))
-
-    cleaned = F.aggregate(found, state, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, cleaned).otherwise(text)
+    return replaced(text, found, mark)
 
 
 def scan(docs: DataFrame) -> DataFrame:
