@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -71,10 +72,46 @@ def test_bpe_round_trip_and_unknowns(spark):
     assert len(short["ids"]) == 2
 
 
-def test_independent_prefix():
-    assert bpe.independent_prefix([("a", "b", 9), ("c", "d", 8), ("e", "f", 7)], True) == [("a", "b"), ("c", "d"), ("e", "f")]
-    assert bpe.independent_prefix([("a", "b", 9), ("c", "d", 8), ("b", "f", 8)], True) == [("a", "b")]
-    assert bpe.independent_prefix([("a", "a", 9), ("c", "d", 8)], True) == [("a", "a")]
+@pytest.mark.parametrize(("pairs", "segments"), [(1, 5), (3, 2), (10, 50), (100, 100_000)])
+def test_bpe_windows_of_any_size_give_the_same_merges(spark, pairs, segments):
+    counts = Counter((TEXT + " abcabc ababab bcabca xabcx abc bc aab aaab abcd bcd").split())
+    got = bpe.bpe_train(counts_frame(spark, counts), 30, None, pairs=pairs, segments=segments).orderBy("rank").collect()
+    assert [(r["left"], r["right"]) for r in got] == brute_bpe(counts, 30, None)
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_windows_of_merges_equal_one_at_a_time(seed):
+    """Words over few letters, where symbols are spelled in several ways; stretches cut as the word table would be."""
+    rng = random.Random(seed)
+    words = Counter("".join(rng.choices("abc", k=rng.randrange(1, 9))) for _ in range(40))
+    want, merges, spelled = brute_bpe(words, 30, None), [], set()
+    table = [(list(w), n) for w, n in words.items()]
+    while len(merges) < 30:
+        totals = Counter()
+        for row, n in table:
+            for pair in zip(row, row[1:]):
+                totals[pair] += n
+        ranked = sorted(totals.items(), key=lambda x: (-x[1], x[0]))
+        if not ranked:
+            break
+        width = rng.randrange(1, 6)
+        least = ranked[width][1] + 1 if width < len(ranked) else 1
+        live = {p for p, n in ranked[:width] if n >= least}
+        if len(live) < 2:
+            new = [ranked[0][0]]
+            spelled.add("".join(new[0]))
+        else:
+            stretches = Counter()
+            for row, n in table:
+                cuts = [0] + [i for i in range(1, len(row)) if (row[i - 1], row[i]) not in live] + [len(row)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if b - a > 1:
+                        stretches[" ".join(row[a:b])] += n
+            new = bpe.window_merges(list(stretches.items()), least, 30 - len(merges), spelled)
+        merges += new
+        ranks = {p: i for i, p in enumerate(new)}
+        table = [(bpe._merge_symbols(row, ranks), n) for row, n in table]
+    assert merges == want
 
 
 @pytest.mark.parametrize("n", [5, 40, 100_000])
