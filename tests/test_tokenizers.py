@@ -3,6 +3,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,11 +160,35 @@ def test_unigram_inference_equals_enumeration():
     for parts, w in weight.items():
         for piece in parts:
             want[piece] += w / total
-    got = unigram.expected_pieces(word, scores, 3)
-    assert got == pytest.approx(dict(want))
+    # The same word twice beside a shorter and a longer one of other pieces, all in one lattice.
+    tokens = sorted(scores)
+    words, n = [word, "b", word, "ababaab"], np.array([2.0, 0.0, 1.0, 0.0])
+    ids = unigram.lattice(words, {t: i for i, t in enumerate(tokens)}, 3)
+    got = unigram.expected_counts(ids, np.array([len(w) for w in words]), n, np.array([scores[t] for t in tokens]))
+    assert dict(zip(tokens, got)) == pytest.approx({t: 3 * want[t] for t in tokens})
     assert unigram.best_pieces(word, scores, 3) == list(max(weight, key=weight.get))
 
 
+def test_unigram_lattices_leave_out_what_is_pruned():
+    scores = np.array([-1.0, -np.inf, -2.0])
+    ids = unigram.lattice(["axa"], {"a": 0, "x": 1, "ax": 2}, 2)
+    got = unigram.expected_counts(ids, np.array([3]), np.array([1.0]), scores)
+    ways = [math.exp(-1 - 20 - 1), math.exp(-2 - 1)]
+    assert got == pytest.approx([(2 * ways[0] + ways[1]) / sum(ways), 0.0, ways[1] / sum(ways)])
+
+
+def test_unigram_seeds_equal_brute_force(spark):
+    words = {unigram.MARK + w: n for w, n in Counter(TEXT.split()).items()}
+    want = Counter()
+    for word, n in words.items():
+        for i, j in combinations(range(len(word) + 1), 2):
+            if 2 <= j - i <= 6:
+                want[word[i:j]] += n
+    want = sorted(((n * len(t), t) for t, n in want.items() if n >= 2), key=lambda x: (-x[0], x[1]))
+    got = unigram.seed_pieces(counts_frame(spark, words), 10_000, 6).collect()
+    assert sorted((r["n"] * len(r["token"]), r["token"]) for r in got) == sorted(want)
+
+
 def test_unigram_training(spark):
     counts = counts_frame(spark, Counter((TEXT + " ﬁne ﬁne").split()))
     vocab = unigram.unigram_train(counts, 60, seeds=500, coverage=1.0)

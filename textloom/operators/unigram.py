@@ -6,7 +6,9 @@ import math
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,9 @@ MARK = "▁"
 # Special pieces in id order.
 SPECIALS = ["<pad>", "<unk>", "<s>", "</s>"]
 UNKNOWN_SCORE = -20.0
-MAX_SEEDS = 200_000
+MAX_SEEDS = 1_000_000
+# Cells (word, start, length) of a lattice that is worked on at once.
+CELLS = 1_000_000
 
 
 def normalized_words(counts: DataFrame) -> DataFrame:
@@ -49,28 +53,67 @@ def _segment_scores(word: str, scores: dict[str, float], longest: int) -> list[l
     return ends
 
 
-def _log_sum(values: list[float]) -> float:
-    top = max(values)
-    return top + math.log(sum(math.exp(v - top) for v in values))
+def lattice(words: list[str], places: dict[str, int], longest: int) -> np.ndarray:
+    """Piece numbers (word, start, length - 1) of words of any lengths; -1 where no piece stands."""
+    width = max(map(len, words))
+    ids = np.full((len(words), width, longest), -1, np.int32)
+    get = places.get
+    for w, word in enumerate(words):
+        n = len(word)
+        for start in range(n):
+            for end in range(start + 1, min(n, start + longest) + 1):
+                place = get(word[start:end])
+                if place is not None:
+                    ids[w, start, end - start - 1] = place
+    return ids
 
 
-def expected_pieces(word: str, scores: dict[str, float], longest: int) -> dict[str, float]:
-    """Posterior expected count of each piece in one word (forward-backward)."""
-    ends = _segment_scores(word, scores, longest)
-    n = len(word)
-    forward = [0.0] + [-math.inf] * n
-    for end in range(1, n + 1):
-        forward[end] = _log_sum([forward[s] + p for s, p in ends[end]])
-    onward: list[list[float]] = [[] for _ in range(n)] + [[0.0]]
-    backward = [0.0] * (n + 1)
-    out: dict[str, float] = {}
-    for end in range(n, 0, -1):
-        backward[end] = _log_sum(onward[end])
-        for start, p in ends[end]:
-            onward[start].append(backward[end] + p)
-            piece = word[start:end]
-            out[piece] = out.get(piece, 0.0) + math.exp(forward[start] + p + backward[end] - forward[n])
-    return out
+def _log_sums(values: np.ndarray) -> np.ndarray:
+    top = values.max(axis=1)
+    top = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return top + np.log(np.exp(values - top[:, None]).sum(axis=1))
+
+
+def expected_counts(ids: np.ndarray, lengths: np.ndarray, weights: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Posterior expected count of every piece over weighted words (forward-backward), all words of a lattice at once.
+
+    ``scores`` of pieces that are out are minus infinity; a character without a piece costs UNKNOWN_SCORE.
+    """
+    count, width, longest = ids.shape
+    costs = np.append(scores, -np.inf)[ids]
+    inside = np.arange(width)[None, :] < lengths[:, None]
+    costs[:, :, 0] = np.where(inside & ~np.isfinite(costs[:, :, 0]), UNKNOWN_SCORE, costs[:, :, 0])
+    forward = np.full((count, width + 1), -np.inf)
+    forward[:, 0] = 0.0
+    for end in range(1, width + 1):
+        sizes = np.arange(1, min(longest, end) + 1)
+        forward[:, end] = _log_sums(forward[:, end - sizes] + costs[:, end - sizes, sizes - 1])
+    backward = np.full((count, width + 1), -np.inf)
+    backward[np.arange(count), lengths] = 0.0
+    for start in range(width - 1, -1, -1):
+        sizes = np.arange(1, min(longest, width - start) + 1)
+        onward = _log_sums(backward[:, start + sizes] + costs[:, start, sizes - 1])
+        backward[:, start] = np.where(start < lengths, onward, backward[:, start])
+    total = forward[np.arange(count), lengths]
+    out = np.zeros(len(scores))
+    for size in range(1, min(longest, width) + 1):
+        place = ids[:, : width - size + 1, size - 1]
+        share = np.exp(forward[:, : width - size + 1] + costs[:, : width - size + 1, size - 1] + backward[:, size:] - total[:, None]) * weights[:, None]
+        known = place >= 0
+        out += np.bincount(place[known], share[known], len(scores))
+    return np.where(np.isfinite(scores), out, 0.0)
+
+
+def _batches(lengths: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+    """Row numbers in order of length, so many at a time that their lattice has CELLS cells at most (or one word)."""
+    order, start = np.argsort(lengths, kind="stable"), 0
+    while start < len(order):
+        end = start + 1
+        while end < len(order) and (end + 1 - start) * lengths[order[end]] * longest <= CELLS:
+            end += 1
+        yield order[start:end]
+        start = end
 
 
 def best_pieces(word: str, scores: dict[str, float], longest: int) -> list[str]:
@@ -122,8 +165,9 @@ def unigram_train(
 ) -> DataFrame:
     """(token, score, id) learned from ``counts(word, n)``; pad, unk, bos, eos are 0 to 3.
 
-    The E-step runs per word over the cluster with the current pieces shipped along (bounded by
-    ``seeds``); the M-step is one aggregation. Rare pieces are pruned until the size fits.
+    Seeds are the substrings that occur twice or more, the best MAX_SEEDS by count times length. The pieces inside each
+    word are numbered once, in a pinned table; the E-step runs over it on the cluster with one array of scores shipped along
+    (8 bytes a seed), the M-step is one aggregation. Rare pieces are pruned until the size fits.
     """
     if vocab_size > MAX_VOCAB or seeds > MAX_SEEDS:
         raise ValueError("vocabulary or seed table too large")
@@ -133,36 +177,61 @@ def unigram_train(
     weights = {r["token"]: float(r["n"]) for r in collect_bounded(seed_pieces(words, seeds, longest), seeds, "seeds")}
     weights.update({c: n for c, n in chars.items()})
     target = max(vocab_size - len(SPECIALS), len(chars))
+    tokens = sorted(weights)
+    places = {t: i for i, t in enumerate(tokens)}
+    weight = np.array([weights[t] for t in tokens])
+    fixed = np.array([t in chars for t in tokens])
+    shipped = spark.sparkContext.broadcast(places)
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Every word with its lattice, which stays the same while scores change."""
+        for pdf in batches:
+            for rows in _batches(pdf["word"].str.len().to_numpy(), longest):
+                part = pdf.iloc[rows]
+                ids = lattice(list(part["word"]), shipped.value, longest)
+                sizes = part["word"].str.len().to_numpy()
+                yield pd.DataFrame({"n": part["n"].to_numpy(), "ids": [ids[i, :size].ravel() for i, size in enumerate(sizes)]})
+
     # A word is work proportional to its length, so the small table is spread over all cores.
     spread_words = words.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
+    lattices = pin(spread_words.mapInPandas(numbered, "n bigint, ids array<int>"), "unigram-lattices", compression="zstd")
+    shipped.unpersist()
     while True:
         for _ in range(steps):
-            total = math.log(sum(weights.values()))
-            scores = {t: math.log(w) - total for t, w in weights.items() if w > 0}
-            shipped = spark.sparkContext.broadcast(scores)
-
-            def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                pieces, found = shipped.value, {}
-                for pdf in batches:
-                    for word, n in zip(pdf["word"], pdf["n"]):
-                        for piece, share in expected_pieces(word, pieces, longest).items():
-                            found[piece] = found.get(piece, 0.0) + share * n
-                yield pd.DataFrame(list(found.items()), columns=["token", "w"])
-
-            summed = spread_words.mapInPandas(expect, "token string, w double").groupBy("token").agg(F.sum("w").alias("w"))
-            fresh = {r["token"]: r["w"] for r in collect_bounded(summed, 2 * MAX_SEEDS, "pieces")}
-            weights = {t: max(fresh.get(t, 0.0), 0.5 if t in chars else 0.0) for t in weights}
-            weights = {t: w for t, w in weights.items() if w > 0}
-            shipped.unpersist()
-        if len(weights) <= target:
+            with np.errstate(divide="ignore"):
+                scores = spark.sparkContext.broadcast(np.log(weight) - math.log(weight.sum()))
+
+            def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                found = np.zeros(len(scores.value))
+                for batch in batches:
+                    sizes = np.diff(batch.column("ids").offsets.to_numpy()) // longest
+                    flat = batch.column("ids").flatten().to_numpy(zero_copy_only=False)
+                    ends = np.cumsum(sizes) * longest
+                    n = batch.column("n").to_numpy(zero_copy_only=False).astype(float)
+                    for rows in _batches(sizes, longest):
+                        ids = np.full((len(rows), sizes[rows].max(), longest), -1, np.int32)
+                        for i, r in enumerate(rows):
+                            ids[i, : sizes[r]] = flat[ends[r] - sizes[r] * longest : ends[r]].reshape(-1, longest)
+                        found += expected_counts(ids, sizes[rows], n[rows], scores.value)
+                at = np.flatnonzero(found)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at])], ["piece", "w"])
+
+            summed = lattices.mapInArrow(expect, "piece long, w double").groupBy("piece").agg(F.sum("w").alias("w")).toArrow()
+            fresh = np.zeros(len(tokens))
+            fresh[summed.column("piece").to_numpy()] = summed.column("w").to_numpy()
+            weight = np.where(weight > 0, np.maximum(fresh, np.where(fixed, 0.5, 0.0)), 0.0)
+            scores.unpersist()
+        alive = int((weight > 0).sum())
+        if alive <= target:
             break
-        keep = max(target, int(len(weights) * shrink))
-        ranked = sorted(weights, key=lambda t: (t not in chars, -weights[t], t))
-        weights = {t: weights[t] for t in ranked[:keep]}
-    total = math.log(sum(weights.values()))
-    ranked = sorted(weights, key=lambda t: (-weights[t], t))
+        keep = max(target, int(alive * shrink))
+        # Tokens are in order, so a stable sort breaks ties by token.
+        ranked = np.lexsort((-weight, ~fixed))
+        weight[ranked[keep:]] = 0.0
+    total = math.log(weight.sum())
+    ranked = [i for i in np.argsort(-weight, kind="stable") if weight[i] > 0]
     rows = [(t, 0.0, i) for i, t in enumerate(SPECIALS)]
-    rows += [(t, math.log(weights[t]) - total, i + len(SPECIALS)) for i, t in enumerate(ranked)]
+    rows += [(tokens[p], math.log(weight[p]) - total, i + len(SPECIALS)) for i, p in enumerate(ranked)]
     return spark.createDataFrame(rows, "token string, score double, id bigint")
 
 

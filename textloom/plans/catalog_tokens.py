@@ -66,22 +66,8 @@ def pair_counts(spark, sf):
     return vc.pair_counts(counts(spark, sf), F.filter(F.split("word", ""), lambda c: c != ""))
 
 
-BPE_MERGES = 64
-
-# Tables trained in this session: encoding and decoding reuse them as long as the session lives.
-_TRAINED: dict[tuple[str, str, str], object] = {}
-
-
-def trained(spark, sf, name, train):
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _TRAINED:
-        _TRAINED[key] = train(spark, sf)
-    return _TRAINED[key]
-
-
-def merges(spark, sf):
-    return trained(spark, sf, "bpe", train_merges)
-
+# Fewer only where the corpus has no more pairs.
+BPE_MERGES = 10_000
 
 def train_merges(spark, sf):
     return pin(bpe.bpe_train(vc.word_counts(documents(spark, sf), tx.words(F.col("content"))), BPE_MERGES), "merges")
@@ -94,7 +80,7 @@ def bpe_train(spark, sf):
 
 @query("bpe_encode")
 def bpe_encode(spark, sf):
-    ids = bpe.bpe_encode(F.col("content"), merges(spark, sf))
+    ids = bpe.bpe_encode(F.col("content"), train_merges(spark, sf))
     return documents(spark, sf).select("doc_id", ids.alias("ids")).select(
         "doc_id", F.size("ids").alias("n_tokens"), F.md5(F.array_join("ids", " ")).alias("digest")
     )
@@ -103,12 +89,12 @@ def bpe_encode(spark, sf):
 @query("bpe_decode", f"SELECT doc_id, array_to_string({words('text')}, ' ') AS decoded FROM documents")
 def bpe_decode(spark, sf):
     """Encoding then decoding gives the words back, one space apart."""
-    m = merges(spark, sf)
+    m = train_merges(spark, sf)
     encoded = documents(spark, sf).select("doc_id", bpe.bpe_encode(F.col("content"), m).alias("ids"))
     return encoded.select("doc_id", bpe.bpe_decode(F.col("ids"), m).alias("decoded"))
 
 
-WORDPIECE_SIZE = 2000
+WORDPIECE_SIZE = 30_000
 
 PIECES = f"""{CHARS}, {CLEAN_TOKENS.strip()},
   wc AS (SELECT word, COUNT(*) AS n FROM toks GROUP BY word),
@@ -129,10 +115,6 @@ def wordpiece_train(spark, sf):
     return train_wordpiece(spark, sf)
 
 
-def wordpiece_vocab(spark, sf):
-    return trained(spark, sf, "wordpiece", train_wordpiece)
-
-
 def train_wordpiece(spark, sf):
     chars = vc.char_vocab(documents(spark, sf), "content")
     return pin(wp.wordpiece_train(counts(spark, sf), chars, WORDPIECE_SIZE), "wordpiece")
@@ -140,7 +122,7 @@ def train_wordpiece(spark, sf):
 
 @query("wordpiece_encode")
 def wordpiece_encode(spark, sf):
-    ids = wp.wordpiece_encode(F.col("content_clean"), wordpiece_vocab(spark, sf))
+    ids = wp.wordpiece_encode(F.col("content_clean"), train_wordpiece(spark, sf))
     return cleaned(spark, sf).select("doc_id", ids.alias("ids")).select(
         "doc_id", F.size("ids").alias("n_tokens"), F.md5(F.array_join("ids", " ")).alias("digest")
     )
@@ -149,22 +131,18 @@ def wordpiece_encode(spark, sf):
 @query("wordpiece_decode", f"WITH {CLEAN_TOKENS} SELECT doc_id, replace(content_clean, ' ', '') AS glued FROM cleaned")
 def wordpiece_decode(spark, sf):
     """Every character is in the vocabulary, so the decoded pieces spell the text."""
-    vocab = wordpiece_vocab(spark, sf)
+    vocab = train_wordpiece(spark, sf)
     encoded = cleaned(spark, sf).select("doc_id", wp.wordpiece_encode(F.col("content_clean"), vocab).alias("ids"))
     decoded = encoded.select("doc_id", wp.wordpiece_decode(F.col("ids"), vocab).alias("decoded"))
     return decoded.select("doc_id", F.replace("decoded", F.lit(" "), F.lit("")).alias("glued"))
 
 
-UNIGRAM_SIZE = 1000
-
-
-def unigram_vocab(spark, sf):
-    return trained(spark, sf, "unigram", train_unigram)
+UNIGRAM_SIZE = 32_000
 
 
 def train_unigram(spark, sf):
     words_ = vc.word_counts(cleaned(spark, sf), clean_words())
-    return pin(unigram.unigram_train(words_, UNIGRAM_SIZE, seeds=10_000, coverage=1.0), "unigram")
+    return pin(unigram.unigram_train(words_, UNIGRAM_SIZE, coverage=1.0), "unigram")
 
 
 @query("unigram_train")
@@ -174,7 +152,7 @@ def unigram_train(spark, sf):
 
 @query("unigram_encode")
 def unigram_encode(spark, sf):
-    ids = unigram.unigram_encode(F.col("content_clean"), unigram_vocab(spark, sf))
+    ids = unigram.unigram_encode(F.col("content_clean"), train_unigram(spark, sf))
     return cleaned(spark, sf).select("doc_id", ids.alias("ids")).select(
         "doc_id", F.size("ids").alias("n_tokens"), F.md5(F.array_join("ids", " ")).alias("digest")
     )
@@ -182,7 +160,7 @@ def unigram_encode(spark, sf):
 
 @query("unigram_decode", f"WITH {CLEAN_TOKENS} SELECT doc_id, array_to_string({words('content_clean')}, ' ') AS decoded FROM cleaned")
 def unigram_decode(spark, sf):
-    vocab = unigram_vocab(spark, sf)
+    vocab = train_unigram(spark, sf)
     encoded = cleaned(spark, sf).select("doc_id", unigram.unigram_encode(F.col("content_clean"), vocab).alias("ids"))
     return encoded.select("doc_id", unigram.unigram_decode(F.col("ids"), vocab).alias("decoded"))
 
