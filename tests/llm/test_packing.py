@@ -42,7 +42,8 @@ def test_pieces_hold_every_id_once(edge_docs, edge_rows):
 def test_pieces_of_texts_are_encoded_like_the_whole():
     tokenizer = Tokenizer.from_file(PATH)
     texts = ["a b", " a", "a ", "a  b", "a \n b", "it's 'll x", "tab\tx y", "  x", "x　 y", "<|endoftext|> <|endoftext|>", "1 2 3!! a", "", "́ e \U0001f600 z", "x\x1c y"]
-    tokenizer.encode_special_tokens = True
+    assert tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    texts += ["a <|endoftext|> b", "x<|endoftext|>", "<|endoftext|>", "<|endoftex", *texts[:3], "first first first"]
     got = [np.frombuffer(b, "<u4").tolist() for b in packing.PieceIds(PATH).of(texts)]
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 

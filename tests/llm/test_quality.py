@@ -6,7 +6,7 @@ import pytest
 
 from textloom.llm import quality
 
-UNKNOWN, BEGIN = "<unknown>", "<begin>"
+UNKNOWN, BEGIN, END = "<unknown>", "<begin>", "<end>"
 
 
 def reference_model(texts, vocabulary):
@@ -15,7 +15,7 @@ def reference_model(texts, vocabulary):
     kept = {w for w, _ in sorted(((w, n) for w, n in counts.items() if n > 1), key=lambda x: (-x[1], x[0]))[:vocabulary]}
     three = Counter()
     for t in texts:
-        w = [BEGIN, BEGIN, *(x if x in kept else UNKNOWN for x in t.split()), UNKNOWN]
+        w = [BEGIN, BEGIN, *(x if x in kept else UNKNOWN for x in t.split()), END]
         three.update(zip(w, w[1:], w[2:]))
     two = Counter((v, w) for _, v, w in three)
     one = Counter(w for _, w in two)
@@ -39,7 +39,7 @@ def reference_model(texts, vocabulary):
     rest = sum(map(d1, one.values())) / total
 
     def p1(w):
-        return (max(one[w] - d1(one[w]), 0) if one[w] else 0) / total + rest / (len(kept) + 1)
+        return (max(one[w] - d1(one[w]), 0) if one[w] else 0) / total + rest / (len(kept) + 2)
 
     def p2(v, w):
         if v in bad or v not in of2:
@@ -56,7 +56,7 @@ def reference_model(texts, vocabulary):
     kinds = max(len(counts) - len(kept), 2)
 
     def perplexity(text):
-        w = [BEGIN, BEGIN, *(x if x in kept else UNKNOWN for x in text.split()), UNKNOWN]
+        w = [BEGIN, BEGIN, *(x if x in kept else UNKNOWN for x in text.split()), END]
         logs = [math.log(p3(*x)) - (math.log(kinds) if x[2] == UNKNOWN else 0) for x in zip(w, w[1:], w[2:])]
         return math.exp(-sum(logs) / len(logs))
 
@@ -93,7 +93,7 @@ def test_perplexity_equals_the_formulas(corpus, monkeypatch):
         if i is not None:
             assert (got[i] is None) == (not (t or "").split())
             if got[i] is not None:
-                assert got[i] == pytest.approx(want(t), rel=2e-2 if i >= 1000 else 1e-2)
+                assert got[i] == pytest.approx(want(t), rel=1e-9)
 
 
 def test_good_text_stays_and_junk_goes(corpus):
@@ -114,7 +114,7 @@ def test_formulas_hold_at_production_settings(corpus):
     got = {r["doc_id"]: r["perplexity"] for r in quality.perplexities(docs, quality.fit(docs, labels)).collect()}
     for i, t, _ in rows:
         if i is not None and (t or "").split():
-            assert got[i] == pytest.approx(want(t), rel=2e-2 if i >= 1000 else 1e-2)
+            assert got[i] == pytest.approx(want(t), rel=1e-9)
 
 
 def test_all_trusted_documents_are_fitted(spark, monkeypatch):

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,35 +83,34 @@ def test_forest_with_all_rows_searched_equals_brute_force(spark):
         assert s == pytest.approx(vectors[q] @ vectors[i] / math.sqrt((vectors[q] @ vectors[q]) * (vectors[i] @ vectors[i])), abs=1e-12)
 
 
-@pytest.mark.parametrize("folder", ["sf0.1", "check_s"])
-def test_forest_recall(spark, folder):
-    table = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
-    rows = table.select("vec_id", "embedding").toPandas()
-    v = np.stack(rows["embedding"].to_numpy()).astype(float)
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    ids = rows["vec_id"].to_numpy()
-    queries = np.flatnonzero(ids % 50 == 0)
+def clustered(n, size=64, seed=3):
+    """Unit vectors around centres, some of them far more crowded than others."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(60, size))
+    v = centres[np.minimum(rng.geometric(0.06, n), 60) - 1] + 0.8 * rng.normal(size=(n, size))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def recall(spark, ids, v, every):
+    queries = np.flatnonzero(ids % every == 0)
     scores = v[queries] @ v.T
     scores[np.arange(len(queries)), queries] = -2
     want = {(int(ids[q]), int(ids[c])) for q, s in zip(queries, scores) for c in np.argsort(-s, kind="stable")[:5]}
-    got = {(r["query_id"], r["vec_id"]) for r in rpforest.nearest(table, query()).collect()}
-    assert len(got) == len(want) and len(got & want) >= 0.95 * len(want)
+    table = spark.createDataFrame(pa.table({"vec_id": ids, "embedding": list(v)})).repartition(8)
+    got = {(r["query_id"], r["vec_id"]) for r in rpforest.nearest(table, F.col("vec_id") % every == 0).collect()}
+    assert len(got) == len(want)
+    return len(got & want) / len(want)
 
 
-def test_forest_recall_does_not_fall_with_size(spark):
-    """Five times check_s; a fixed budget of 12 000 rows finds 0.79 here."""
-    table = spark.read.parquet("/root/testdata/check_l/embeddings.parquet").select("vec_id", "embedding")
-    rows = table.toPandas()
+def test_forest_recall_on_the_given_vectors(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").toPandas()
     v = np.stack(rows["embedding"].to_numpy()).astype(float)
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    ids = rows["vec_id"].to_numpy()
-    queries = np.flatnonzero(ids % 500 == 0)
-    scores = v[queries] @ v.T
-    scores[np.arange(len(queries)), queries] = -2
-    want = {(int(ids[q]), int(ids[c])) for q, s in zip(queries, scores) for c in np.argsort(-s, kind="stable")[:5]}
-    got = {(r["query_id"], r["vec_id"]) for r in rpforest.nearest(table, F.col("vec_id") % 500 == 0).collect()}
-    print("recall", len(got & want) / len(want))
-    assert len(got & want) >= 0.95 * len(want)
+    assert recall(spark, rows["vec_id"].to_numpy(), v / np.linalg.norm(v, axis=1, keepdims=True), 50) >= 0.95
+
+
+@pytest.mark.parametrize(("n", "every"), [(10_000, 100), (40_000, 500)])
+def test_forest_recall_does_not_fall_with_size(spark, n, every):
+    assert recall(spark, np.arange(n), clustered(n), every) >= 0.95
 
 
 def test_no_rows(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ WINDOW = 1024
 END_ID = 0
 # Pieces whose ids a worker remembers: up to twice as many, the older half goes first.
 CACHED_PIECES = 500_000
+# Texts that are encoded together.
+TEXTS = 250
 
 
 # The published pre-tokenizer pattern of this kind of byte-level BPE.
@@ -59,8 +63,9 @@ class PieceIds:
 
     A byte-level BPE never merges across a single space between other characters: its pre-tokenizer
     starts a new piece there. So the ids of a text are those of its first piece and of every further
-    piece with the space in front, and frequent pieces are encoded once. Texts in which white space
-    stands beside a space, or at an end, are encoded whole.
+    piece with the space in front. Arrow cuts the texts and numbers the different pieces of a batch; each is encoded
+    once, frequent ones once per worker, and the ids are laid out by piece number. Texts in which white space stands
+    beside a space or at an end, or that hold the string of a special token, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -68,46 +73,61 @@ class PieceIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # The strings of special tokens are ordinary text when they stand in a document.
-        self.tokenizer.encode_special_tokens = True
         self.fast = fast_encoder(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.odd = {""}
+        added = [t["content"] for t in json.loads(open(path, encoding="utf-8").read()).get("added_tokens", [])]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        # Pieces with a space in front, and first pieces without one: by its key a piece is one or the other.
+        self.known: dict[tuple[bool, str], bytes] = {}
+        self.older: dict[tuple[bool, str], bytes] = {}
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: set[str]) -> None:
+    def ids_of(self, keys: list[tuple[bool, str]]) -> list[bytes]:
+        """The ids of each piece; what is new is learned."""
         if len(self.known) > CACHED_PIECES:
             self.known, self.older = {}, self.known
-        # difference() looks its own elements up in the tables; the operator would walk through the tables.
-        missing = pieces.difference(self.known).difference(self.odd)
-        self.known.update((p, self.older[p]) for p in missing if p in self.older)
-        new = missing.difference(self.older)
-        odd = {p for p in new if p[0].isspace() or p[-1].isspace()}
-        self.odd |= odd
-        new -= odd
-        if self.fast is not None:
-            plain = [p for p in new if max(p) < LATIN_END]
-            self.known.update((p, array("I", self.fast.encode_ordinary(" " + p)).tobytes()) for p in plain)
-            new.difference_update(plain)
-        rest = list(new)
-        self.known.update(zip(rest, self.encoded([" " + p for p in rest])))
+        missing = set(keys).difference(self.known)
+        self.known.update((k, self.older[k]) for k in missing if k in self.older)
+        new = [k for k in missing if k not in self.older]
+        text = lambda k: " " + k[1] if k[0] else k[1]
+        plain = [k for k in new if max(k[1]) < LATIN_END] if self.fast is not None else []
+        self.known.update((k, array("I", self.fast.encode_ordinary(text(k))).tobytes()) for k in plain)
+        rest = list(set(new).difference(plain))
+        self.known.update(zip(rest, self.encoded(list(map(text, rest)))))
+        return [self.known[k] for k in keys]
+
+    def is_odd(self, piece: str) -> bool:
+        return not piece or piece[0].isspace() or piece[-1].isspace()
 
     def of(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        seen = set().union(*cut)
-        self.learn(seen)
-        known, odd = self.known, self.odd
-        plain = [True] * len(cut) if odd.isdisjoint(seen) else [odd.isdisjoint(pieces) for pieces in cut]
-        # A first piece has no space in front: it, or the whole text, is encoded as it stands.
-        heads = self.encoded([pieces[0] if easy else text for easy, pieces, text in zip(plain, cut, texts)])
-        out = [
-            head + b"".join(map(known.__getitem__, pieces[1:])) if easy else head for easy, head, pieces in zip(plain, heads, cut)
-        ]
-        if len(odd) > CACHED_PIECES:
-            self.odd = {""}
+        column = pa.array(texts, pa.large_string())
+        cut = pc.split_pattern(column, " ")
+        ends = cut.offsets.to_numpy()
+        distinct = cut.flatten().dictionary_encode()
+        pieces, codes = distinct.dictionary.to_pylist(), distinct.indices.to_numpy()
+        odd = np.fromiter(map(self.is_odd, pieces), bool, len(pieces))
+        whole = np.logical_or.reduceat(odd[codes], ends[:-1])
+        if self.added is not None:
+            whole |= np.fromiter((self.added.search(t) is not None for t in texts), bool, len(texts))
+        # First pieces get numbers of their own.
+        first, place = np.unique(codes[ends[:-1]], return_inverse=True)
+        codes = codes.astype(np.int64)
+        codes[ends[:-1]] = len(pieces) + place
+        keys = [(True, p) for p in pieces] + [(False, pieces[i]) for i in first]
+        wanted = ~np.append(odd, odd[first])
+        ids = iter(self.ids_of([k for k, use in zip(keys, wanted) if use]))
+        table = [next(ids) if use else b"" for use in wanted]
+        flat = np.frombuffer(b"".join(table), "<u4")
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        before = np.cumsum(n) - n
+        laid = flat[np.repeat(starts[codes] - before, n) + np.arange(n.sum())]
+        bounds = np.append(before, n.sum())[ends]
+        out = [laid[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+        for i, e in zip(np.flatnonzero(whole), self.encoded([texts[i] for i in np.flatnonzero(whole)])):
+            out[i] = e
         return out
 
 
@@ -129,8 +149,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
         part = TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for start in range(0, batch.num_rows, 100):
-                some = batch.slice(start, 100)
+            for start in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(start, TEXTS)
                 ids = [x + end for x in encoder.of([t or "" for t in some.column("text").to_pylist()])]
                 sizes = [len(x) // 4 for x in ids]
                 begins = np.cumsum([before, *sizes])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import GOLDEN, WordHashes, id_filter, int64, mix, utf8
-from textloom.session import pin
+from textloom.session import fresh_path, pin, scratch
 
 # The model is fitted on half of the trusted documents: on all of that half.
 # Words of the model: all that the fitted text holds twice or more. Others are one unknown word.
@@ -77,11 +77,13 @@ class Ids:
 
     def __init__(self, hashes: np.ndarray) -> None:
         self.hashes, self.unknown, self.cache = hashes, len(hashes), WordHashes()
+        self.end = self.unknown + 1
 
     def of(self, text: bytes) -> np.ndarray:
-        """Numbers of the words, and the unknown word as the end of the text."""
+        """Numbers of the words, and the end of the text."""
         wanted = self.cache.of(text.split())
         out = np.full(len(wanted) + 1, self.unknown, np.int64)
+        out[-1] = self.end
         if self.unknown:
             at = np.minimum(np.searchsorted(self.hashes, wanted), self.unknown - 1)
             out[:-1] = np.where(self.hashes[at] == wanted, at, self.unknown)
@@ -90,7 +92,7 @@ class Ids:
 
 def counted_runs(texts: DataFrame, ids: Ids) -> DataFrame:
     """(u, v, w, n): counts of three-word runs; u or v is ``begin`` where the text begins, both before its first word."""
-    begin = ids.unknown + 1
+    begin = ids.end + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +142,7 @@ class Model:
     """
 
     ids: Ids
-    lp1: np.ndarray  # per word, the unknown one last
+    lp1: np.ndarray  # per word, then the unknown one, then the end
     back: np.ndarray  # per context word
     unknown_after: np.ndarray  # value of (v, unknown), per v
     values: DataFrame  # (key, value), a row per known run
@@ -166,35 +168,45 @@ def keyed(runs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, vocabulary: int | None = VOCABULARY) -> Model:
+    """The model of the trusted documents; what else the fit writes goes when it ends."""
+    place = fresh_path(docs.sparkSession, "model")
+    with scratch(docs.sparkSession):
+        return fitted_to(docs, labels, vocabulary, place)
+
+
+def fitted_to(docs: DataFrame, labels: DataFrame, vocabulary: int | None, place: str) -> Model:
+    spark = docs.sparkSession
     fitted = pin(trusted_ids(labels).filter("fit").select("doc_id"), "trusted-ids")
-    # Of the texts that the join moves, most are trusted.
-    texts = pin(docs.filter(id_filter(fitted)).join(fitted, "doc_id", "left_semi").select("text"), "trusted-texts")
-    hashes, kinds = frequent_words(texts, vocabulary)
-    ids = Ids(hashes)
+    runs_path = fresh_path(spark, "runs")
+    with scratch(spark):
+        # Of the texts that the join moves, most are trusted.
+        texts = pin(docs.filter(id_filter(fitted)).join(fitted, "doc_id", "left_semi").select("text"), "trusted-texts", compression="zstd")
+        hashes, kinds = frequent_words(texts, vocabulary)
+        ids = Ids(hashes)
+        counted_runs(texts, ids).write.option("compression", "zstd").parquet(runs_path)
+    runs = spark.read.schema("u int, v int, w int, n long").parquet(runs_path)
     unknown = ids.unknown
-    runs = pin(counted_runs(texts, ids), "runs")
 
     three = runs.filter((F.col("u") < unknown) & (F.col("v") < unknown))
     d3 = discounts(few_counts(three, "n"))
-    two_all = pin(runs.groupBy("v", "w").agg(F.count(F.lit(1)).alias("a"), F.sum("n").alias("n")), "two-word-runs")
+    two_all = pin(runs.groupBy("v", "w").agg(F.count(F.lit(1)).alias("a"), F.sum("n").alias("n")), "two-word-runs", compression="zstd")
     two = two_all.filter(F.col("v") < unknown)
     d2 = discounts(few_counts(two, "a"))
     # A row per word of the model.
     one = two_all.groupBy("w").agg(F.count(F.lit(1)).alias("a")).toArrow()
-    a1 = np.zeros(unknown + 1)
+    a1 = np.zeros(unknown + 2)
     a1[one["w"].to_numpy()] = one["a"].to_numpy()
     d1 = discounts(Counter(a1[a1 > 0].astype(int).tolist()))
     cut = np.select([a1 == 0, a1 == 1, a1 == 2], [0.0, d1[0], d1[1]], d1[2])
     total = max(a1.sum(), 1.0)
-    p1 = (a1 - cut) / total + (cut.sum() / total if a1.sum() else 1.0) / (unknown + 1)
+    p1 = (a1 - cut) / total + (cut.sum() / total if a1.sum() else 1.0) / (unknown + 2)
 
-    spark = docs.sparkSession
-    words = spark.createDataFrame(pa.table({"w": pa.array(range(unknown + 1), pa.int32()), "p1": p1}))  # a row per word
+    words = spark.createDataFrame(pa.table({"w": pa.array(range(unknown + 2), pa.int32()), "p1": p1}))  # a row per word
     after_one = context(two, ["v"], "a", d2)
     after_two = context(three, ["u", "v"], "n", d3)
     p2 = two.join(words, "w").join(after_one, "v")
     p2 = p2.withColumn("p2", (F.col("a") - of_count("a", d2)) / F.col("total") + F.col("back") * F.col("p1"))
-    p2 = pin(p2.select("v", "w", "p2", (F.log("p2") - F.log("back") - F.log("p1")).alias("gain")), "two-word-model")
+    p2 = pin(p2.select("v", "w", "p2", (F.log("p2") - F.log("back") - F.log("p1")).alias("gain")), "two-word-model", compression="zstd")
     as_context = after_two.select(F.col("u").alias("v"), F.col("v").alias("w"), F.log("back").alias("lead"))
     values2 = p2.join(as_context, ["v", "w"], "left").select(
         F.lit(-1).alias("u"), "v", "w", (F.col("gain") + F.coalesce("lead", F.lit(0.0))).alias("value")
@@ -205,10 +217,11 @@ def fit(docs: DataFrame, labels: DataFrame, vocabulary: int | None = VOCABULARY)
     unknown_after = np.zeros(unknown + 1)
     found = values2.filter(F.col("w") == unknown).select("v", "value").toArrow()  # a row per word
     unknown_after[found["v"].to_numpy()] = found["value"].to_numpy()
-    back = np.zeros(unknown + 2)
+    back = np.zeros(unknown + 1)
     found = after_one.select("v", "back").toArrow()  # a row per word
     back[found["v"].to_numpy()] = np.log(found["back"].to_numpy())
-    values = pin(keyed(values2.filter(F.col("w") < unknown).unionByName(values3)), "model")
+    keyed(values2.filter(F.col("w") != unknown).unionByName(values3)).write.option("compression", "zstd").parquet(place)
+    values = spark.read.schema("key long, value double").parquet(place)
     lp1 = np.log(p1)
     # An unknown word is one of the unknown words of the fitted text, all alike.
     lp1[unknown] -= math.log(max(kinds - unknown, 2))
@@ -244,7 +257,7 @@ def scored_words(docs: DataFrame, model: Model, groups: int) -> DataFrame:
     Per batch of documents and shard one row with its known runs: their ``keys``, how many documents of
     the batch hold each (``sizes``), and these documents' places in the batch (2 bytes) and counts
     (1 byte; longer counts repeat) in ``cells``. Per document one row with n (words) and base
-    (log-likelihood without known runs). The end of a text counts as one more, unknown word.
+    (log-likelihood without known runs). The end of a text counts as one more word.
     Batches are numbered by scan partition, the same in any rerun.
     """
     ids, lp1, back, after, bits = model.ids, model.lp1, model.back, model.unknown_after, model.filter
@@ -286,7 +299,7 @@ def scored_words(docs: DataFrame, model: Model, groups: int) -> DataFrame:
                 v, x = w[:-1], w[1:]
                 sums.append(float(lp1[w].sum() + back[v].sum() + after[v[x == unknown]].sum()))
                 inner = v < unknown
-                two = key_of(-1, v, x)[inner & (x < unknown)]
+                two = key_of(-1, v, x)[inner & (x != unknown)]
                 three = key_of(w[:-2], w[1:-1], w[2:])[inner[:-1] & inner[1:]]
                 key, m = np.unique(np.concatenate([two, three]), return_counts=True)
                 at = places(key, 32 * len(bits))
