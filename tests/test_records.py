@@ -13,7 +13,7 @@ from textloom.sources import readers, records
 def ranged(request, spark):
     old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     spark.conf.set("spark.sql.files.maxPartitionBytes", request.param)
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
     yield spark
     for k, v in old.items():
         spark.conf.set(k, v)

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from collections import Counter
@@ -61,8 +62,7 @@ def test_bleu_equals_formula(spark):
 def test_rouge_and_meteor_of_known_pairs(spark):
     rows = [("the cat sat on the mat", "the cat sat on the mat"), ("", "something"), ("cats running", "a cat runs")]
     df = spark.createDataFrame(rows, "p string, r string")
-    tokens = ov.rouge_tokens
-    row = ov.rouge_l(df, tokens(F.col("p")), tokens(F.col("r"))).first()
+    row = ov.rouge_l(df, F.col("p"), F.col("r")).first()
     assert row["rougel_r"] == pytest.approx((1 + 0 + 0) / 3)
     perfect = ov.meteor_score("the cat sat on the mat".split(), "the cat sat on the mat".split())
     assert perfect == pytest.approx(1 - 0.5 * (1 / 6) ** 3)
@@ -72,6 +72,37 @@ def test_rouge_and_meteor_of_known_pairs(spark):
     assert ov.rouge_fmeasure(df, "p", "r").first()["rouge1"] == pytest.approx((1 + 0 + 0.4) / 3, abs=0.3)
 
 
+def test_rouge_l_of_several_sentences(spark):
+    # By hand: "police killed the gunman" and "the gunman fled" against "the gunman was killed by police. he fled".
+    # Pairs: {the, gunman} and {} of the first; {the, gunman} and {fled} of the second: 3 of 5 and 3 of 8 different words.
+    assert ov.summary_overlap("police killed the gunman. the gunman fled.", "the gunman was killed by police. he fled") == (3, 5, 8)
+    assert ov.summary_overlap("a b. a b", "b a") == (1, 2, 2)
+    assert ov.summary_overlap("", "x") == (0, 0, 1) and ov.summary_overlap("...", "") == (0, 0, 0)
+    df = spark.createDataFrame([("police killed the gunman. the gunman fled.", "the gunman was killed by police. he fled"), (None, "x")], "p string, r string")
+    row = ov.rouge_l(df, F.col("p"), F.col("r")).first()
+    p, r = 3 / 5, 3 / 8
+    assert tuple(row) == pytest.approx((p / 2, r / 2, 2 * p * r / (p + r + 1e-8) / 2))
+
+
+def test_common_words_equal_the_table():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(9))] for _ in "xy")
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
+        i, j, want = len(a), len(b), set()
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                want.add(a[i - 1])
+                i, j = i - 1, j - 1
+            elif t[i - 1][j] > t[i][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        assert ov.common_words(a, b) == want and ov.lcs_length(a, b) == t[-1][-1]
+
+
 def test_classification_edges(spark):
     one_class = spark.createDataFrame([(1, 1)] * 3, "p int, y int")
     row = mt.classification_metrics(one_class, "p", "y").first()

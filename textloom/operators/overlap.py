@@ -94,18 +94,60 @@ def lcs_length(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
-def lcs_column(pred_tokens: Column, ref_tokens: Column) -> Column:
-    @F.pandas_udf("int")
-    def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
+def common_words(a: list, b: list) -> set:
+    """The words of one longest common subsequence: walking back, equal ends are taken, else ``a`` is cut only if that keeps more.
 
-    return lcs(pred_tokens, ref_tokens)
+    Rows of the bit-parallel recurrence are kept (one bit a cell); an unset bit i of row j stands where the first i + 1 words of
+    ``a`` have one more in common with the first j of ``b`` than the first i have.
+    """
+    places: dict = {}
+    for i, token in enumerate(a):
+        places[token] = places.get(token, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    rows = [full]
+    for token in b:
+        matched = rows[-1] & places.get(token, 0)
+        rows.append(((rows[-1] + matched) | (rows[-1] - matched)) & full)
+    length = lambda i, j: i - (rows[j] & ((1 << i) - 1)).bit_count()
+    i, j, found = len(a), len(b), set()
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            found.add(a[i])
+        elif length(i - 1, j) > length(i, j - 1):
+            i -= 1
+        else:
+            j -= 1
+    return found
+
+
+def sentences(text: str) -> list[list[str]]:
+    """Words of the stretches between full stops; empty stretches count as none."""
+    return [" ".join(part.split()).split(" ") for part in text.split(".") if part]
+
+
+def summary_overlap(pred: str, ref: str) -> tuple[int, int, int]:
+    """(common, words of pred, words of ref), different words each: common are the words of the union, over all pairs of sentences, of a longest common subsequence."""
+    ours, theirs = sentences(pred), sentences(ref)
+    union: set = set()
+    for r in theirs:
+        for p in ours:
+            union |= common_words(r, p)
+    return len(union), len({w for s in ours for w in s}), len({w for s in theirs for w in s})
+
+
+def rouge_l(df: DataFrame, pred: Column, ref: Column) -> DataFrame:
+    """One row: mean precision, recall, F of the summary-level longest common subsequence of two texts (null: empty).
+
+    Fixed by the published score that is asked for: sentences end at full stops, matched words are united over all sentence
+    pairs, and words count once a text.
+    """
 
+    @F.pandas_udf("struct<c:int,np:int,nr:int>")
+    def overlap(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([summary_overlap(x or "", y or "") for x, y in zip(a, b)], columns=["c", "np", "nr"]).astype("int32")
 
-def rouge_l(df: DataFrame, pred_tokens: Column, ref_tokens: Column) -> DataFrame:
-    """One row: mean precision, recall, F of the longest common subsequence."""
-    rows = df.select(pred_tokens.alias("_p"), ref_tokens.alias("_r"))
-    rows = rows.select(F.size("_p").alias("np"), F.size("_r").alias("nr"), lcs_column(F.col("_p"), F.col("_r")).alias("c"))
+    rows = df.select(overlap(pred, ref).alias("o")).select("o.*")
     values = _prf(F.col("c"), F.col("np"), F.col("nr"))
     return rows.agg(*[F.avg(v).alias(f"rougel_{n}") for n, v in zip("prf", values)])
 

@@ -211,7 +211,7 @@ def rouge_n(spark, sf):
 
 @query("rouge_l")
 def rouge_l(spark, sf):
-    return ov.rouge_l(answers(spark, sf), ov.rouge_tokens(F.col("prediction")), ov.rouge_tokens(F.col("reference")))
+    return ov.rouge_l(answers(spark, sf), F.col("prediction"), F.col("reference"))
 
 
 @query("rouge_fmeasure")
