@@ -54,7 +54,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete the tables pinned inside the block when it ends; results must be written or collected before."""
+    """Delete the tables pinned inside the block when it ends; results must be written or collected before.
+
+    Shuffle files of the block's jobs go too: Spark drops them when the driver collects garbage, which is asked for here.
+    """
     paths: list[str] = []
     _scopes.append(paths)
     try:
@@ -64,6 +67,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for path in paths:
             place, fs = _hadoop_path(spark, path)
             fs.delete(place, True)
+        spark._jvm.System.gc()
 
 
 def pin(df: DataFrame, name: str = "pin", partition_by: list[str] | None = None, compression: str | None = None) -> DataFrame:
