@@ -9,6 +9,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,10 @@ END_ID = 0
 # Pieces whose ids a worker remembers: up to twice as many, the older half goes first.
 CACHED_PIECES = 500_000
 # Texts that are encoded together.
-TEXTS = 250
+TEXTS = 500
+# Pieces that are empty, or may begin or end with white space of any kind: their texts are encoded whole.
+SPACE = r"[\x{0}-\x{20}\x{7F}-\x{A0}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{2064}\x{3000}\x{FEFF}]"
+ODD = rf"^$|^{SPACE}|{SPACE}$"
 
 
 # The published pre-tokenizer pattern of this kind of byte-level BPE.
@@ -76,50 +80,58 @@ class PieceIds:
         self.fast = fast_encoder(path)
         added = [t["content"] for t in json.loads(open(path, encoding="utf-8").read()).get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        # Pieces with a space in front, and first pieces without one: by its key a piece is one or the other.
-        self.known: dict[tuple[bool, str], bytes] = {}
-        self.older: dict[tuple[bool, str], bytes] = {}
+        # Pieces with their space in front, and first pieces without one.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids_of(self, keys: list[tuple[bool, str]]) -> list[bytes]:
-        """The ids of each piece; what is new is learned."""
+    def ids_of(self, keys: list[str]) -> list[bytes]:
+        """The ids of different pieces; what is new is learned."""
         if len(self.known) > CACHED_PIECES:
             self.known, self.older = {}, self.known
-        missing = set(keys).difference(self.known)
-        self.known.update((k, self.older[k]) for k in missing if k in self.older)
-        new = [k for k in missing if k not in self.older]
-        text = lambda k: " " + k[1] if k[0] else k[1]
-        plain = [k for k in new if max(k[1]) < LATIN_END] if self.fast is not None else []
-        self.known.update((k, array("I", self.fast.encode_ordinary(text(k))).tobytes()) for k in plain)
-        rest = list(set(new).difference(plain))
-        self.known.update(zip(rest, self.encoded(list(map(text, rest)))))
-        return [self.known[k] for k in keys]
-
-    def is_odd(self, piece: str) -> bool:
-        return not piece or piece[0].isspace() or piece[-1].isspace()
+        known = self.known
+        out = list(map(known.get, keys))
+        at = [i for i, x in enumerate(out) if x is None]
+        if self.older:
+            for i in at:
+                out[i] = self.older.get(keys[i])
+            at, found = [i for i in at if out[i] is None], at
+            known.update((keys[i], out[i]) for i in found if out[i] is not None)
+        rest = []
+        encode = self.fast.encode_ordinary if self.fast is not None else None
+        for i in at:
+            key = keys[i]
+            if encode is not None and (key.isascii() or max(key) < LATIN_END):
+                known[key] = out[i] = array("I", encode(key)).tobytes()
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, self.encoded([keys[i] for i in rest])):
+            known[keys[i]] = out[i] = ids
+        return out
 
     def of(self, texts: list[str]) -> list[bytes]:
         column = pa.array(texts, pa.large_string())
         cut = pc.split_pattern(column, " ")
         ends = cut.offsets.to_numpy()
         distinct = cut.flatten().dictionary_encode()
-        pieces, codes = distinct.dictionary.to_pylist(), distinct.indices.to_numpy()
-        odd = np.fromiter(map(self.is_odd, pieces), bool, len(pieces))
+        codes = distinct.indices.to_numpy().astype(np.int64)
+        odd = pc.match_substring_regex(distinct.dictionary, ODD).to_numpy(zero_copy_only=False)
+        pieces = distinct.dictionary.to_pylist()
         whole = np.logical_or.reduceat(odd[codes], ends[:-1])
         if self.added is not None:
             whole |= np.fromiter((self.added.search(t) is not None for t in texts), bool, len(texts))
-        # First pieces get numbers of their own.
+        # First pieces get numbers of their own. Texts that are encoded whole need no piece.
         first, place = np.unique(codes[ends[:-1]], return_inverse=True)
-        codes = codes.astype(np.int64)
         codes[ends[:-1]] = len(pieces) + place
-        keys = [(True, p) for p in pieces] + [(False, pieces[i]) for i in first]
-        wanted = ~np.append(odd, odd[first])
-        ids = iter(self.ids_of([k for k, use in zip(keys, wanted) if use]))
-        table = [next(ids) if use else b"" for use in wanted]
-        flat = np.frombuffer(b"".join(table), "<u4")
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        used = np.zeros(len(pieces) + len(first), bool)
+        used[codes[np.repeat(~whole, np.diff(ends))]] = True
+        keys = [" " + p for p in pieces] + [pieces[i] for i in first]
+        ids = self.ids_of(list(compress(keys, used)))
+        sizes = np.zeros(len(keys), np.int64)
+        sizes[used] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
         starts = np.cumsum(sizes) - sizes
         n = sizes[codes]
         before = np.cumsum(n) - n
