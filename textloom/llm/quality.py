@@ -145,7 +145,7 @@ class Model:
     lp1: np.ndarray  # per word, then the unknown one, then the end
     back: np.ndarray  # per context word
     unknown_after: np.ndarray  # value of (v, unknown), per v
-    values: DataFrame  # (key, value), a row per known run
+    values: DataFrame  # SHARD, a row per table of known runs and their values
     filter: np.ndarray  # bits of the known keys
     shards: int  # tables that the values are cut into
 
@@ -220,14 +220,15 @@ def fitted_to(docs: DataFrame, labels: DataFrame, vocabulary: int | None, place:
     back = np.zeros(unknown + 1)
     found = after_one.select("v", "back").toArrow()  # a row per word
     back[found["v"].to_numpy()] = np.log(found["back"].to_numpy())
-    keyed(values2.filter(F.col("w") != unknown).unionByName(values3)).write.option("compression", "zstd").parquet(place)
-    values = spark.read.schema("key long, value double").parquet(place)
+    values = pin(keyed(values2.filter(F.col("w") != unknown).unionByName(values3)), "model", compression="zstd")
     lp1 = np.log(p1)
     # An unknown word is one of the unknown words of the fitted text, all alike.
     lp1[unknown] -= math.log(max(kinds - unknown, 2))
     n = values.count()
     bits = min(max(FILTER_BITS[0], 1 << (8 * n).bit_length()), FILTER_BITS[1])
-    return Model(ids, lp1, back, unknown_after, values, filter_bits(values, bits), max(SHARDS, math.ceil(n / SHARD_RUNS)))
+    shards = max(SHARDS, math.ceil(n / SHARD_RUNS))
+    value_shards(values, shards).write.option("compression", "zstd").parquet(place)
+    return Model(ids, lp1, back, unknown_after, spark.read.schema(SHARD).parquet(place), filter_bits(values, bits), shards)
 
 
 def places(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -286,8 +287,8 @@ def scored_words(docs: DataFrame, model: Model, groups: int) -> DataFrame:
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         sizes, first = np.diff(np.append(starts, len(key))).astype(np.int32), np.searchsorted(shard[starts], np.arange(shards + 1))
         ends = np.append(starts, len(key))[first]
-        cut = lambda x, at: [x[i:j].tobytes() for i, j in zip(at, at[1:])]
-        given = {"keys": cut(key[starts], first), "sizes": cut(sizes, first), "cells": cut(cells, ends)}
+        cut = lambda x, at, put=planes: [put(x[i:j]) for i, j in zip(at, at[1:])]
+        given = {"keys": cut(key[starts], first, steps), "sizes": cut(sizes, first), "cells": cut(cells, ends)}
         return rows(shards, part=[(number >> 32) % groups] * shards, shard=range(shards), batch=[number] * shards, **given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,8 +326,30 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return (mix(keys.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) % shards
 
 
-def value_shards(values: DataFrame, shards: int, groups: int) -> DataFrame:
-    """(part, shard, keys, values): the run values in ``shards`` sorted tables, one copy per group of scan partitions."""
+SHARD = "shard int, keys binary, values binary"
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Numbers with all their first bytes in front, then all second ones: equal high bytes stand together and compress."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b""
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def steps(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys as the steps between them, most of which need five or six bytes."""
+    return planes(np.diff(keys.view(np.uint64), prepend=np.uint64(0)))
+
+
+def from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, "<u8"), dtype=np.uint64).view(np.int64)
+
+
+def value_shards(values: DataFrame, shards: int) -> DataFrame:
+    """SHARD: the run values in ``shards`` sorted tables."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,12 +358,10 @@ def value_shards(values: DataFrame, shards: int, groups: int) -> DataFrame:
 
     def one(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("key")
-        keys, values = (rows[c].to_numpy() for c in ("key", "value"))
-        return pa.table({"shard": rows["shard"][:1], "keys": [keys.tobytes()], "values": [values.tobytes()]})
+        return pa.table({"shard": rows["shard"][:1], "keys": [steps(rows["key"].to_numpy())], "values": [rows["value"].to_numpy().tobytes()]})
 
     placed = values.select("key", "value").mapInArrow(place, "shard int, key long, value double")
-    packed = placed.groupBy("shard").applyInArrow(one, "shard int, keys binary, values binary")
-    return packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return placed.groupBy("shard").applyInArrow(one, SHARD)
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
@@ -357,13 +378,13 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
         own = asked.filter(pc.is_valid(asked["place"])).select(["batch", "place", "doc_id", "lang", "n", "base"])
         out = [own.rename_columns(["batch", "place", "doc_id", "lang", "n", "sum"])]
         if held.num_rows:
-            keys, values = np.frombuffer(held["keys"][0].as_py(), np.int64), np.frombuffer(held["values"][0].as_py())
+            keys, values = from_steps(held["keys"][0].as_py()), np.frombuffer(held["values"][0].as_py())
             sums: dict[int, np.ndarray] = {}
             for row in asked.filter(pc.is_valid(asked["keys"])).select(["batch", "keys", "sizes", "cells"]).to_pylist():
-                wanted = np.frombuffer(row["keys"], np.int64)
+                wanted = from_steps(row["keys"])
                 at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                value = np.repeat(np.where(keys[at] == wanted, values[at], 0.0), np.frombuffer(row["sizes"], np.int32))
-                cells = np.frombuffer(row["cells"], np.uint8).reshape(-1, 3)
+                value = np.repeat(np.where(keys[at] == wanted, values[at], 0.0), from_planes(row["sizes"], "<i4"))
+                cells = np.frombuffer(row["cells"], np.uint8).reshape(3, -1).T
                 place = cells[:, 0] + (cells[:, 1].astype(np.int64) << 8)
                 sums[row["batch"]] = np.bincount(place, value * cells[:, 2]) if len(place) else np.empty(0)
             found = [(b, np.flatnonzero(x)) for b, x in sums.items()]
@@ -377,7 +398,8 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
             out.append(pa.table(parts, names=out[0].column_names))
         return pa.concat_tables(out)
 
-    asked, held = scored_words(docs, model, groups), value_shards(model.values, model.shards, groups)
+    copies = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    asked, held = scored_words(docs, model, groups), model.values.withColumn("part", copies)
     schema = "batch long, place int, doc_id long, lang string, n long, sum double"
     parts = asked.groupBy("part", "shard").cogroup(held.groupBy("part", "shard")).applyInArrow(look_up, schema)
     out = parts.groupBy("batch", "place").agg(F.sum("sum").alias("sum"), F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n").alias("n"))
