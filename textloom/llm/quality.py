@@ -221,6 +221,8 @@ def fitted_to(docs: DataFrame, labels: DataFrame, vocabulary: int | None, place:
     found = after_one.select("v", "back").toArrow()  # a row per word
     back[found["v"].to_numpy()] = np.log(found["back"].to_numpy())
     values = pin(keyed(values2.filter(F.col("w") != unknown).unionByName(values3)), "model", compression="zstd")
+    # Shuffle files of the jobs so far go before the next large ones come.
+    spark._jvm.System.gc()
     lp1 = np.log(p1)
     # An unknown word is one of the unknown words of the fitted text, all alike.
     lp1[unknown] -= math.log(max(kinds - unknown, 2))
