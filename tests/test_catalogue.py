@@ -8,7 +8,7 @@ from tools.check import TABLES, rows_of
 
 QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
 
-# These have exact tests of their own and train models; the driver runs them.
+# These train models and have exact tests of their own operators.
 SLOW = {"word2vec", "model_comparison", "linear_svm", "random_forest", "nmf_topics", "lda_topics", "unigram_encode", "bpe_encode", "wordpiece_encode"}
 
 
