@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textloom.llm.common import GOLDEN, WORD_PATTERN, Rolling, WordHashes, id_filter, int64, lists, mix, utf8
 from textloom.operators.dedup import connected_components
@@ -143,59 +142,117 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(run, "a long, b long").distinct()
 
 
-# Members of a bucket that meet all the others in one round, round after round; then all that are left.
-HUBS = (1, 12)
+# Buckets of more sets than this are searched by their rarest shingles instead of set by set.
+CROWD = 8
+
+
+def possible(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """The pinned ``pairs(a, b)`` whose sizes and parity bits may belong to sets at the threshold."""
+    bands, per_band = band_layout(percent)
+    far = most_differing(percent, bands * per_band)
+    of = lambda side: about.select(*[F.col(c).alias(c if c == "id" else f"{c}_{side}") for c in ("id", "n", *PARITY)]).withColumnRenamed("id", side)
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    both = lookup(pairs.join(of("b"), "b"), of("a"), "a", counts=counts)
+    apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY), F.lit(0))
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return both.filter(fits & (apart <= far)).select("a", "b")
+
+
+def shingle_rows(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+    """(id, comp, n, shingles): the whole hashed set of each of ``chosen(id, comp, digest)``."""
+    ids = chosen.select(F.col("id").alias("doc_id"))
+    texts = docs.filter(id_filter(ids)).join(chosen.withColumnRenamed("id", "doc_id"), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in batches:
+            sets, mine = [], []
+            for text, digest in zip(utf8(batch.column("text")), batch.column("digest").to_pylist()):
+                hashes = shingle_hashes((text or b"").lower().split(), k, cache)
+                # Another version of the document stands for another set.
+                mine.append(hashlib.blake2b(hashes, digest_size=16).digest() == digest)
+                if mine[-1]:
+                    sets.append(int64(hashes))
+            some = batch.select(["doc_id", "comp"]).filter(pa.array(mine, pa.bool_()))
+            sizes = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*some.columns, sizes, lists(sets, pa.int64())], ["id", "comp", "n", "shingles"])
+
+    rows = texts.select("doc_id", "comp", "digest", "text").mapInArrow(run, "id long, comp long, n long, shingles array<long>")
+    return rows.dropDuplicates(["id"])
+
+
+def rare_shingle_pairs(docs: DataFrame, chosen: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``chosen(id, comp, digest)`` with different comp: all that reach the threshold, and few others.
+
+    Shingles are ordered by the number of chosen sets that hold them, rarest first. Sets that reach the
+    threshold share one of the first ``n - ceil(percent * n / 100) + 1``; at the first one they share, the
+    rest of both must be long enough. So texts around one common body, each with enough words of its own, make no pair.
+    Under a shingle only the sets outside its largest group meet the others.
+    """
+    sets = pin(shingle_rows(docs, chosen, k), "open-sets", compression="zstd")
+    each = sets.select("id", F.explode("shingles").alias("shingle"))
+    held = pin(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared-shingles")
+    shared = lookup(each, held, "shingle", counts=held, weight="size").groupBy("id")
+    shared = shared.agg(F.array_sort(F.collect_list(F.struct("size", "shingle"))).alias("shared"))
+    # What one set alone holds comes first.
+    prefix = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
+    rows = sets.select("id", "comp", "n").join(shared, "id").withColumn("own", F.col("n") - F.size("shared")).filter(prefix > F.col("own"))
+    rows = rows.select("id", "comp", "n", "own", F.posexplode(F.expr("slice(shared, 1, int(n - (%d * n + 99) div 100 + 1 - own))" % percent)).alias("at", "s"))
+    rows = pin(rows.select("id", "comp", "n", (F.col("own") + F.col("at")).alias("at"), F.col("s.shingle").alias("shingle")), "rare-shingles")
+    rows, counts = outside_main(rows, "shingle")
+    one = rows.filter("comp != main").select("shingle", *[F.col(c).alias(f"{c}_1") for c in ("id", "comp", "n", "at")])
+    left = F.least(F.col("n") - F.col("at"), F.col("n_1") - F.col("at_1"))
+    reach = (100 + percent) * left >= percent * (F.col("n") + F.col("n_1"))
+    pairs = rows.join(one, "shingle").filter((F.col("comp") != F.col("comp_1")) & reach)
+    return pairs.select(F.least("id", "id_1").alias("a"), F.greatest("id", "id_1").alias("b")).distinct()
+
+
+def outside_main(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The pinned ``rows(key, comp)`` of keys that hold two groups or more, with the largest one as ``main``; the keys and their sizes."""
+    parts = rows.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("size"))
+    main = parts.groupBy(key).agg(F.max_by("comp", F.struct("size", -F.col("comp"))).alias("main"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts"))
+    main = pin(main.filter("parts > 1").drop("parts"), "main-groups")
+    return lookup(rows, main, key, counts=main, weight="size"), main
 
 
 def links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(links, groups): verified links (a, b) that join every group, and (id, cluster) of the linked ids.
 
-    ``sets(doc_id, n, p0 .. p2, bands)`` has one row per different set. In a band's bucket a few members, the hubs,
-    meet all others; whom they link is in one group and needs no further comparison inside it. In later
-    rounds hubs come from outside the bucket's largest group and meet the members of other groups only.
-    The last round takes every member outside the largest group that was no hub yet. So no pair of
-    different groups in a bucket stays uncompared, and a bucket of m near copies costs a few times m.
-    Pairs whose sizes or parity bits are too far apart for the threshold are never made.
+    ``sets(doc_id, digest, n, p0 .. p2, bands)`` has one row per different set. In a band's bucket the smallest
+    id meets all others first; whom it links is in one group and needs no further comparison inside it.
+    Where the others still are of two groups or more, those outside the largest group meet the members of other
+    groups: one by one in buckets of CROWD sets at most, and by ``rare_shingle_pairs`` over the sets of all larger
+    buckets at once. So no pair of different groups in a bucket is lost, and a bucket of m near copies,
+    or of m texts around one body, costs a few times m.
+    Pairs whose sizes or parity bits are too far apart for the threshold are not verified.
     """
-    bands, per_band = band_layout(percent)
-    far = most_differing(percent, bands * per_band)
-    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"hub_{p}"))) for p in PARITY), F.lit(0))
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    rows = sets.select(F.col("doc_id").alias("id"), "n", *PARITY, F.explode("bands").alias("bucket"))
-    sizes = pin(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
-    members = lookup(rows, sizes, "bucket", counts=sizes, weight="size").select("bucket", "id", "n", *PARITY, F.lit(False).alias("met"))
-    members = pin(members.withColumn("comp", F.col("id")), "bucket-members")
-    spark = docs.sparkSession
-    found, groups = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, cluster long")
-    for turn, most in enumerate((*HUBS, None)):
-        parts = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
-        main = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("size", -F.col("comp"))).alias("main"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts"))
-        main = pin(main.filter("parts > 1").drop("parts"), "open-buckets")
-        if main.isEmpty():
-            break
-        members = lookup(members, main, "bucket", counts=main, weight="size")
-        # The first hub is any: with nothing linked yet, the largest group is the smallest id alone.
-        outside = F.col("comp") != F.col("main") if turn else F.col("comp") == F.col("main")
-        hubs = members.filter(outside & ~F.col("met"))
-        if most is not None:
-            order = Window.partitionBy("bucket").orderBy("id")
-            hubs = hubs.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= most)
-        hubs = pin(hubs.select("bucket", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), *[F.col(p).alias(f"hub_{p}") for p in PARITY]), "hubs")
-        if hubs.isEmpty():
-            break
-        pairs = members.join(hubs, "bucket").filter((F.col("comp") != F.col("hub_comp")) & fits("n", "hub_n") & (apart <= far))
-        pairs = pin(pairs.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-        new = pin(verified(pairs, docs, k, percent), "links")
-        if not new.isEmpty():
-            found = pin(found.unionByName(new), "links")
-            groups = pin(connected_components(found), "groups")
-        if most is None:
-            break
-        met = hubs.select("bucket", F.col("hub").alias("id"), F.lit(True).alias("now"))
-        named = groups.withColumnRenamed("cluster", "group")
-        members = members.select("bucket", "id", "n", *PARITY, "met").join(met, ["bucket", "id"], "left").join(named, "id", "left")
-        members = pin(members.select("bucket", "id", "n", *PARITY, F.coalesce("now", "met").alias("met"), F.coalesce("group", "id").alias("comp")), "bucket-members")
-    return found, groups
+    about = sets.select(F.col("doc_id").alias("id"), "n", *PARITY)
+    rows = sets.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).filter("size > 1")
+    sizes = pin(sizes, "buckets")
+    members = pin(lookup(rows, sizes, "bucket", counts=sizes, weight="size").filter("id != hub"), "bucket-members")
+    star = pin(members.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "hub-pairs")
+    found = pin(verified(pin(possible(star, about, percent), "pairs"), docs, k, percent), "links")
+    groups = pin(connected_components(found), "groups")
+
+    named = members.filter("size > 2").join(groups, "id", "left").select("bucket", "id", "size", F.coalesce("cluster", "id").alias("comp"))
+    named = pin(named.withColumnRenamed("size", "all"), "named-members")
+    crowded, _ = outside_main(named, "bucket")
+    crowded = pin(crowded, "open-members")
+    few = crowded.filter(F.col("all") <= CROWD)
+    others = few.filter("comp != main").select("bucket", F.col("id").alias("other"), F.col("comp").alias("other_comp"))
+    pairs = few.join(others, "bucket").filter("comp != other_comp")
+    pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    chosen = crowded.filter(F.col("all") > CROWD).select("id", "comp").distinct()
+    chosen = pin(chosen.join(sets.select(F.col("doc_id").alias("id"), "digest"), "id"), "open-ids")
+    if not chosen.isEmpty():
+        pairs = pairs.unionByName(rare_shingle_pairs(docs, chosen, k, percent))
+    pairs = pin(pairs.distinct(), "other-pairs")
+    new = pin(verified(pin(possible(pairs, about, percent), "pairs"), docs, k, percent), "links")
+    if new.isEmpty():
+        return found, groups
+    found = pin(found.unionByName(new), "links")
+    return found, pin(connected_components(found), "groups")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -217,7 +274,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.min("n").alias("n"), *[F.any_value(c).alias(c) for c in (*PARITY, "bands")]
     )
     classes = pin(classes, "set-classes")
-    one_each = classes.select(F.col("rep").alias("doc_id"), "n", *PARITY, "bands")
+    one_each = classes.select(F.col("rep").alias("doc_id"), "digest", "n", *PARITY, "bands")
     # Versions of one document: their ids are links of their own.
     edges, groups = links(docs, one_each, k, percent)
     repeated = used.groupBy("doc_id").agg(F.count(F.lit(1)).alias("v")).filter("v > 1")
