@@ -23,6 +23,8 @@ SEARCH_SHARE = 0.8
 SEARCH_ROWS = 12_000
 # Rows of one leaf that a task takes at a time; larger leaves are cut by hash.
 BLOCK_ROWS = 4096
+# Rows of the leaves that are searched together: a query's best of them leave the task, not its best of every leaf.
+GROUP_ROWS = 32_768
 
 
 class Tree:
@@ -118,51 +120,75 @@ def nearest(
     leaf = max(8, int(LEAF_ROWS / scale))
     forest = [Tree(points, leaf, seed) for seed in range(trees)]
     salts = max(1, round(scale * leaf / BLOCK_ROWS))
+    groups = max(1, round(trees * n / (GROUP_ROWS * salts)))
+    most = k + 1
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = unit(matrix(batch.column("v"), np.float64))
             for i, tree in enumerate(forest):
-                leaves = tree.leaves(points)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(points), pa.int32()), pa.array(leaves, pa.int32()), batch.column("v"), batch.column("ids")], ["tree", "leaf", "v", "ids"])
+                codes = tree.leaves(points).astype(np.int64) * trees + i
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((codes % groups).astype(np.int32)), pa.array(codes), batch.column("v"), batch.column("ids")], ["part", "leaf", "v", "ids"]
+                )
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = unit(matrix(batch.column("v"), np.float64))
             for j, point in enumerate(points):
-                at = search(forest, point, budget, scale)
-                m = len(at)
-                one = batch.slice(j, 1).take(pa.array([0] * m, pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in at], pa.int32()), pa.array([x[1] for x in at], pa.int32()), one.column("v"), one.column("vec_id")],
-                    ["tree", "leaf", "q", "query_id"],
-                )
-
-    stored = distinct.mapInArrow(index, "tree int, leaf int, v array<double>, ids array<long>")
+                codes = np.sort(np.array([at * trees + i for i, at in search(forest, point, budget, scale)], np.int64))
+                codes = codes[np.argsort(codes % groups, kind="stable")]
+                parts, first = np.unique(codes % groups, return_index=True)
+                one = batch.slice(j, 1).take(pa.array([0] * len(parts), pa.int32()))
+                leaves = pa.ListArray.from_arrays(pa.array(np.append(first, len(codes)), pa.int32()), pa.array(codes))
+                yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), leaves, one.column("v"), one.column("vec_id")], ["part", "leaves", "q", "query_id"])
+
+    stored = distinct.mapInArrow(index, "part int, leaf long, v array<double>, ids array<long>")
     stored = stored.withColumn("salt", F.pmod(F.col("ids")[0], F.lit(salts)).cast("int"))
     ids = rows.filter("is_query AND vec_id IS NOT NULL").select("vec_id").distinct()
-    asked = vectors.join(ids, "vec_id", "left_semi").repartition(F.col("vec_id"))
-    visits = asked.select("v", "vec_id").mapInArrow(visit, "tree int, leaf int, q array<double>, query_id long")
+    # A number of partitions is named: few query rows are much work.
+    tasks = max(embeddings.sparkSession.sparkContext.defaultParallelism, int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked = vectors.join(ids, "vec_id", "left_semi").repartition(tasks, F.col("vec_id"))
+    visits = asked.select("v", "vec_id").mapInArrow(visit, "part int, leaves array<long>, q array<double>, query_id long")
     visits = visits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    most = k + 1
 
     def rank(asked: pa.Table, held: pa.Table) -> pa.Table:
         names, kinds = ["query_id", "ids", "score"], [pa.int64(), pa.list_(pa.int64()), pa.float64()]
         if not asked.num_rows or not held.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
-        v, lists = matrix(held["v"], np.float64), held["ids"].combine_chunks()
-        size, out = np.sqrt(np.einsum("ij,ij->i", v, v)), []
-        for start in range(0, asked.num_rows, 512):
-            some = asked.slice(start, 512)
-            q = matrix(some["q"], np.float64)
-            at = best_rows(q @ v.T / size, most)
-            i, j = np.repeat(np.arange(len(q)), at.shape[1]), at.ravel()
-            # The same sum for a pair wherever it is met, so ties are ties.
-            score = np.einsum("ij,ij->i", q[i], v[j]) / (np.sqrt(np.einsum("ij,ij->i", q, q))[i] * size[j])
-            out.append(pa.table([some["query_id"].combine_chunks().take(pa.array(i)), lists.take(pa.array(j)), pa.array(score)], names=names))
-        return pa.concat_tables(out)
-
-    keys = ["tree", "leaf", "salt"]
+        v, lists, q = matrix(held["v"], np.float64), held["ids"].combine_chunks(), matrix(asked["q"], np.float64)
+        size, length = np.sqrt(np.einsum("ij,ij->i", v, v)), np.sqrt(np.einsum("ij,ij->i", q, q))
+        wanted = asked["leaves"].combine_chunks()
+        who = np.repeat(np.arange(len(q)), wanted.value_lengths().to_numpy())
+        what, where = wanted.flatten().to_numpy(), held["leaf"].to_numpy()
+        by_leaf, by_wish = np.argsort(where, kind="stable"), np.argsort(what, kind="stable")
+        queries, places, scores = [], [], []
+        for code in np.unique(what):
+            rows = by_leaf[np.searchsorted(where, code, "left", by_leaf) : np.searchsorted(where, code, "right", by_leaf)]
+            asking = who[by_wish[np.searchsorted(what, code, "left", by_wish) : np.searchsorted(what, code, "right", by_wish)]]
+            for start in range(0, len(asking) if len(rows) else 0, 512):
+                some = asking[start : start + 512]
+                at = best_rows(q[some] @ v[rows].T / size[rows], most)
+                i, j = np.repeat(some, at.shape[1]), rows[at.ravel()]
+                queries.append(i)
+                places.append(j)
+                # The same sum for a pair wherever it is met, so ties are ties.
+                scores.append(np.einsum("ij,ij->i", q[i], v[j]) / (length[i] * size[j]))
+        if not queries:
+            return pa.table([pa.array([], t) for t in kinds], names=names)
+        i, j, score = np.concatenate(queries), np.concatenate(places), np.concatenate(scores)
+        first = lists.flatten().to_numpy()[lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()][j]
+        # A vector met in several leaves counts once.
+        once = np.lexsort((first, i))
+        once = once[np.append(True, (np.diff(i[once]) != 0) | (np.diff(first[once]) != 0))]
+        order = once[np.lexsort((first[once], -score[once], i[once]))]
+        begins = np.flatnonzero(np.append(True, np.diff(i[order]) != 0))
+        rank_in = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
+        kept = order[rank_in < most]
+        columns = [asked["query_id"].combine_chunks().take(pa.array(i[kept])), lists.take(pa.array(j[kept])), pa.array(score[kept])]
+        return pa.table(columns, names=names)
+
+    keys = ["part", "salt"]
     hits = visits.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(rank, "query_id long, ids array<long>, score double")
     # A vector beyond the first k + 1, copies folded, is behind k others at every id: only these are unfolded.
     one = hits.groupBy("query_id", F.col("ids")[0].alias("first")).agg(F.any_value("ids").alias("ids"), F.max("score").alias("score"))
