@@ -100,3 +100,33 @@ def test_versions_without_words_link_nothing(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     pairs = spark.createDataFrame([(1, 2), (5, 6)], "a long, b long")
     assert [tuple(r) for r in minhash.verified(pairs, docs, 3, 85).collect()] == [(1, 2)]
+
+
+def pages_around_a_body():
+    """60 pages of one body and own words, too far apart to be linked; every tenth has a near copy."""
+    body = [f"b{i}" for i in range(300)]
+    rows = []
+    for i in range(60):
+        own = [f"own{i}x{j}" for j in range(50)]
+        rows.append((2 * i, " ".join(body + own)))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, " ".join(body + own[:-2])))
+    return rows
+
+
+def test_a_common_body_makes_no_pairs(spark):
+    rows = pages_around_a_body()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chosen = minhash.sketches(docs, 3, 85).selectExpr("doc_id AS id", "doc_id AS comp", "digest")
+    pairs = {tuple(r) for r in minhash.rare_shingle_pairs(docs, chosen, 3, 85).collect()}
+    assert pairs == {(2 * i, 2 * i + 1) for i in range(0, 60, 10)}
+
+
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    """Near copies among pages around one body are found, by rare shingles and one by one."""
+    rows = pages_around_a_body()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for crowd in (0, 8):
+        monkeypatch.setattr(minhash, "CROWD", crowd)
+        out = minhash.near_duplicates(docs, 3, 85).select("doc_id", "n_shingles", "component_id", "kept").collect()
+        assert sorted(map(tuple, out), key=repr) == brute(rows, 3, 85)

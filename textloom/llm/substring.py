@@ -1,4 +1,7 @@
-"""Remove long passages that stand in an earlier document too, by relative Lempel-Ziv factors."""
+"""Remove long passages that stand in an earlier document too: windows around content-chosen reference blocks, joined by hash.
+
+No Lempel-Ziv parse: every repeated window holds an indexed block, and only its smallest doc_id is asked for.
+"""
 
 from __future__ import annotations
 
@@ -107,11 +110,7 @@ def windows(texts: DataFrame, window: int) -> DataFrame:
 
 
 def factors(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Greedy factors (begin, end) of a text from the starts of its windows that the index holds.
-
-    A factor grows word by word while the next window is indexed; factors that touch or overlap at a
-    boundary become one span.
-    """
+    """Spans (begin, end) covered by the windows of a text that the join found; spans that touch or overlap become one."""
     spans: list[tuple[int, int]] = []
     starts = np.sort(starts)
     breaks = np.flatnonzero(np.diff(starts) > window)
@@ -156,7 +155,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False)
     Plan: (1) equal texts fold into their smallest doc_id; the others are covered whole. (2) Every
     text is cut into reference blocks by content; blocks of two documents at least form the index.
     (3) Only windows around indexed blocks are written, and the smallest doc_id of each is found by
-    grouping on 128 bits of hash. (4) The texts are factored greedily by the windows found.
+    grouping on 128 bits of hash. (4) The windows found are merged to spans and cut out.
     No pairs of documents arise anywhere: a passage in m documents costs m rows.
 
     Null and short texts keep all words. Rows with a null doc_id keep all words and are no reference.
