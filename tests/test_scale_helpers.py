@@ -122,6 +122,59 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, threshold, hot_ro
     assert {r["id"] for r in dd.near_dup_dedup(df, "id", "t", threshold).collect()} == kept
 
 
+@pytest.mark.parametrize("crowd", [2, 8])
+def test_near_duplicates_around_common_bodies_equal_brute_force(spark, monkeypatch, crowd):
+    """Several groups in the same buckets, some below the threshold of each other, joined through few rows."""
+    monkeypatch.setattr(dd, "CROWD", crowd)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    body = [word() for _ in range(80)]
+    rows = []
+    for group in range(4):
+        own = body[: 74 - group] + [word() for _ in range(6 + group)]
+        for _ in range(12):
+            words = list(own)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 6])):
+                words[rng.randrange(len(words))] = word()
+            rows.append(" ".join(words))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "id int, t string")
+    for threshold in (0.8, 0.9):
+        first = {}
+        for (a, b), score in brute_pairs(rows, threshold).items():
+            if b not in first or a < first[b][0]:
+                first[b] = (a, pytest.approx(score))
+        assert first
+        links = {r["id"]: (r["partner"], r["jaccard"]) for r in dd.near_dup_links(df, "id", "t", threshold).collect()}
+        assert links == first
+
+
+def test_pages_around_one_body_make_few_pairs(spark, monkeypatch):
+    """400 pages of similarity 0.86 at a threshold of 0.9: all pairs would be 79 800."""
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    body = "".join(rng.choice(letters) for _ in range(1_000))
+    rows = [(i, body + "".join(rng.choice(letters) for _ in range(80))) for i in range(400)]
+    counted = []
+    verify = dd._verified
+
+    def counting(pairs, *rest):
+        counted.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(dd, "_verified", counting)
+    df = spark.createDataFrame(rows, "id int, t string")
+    assert dd.near_dup_links(df, "id", "t", 0.9).collect() == []
+    assert 0 < sum(counted) < 4_000
+
+
+def test_sketches_hold_no_shingles(spark):
+    df = spark.createDataFrame([(1, "a text of some length"), (2, "abc"), (3, None)], "id int, t string")
+    sketch = dd.sketches(df, "id", "t", 0.9)
+    assert sketch.columns == ["id", "n", "bands"] and [r["id"] for r in sketch.collect()] == [1]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101)], "a int, b int")
     got = {r["id"]: r["cluster"] for r in dd.connected_components(edges).collect()}

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -83,7 +83,7 @@ def _band_keys(hashes: np.ndarray, bands: int, rows: int, seeds: np.ndarray) ->
 
 
 def sketches(df: DataFrame, id_col: str, text: str, threshold: float, k: int = 5) -> DataFrame:
-    """(id, n, shingles, bands) per row with at least one shingle; Arrow batches, no shuffle."""
+    """(id, n, bands) per row with at least one shingle: set size and band keys; Arrow batches, no shuffle."""
     bands, rows = band_layout(threshold)
     seeds = _mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     id_type = df.schema[id_col].dataType.simpleString()
@@ -95,69 +95,160 @@ def sketches(df: DataFrame, id_col: str, text: str, threshold: float, k: int = 5
                 hashes = shingle_hashes(content, k)
                 if len(hashes):
                     keys = _band_keys(hashes, bands, rows, seeds)
-                    out.append((key, len(hashes), hashes.view(np.int64), keys.view(np.int64)))
-            yield pd.DataFrame(out, columns=[id_col, "n", "shingles", "bands"])
+                    out.append((key, len(hashes), keys.view(np.int64)))
+            yield pd.DataFrame(out, columns=["id", "n", "bands"])
 
-    schema = f"{id_col} {id_type}, n int, shingles array<bigint>, bands array<bigint>"
+    schema = f"id {id_type}, n int, bands array<bigint>"
     return df.filter(F.col(text).isNotNull()).select(id_col, text).mapInPandas(sketch, schema)
 
 
-def _verified(pairs: DataFrame, sk: DataFrame, id_col: str, threshold: float) -> DataFrame:
-    """Keep pairs (a, b) whose exact Jaccard reaches the threshold.
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(a, b, jaccard) of those ``pairs(a, b)`` whose exact Jaccard reaches the threshold.
 
-    ``a`` may be a hub shared by a large part of the pairs, hence the salted lookup.
+    ``texts(id, text)`` has one row per id. ``a`` may be a hub shared by a large part of the pairs,
+    hence the salted lookup; its set is built once per run of pairs.
     """
-    left = sk.select(F.col(id_col).alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = sk.select(F.col(id_col).alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    with_b = pairs.join(right, "b")
+    id_type = texts.schema["id"].dataType.simpleString()
+    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     hub_counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    both = lookup(with_b, left, "a", counts=hub_counts)
-    common = F.size(F.array_intersect("sa", "sb"))
-    both = both.withColumn("jaccard", common / (F.col("na") + F.col("nb") - common))
-    return both.filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+    both = lookup(with_b, texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a", counts=hub_counts)
 
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hub, of_hub = None, np.empty(0, np.uint64)
+        for pdf in batches:
+            found = []
+            for text_a, text_b in zip(pdf["text_a"], pdf["text_b"]):
+                if text_a != hub:
+                    hub, of_hub = text_a, shingle_hashes(text_a, k)
+                other = shingle_hashes(text_b, k)
+                common = len(np.intersect1d(of_hub, other, assume_unique=True))
+                found.append(common / (len(of_hub) + len(other) - common))
+            scored = pdf[["a", "b"]].assign(jaccard=found)
+            yield scored[scored["jaccard"] >= threshold]
 
-def near_dup_edges(df: DataFrame, id_col: str, text: str, threshold: float = 0.9, k: int = 5) -> DataFrame:
-    """Verified edges (a < b, jaccard) among distinct texts that connect every near-dup cluster.
+    both = both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
+    return both.mapInPandas(score, f"a {id_type}, b {id_type}, jaccard double")
+
+
+# Buckets of more rows than this are searched by their rarest shingles instead of row by row.
+CROWD = 8
+# Rounds in which the rows of a bucket that are still open meet the smallest of them.
+STAR_ROUNDS = 2
+
+
+def _size_fits(n: str, other: str, threshold: float) -> Column:
+    return F.least(n, other) >= F.greatest(n, other) * F.lit(threshold) - 1e-9
+
+
+def _star(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs, star): ids (a, b) of each bucket's smallest row and the others of fitting size, and (bucket, id, n, root, root_n)."""
+    roots = rows.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("root"), F.count(F.lit(1)).alias("size"))
+    roots = pin(roots.filter("size > 1"), "bucket-roots")
+    star = lookup(rows, roots.select("bucket", "root"), "bucket", counts=roots, weight="size").filter("id != root.id")
+    star = pin(star.select("bucket", "id", "n", F.col("root.id").alias("root"), F.col("root.n").alias("root_n")), "stars")
+    pairs = star.filter(_size_fits("n", "root_n", threshold)).select(F.col("root").alias("a"), F.col("id").alias("b"))
+    return pairs.distinct(), star
+
+
+def _open_pairs(rows: DataFrame, key: str, fits: Column) -> DataFrame:
+    """Pairs (a, b) of the pinned ``rows(key, id, n, comp, best, ...)`` under one key that can still tell something.
 
-    Inside a band bucket everybody is first compared with the bucket's smallest id only. Rows that
-    match it are settled: they are already connected. Only rows that do not match it meet the
-    other members. So a bucket of m near copies costs m comparisons, not m*m, and no edge that
-    could connect a cluster, or be a row's earliest partner, is lost.
+    That is: the two belong to different groups, or the smaller id is below the earliest partner known of
+    the larger. Under each key, members of the largest group whose partner is at or below the group's
+    smallest id there are settled among themselves; only the others meet everybody. ``fits`` compares
+    a row's columns with those of the other, which end in ``_1``.
+    """
+    parts = rows.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"))
+    main = parts.groupBy(key).agg(F.max_by(F.struct("comp", "low"), F.struct("size", "comp")).alias("main"), F.sum("size").alias("size"))
+    main = pin(main.filter("size > 1"), "main-groups")
+    rows = lookup(rows, main.select(key, "main"), key, counts=main, weight="size")
+    settled = (F.col("comp") == F.col("main.comp")) & (F.col("best") <= F.col("main.low"))
+    unsettled = rows.filter(~settled).drop("main")
+    unsettled = unsettled.select(key, *[F.col(c).alias(f"{c}_1") for c in unsettled.columns if c != key])
+    earlier = F.least("id", "id_1") < F.when(F.col("id") > F.col("id_1"), F.col("best")).otherwise(F.col("best_1"))
+    useful = (F.col("comp") != F.col("comp_1")) | earlier
+    pairs = rows.join(unsettled, key).filter((F.col("id") != F.col("id_1")) & useful & fits)
+    return pairs.select(F.least("id", "id_1").alias("a"), F.greatest("id", "id_1").alias("b")).distinct()
+
+
+def _rare_shingle_rows(texts: DataFrame, chosen: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(shingle, id, n, comp, best, at): the rarest shingles of each of ``chosen(id, comp, best)``, with their place ``at``.
+
+    Shingles are ordered by the number of chosen sets that hold them, rarest first; those of one set alone
+    are left out but counted in ``at``. Sets that reach the threshold share one of the first
+    ``n - ceil(threshold * n) + 1`` of each.
+    """
+    id_type = texts.schema["id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [shingle_hashes(content, k).view(np.int64) for content in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "n": [len(s) for s in sets], "shingles": sets})
+
+    sets = texts.join(chosen.select("id"), "id").select("id", "text").mapInPandas(cut, f"id {id_type}, n int, shingles array<bigint>")
+    each = pin(sets.select("id", "n", F.explode("shingles").alias("shingle")), "open-shingles", compression="zstd")
+    held = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    held = pin(held, "shared-shingles")
+    shared = lookup(each, held, "shingle", counts=held, weight="size").groupBy("id", "n")
+    shared = shared.agg(F.array_sort(F.collect_list(F.struct("size", "shingle"))).alias("shared"))
+    own = F.col("n") - F.size("shared")
+    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int") + 1
+    first = shared.select("id", "n", own.alias("own"), F.slice("shared", F.lit(1), F.greatest(prefix - own, F.lit(0))).alias("first"))
+    rows = first.select("id", "n", "own", F.posexplode("first").alias("at", "s"))
+    return rows.join(chosen, "id").select(F.col("s.shingle").alias("shingle"), "id", "n", "comp", "best", (F.col("own") + F.col("at")).alias("at"))
+
+
+def near_dup_edges(df: DataFrame, id_col: str, text: str, threshold: float = 0.9, k: int = 5) -> DataFrame:
+    """Verified edges (a < b, jaccard) among distinct texts that connect every near-dup cluster and hold every row's earliest partner.
+
+    Inside a band bucket everybody is first compared with the bucket's smallest id; those who do not match
+    it then meet the smallest of themselves. So a bucket of m near copies costs a few times m comparisons.
+    What stays open meets the others of its bucket where the two are in different groups, or where an earlier
+    partner is possible: one by one in buckets of CROWD rows at most; the rows of all larger buckets meet
+    over their rarest shingles (with length and position bounds, exact), so pages around one
+    common body make no pairs unless they reach the threshold, or nearly so.
     """
     reps = exact_dedup(df.filter(F.col(text).isNotNull()).select(id_col, text), text, (id_col,))
-    sk = pin(sketches(reps, id_col, text, threshold, k), "sketches")
-    rows = sk.select(F.col(id_col).alias("id"), "n", F.posexplode("bands").alias("band", "key"))
-    roots = (
-        rows.groupBy("band", "key")
-        .agg(F.min(F.struct("id", "n")).alias("root"), F.count(F.lit(1)).alias("size"))
-        .filter("size > 1")
-    )
+    texts = pin(reps.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "distinct-texts")
+    sk = pin(sketches(texts, "id", "text", threshold, k), "sketches")
+    rows = sk.select("id", "n", F.posexplode("bands").alias("band", "key"))
     # One composite key lets the lookup spread a bucket that holds a large share of the rows.
-    rows = rows.withColumn("bucket", F.struct("band", "key")).drop("band", "key")
-    roots = roots.select(F.struct("band", "key").alias("bucket"), "root", "size")
-    members = pin(
-        lookup(rows, roots, "bucket", counts=roots, weight="size").select(
-            "bucket", "id", "n", F.col("root.id").alias("root"), F.col("root.n").alias("root_n")
-        ),
-        "band-members",
-    )
-    fits = F.least("n", "root_n") >= F.greatest("n", "root_n") * F.lit(threshold)
-    star = members.filter((F.col("id") != F.col("root")) & fits)
-    star = star.select(F.col("root").alias("a"), F.col("id").alias("b")).distinct()
-    star_edges = pin(_verified(star, sk, id_col, threshold), "star-edges")
-
-    settled = star_edges.select(F.col("a").alias("root"), F.col("b").alias("id"))
-    open_rows = members.filter("id != root").join(settled, ["root", "id"], "left_anti")
-    others = members.select("bucket", F.col("id").alias("other"), F.col("n").alias("other_n"), "root")
-    fits = F.least("n", "other_n") >= F.greatest("n", "other_n") * F.lit(threshold)
-    rest = (
-        open_rows.drop("root", "root_n").join(others, "bucket")
-        .filter((F.col("other") != F.col("root")) & (F.col("id") != F.col("other")) & fits)
-        .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-        .distinct()
-    )
-    return star_edges.unionByName(_verified(rest, sk, id_col, threshold)).distinct()
+    rows = rows.select(F.struct("band", "key").alias("bucket"), "id", "n")
+    sizes = pin(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "bucket-sizes")
+    members = pin(lookup(rows, sizes, "bucket", counts=sizes, weight="size"), "band-members")
+
+    waiting = members.select("bucket", "id", "n")
+    edges = tried = open_buckets = None
+    for _ in range(STAR_ROUNDS):
+        pairs, star = _star(waiting, threshold)
+        pairs = pin(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "star-pairs")
+        found = _verified(pairs, texts, threshold, k)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        edges = pin(found if edges is None else edges.unionByName(found), "star-edges")
+        matched = edges.select(F.col("a").alias("root"), F.col("b").alias("id"))
+        waiting = pin(star.join(matched, ["root", "id"], "left_anti").select("bucket", "id", "n"), "waiting")
+        if open_buckets is None:
+            # Where all match the root, nothing is left to ask. Of all other buckets every member takes part below.
+            open_buckets = waiting.select("bucket").distinct()
+            if waiting.isEmpty():
+                return edges
+
+    groups = connected_components(edges).withColumnRenamed("cluster", "comp")
+    partners = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("best"))
+    known = pin(groups.join(partners, "id", "left").select("id", "comp", F.coalesce("best", "id").alias("best")), "known")
+    rows = members.join(open_buckets, "bucket", "left_semi").join(known, "id", "left")
+    rows = pin(rows.select("bucket", "id", "n", "size", F.coalesce("comp", "id").alias("comp"), F.coalesce("best", "id").alias("best")), "open-members")
+
+    size_fits = _size_fits("n", "n_1", threshold)
+    pairs = _open_pairs(rows.filter(F.col("size") <= CROWD).drop("size"), "bucket", size_fits)
+    chosen = pin(rows.filter(F.col("size") > CROWD).select("id", "comp", "best").distinct(), "crowd")
+    if not chosen.isEmpty():
+        rare = pin(_rare_shingle_rows(texts, chosen, threshold, k), "rare-shingles")
+        left = F.least(F.col("n") - F.col("at"), F.col("n_1") - F.col("at_1"))
+        enough = left >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n_1")) - 1e-9
+        pairs = pairs.unionByName(_open_pairs(rare, "shingle", size_fits & enough)).distinct()
+    pairs = pin(pairs.join(tried, ["a", "b"], "left_anti"), "open-pairs")
+    return edges.unionByName(_verified(pairs, texts, threshold, k))
 
 
 def near_dup_links(df: DataFrame, id_col: str, text: str, threshold: float = 0.9, k: int = 5) -> DataFrame:
