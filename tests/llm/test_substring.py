@@ -52,6 +52,35 @@ def test_equals_brute_force_on_mosaics(spark, seed):
     assert got(substring.without_repeats(docs)) == brute(rows)
 
 
+def test_factors_are_greedy():
+    assert substring.factors([]) == []
+    assert substring.factors([(0, 30), (0, 60), (10, 90), (20, 40), (85, 95), (200, 260)]) == [(0, 60), (10, 90), (85, 95), (200, 260)]
+    assert substring.factors([(5, 9), (5, 9), (9, 12)]) == [(5, 9), (9, 12)]
+
+
+def test_a_copied_passage_is_one_factor_and_few_windows(spark):
+    """Only the first holder's windows and those at the ends of a factor are compared by hash."""
+    words = [f"q{i}" for i in range(600)]
+    docs = [(i, " ".join([f"a{i}"] * 3 + words + [f"z{i}"] * 3)) for i in range(1, 6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    tables = {}
+    pin = substring.pin
+
+    def keeping(frame, name, *args, **kwargs):
+        tables[name] = pin(frame, name, *args, **kwargs)
+        return tables[name]
+
+    substring.pin = keeping
+    try:
+        assert got(substring.without_repeats(df)) == brute(docs)
+    finally:
+        substring.pin = pin
+    found = tables["factors"].collect()
+    assert sorted((r["doc_id"], r["start"], r["stop"]) for r in found if r["key"] is None) == [(i, 3, 603) for i in range(2, 6)]
+    windows = [r["doc_id"] for r in found if r["key"] is not None]
+    assert windows.count(1) > 500 and all(windows.count(i) <= 6 for i in range(2, 6))
+
+
 def test_kept_text(spark):
     words = [f"q{i}" for i in range(60)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, "a " + " ".join(words) + " z")], "doc_id long, text string")

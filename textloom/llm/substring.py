@@ -1,6 +1,8 @@
-"""Remove long passages that stand in an earlier document too: windows around content-chosen reference blocks, joined by hash.
+"""Remove long passages that stand in an earlier document too: relative Lempel-Ziv parsing against reference blocks.
 
-No Lempel-Ziv parse: every repeated window holds an indexed block, and only its smallest doc_id is asked for.
+Blocks chosen by content are indexed over all documents; the smallest document that holds a block is its
+reference. Every text is factored greedily against the references of its blocks; long factors are repeated
+spans, and the windows that lie in no single factor are checked by hash.
 """
 
 from __future__ import annotations
@@ -69,11 +71,105 @@ def scanned(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, digest binary, anchors array<long>")
 
 
-def windows(texts: DataFrame, window: int) -> DataFrame:
-    """(key, check, doc_id, digest, start): the windows around the shared blocks of each text.
+HEAD = 4
 
-    ``texts(doc_id, text, digest, shared)``; a row whose text has another digest is passed over.
+
+def reference_blocks(texts: DataFrame, window: int) -> DataFrame:
+    """(anchor, block): each of the anchors that ``texts(text, digest, own)`` is the reference of, with the words around it.
+
+    ``block`` holds 64-bit numbers: the text (start of its digest), the anchor's place, a second hash of the
+    anchor, the number of words on its right, then the word hashes of window / 2 places on its left and right.
+    So all windows around the anchor lie inside. A row whose text has another digest is passed over.
     """
+    block = window // 2
+    side = window - block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in batches:
+            for i, (text, digest) in enumerate(zip(utf8(batch.column("text")), batch.column("digest").to_pylist())):
+                words = (text or b"").split()
+                if hashlib.sha256(b" ".join(words)).digest() != digest:
+                    continue
+                hashes = cache.of(words)
+                places, found = anchors(Rolling(hashes), window)
+                own = batch.column("own")[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                found, at = np.unique(found, return_index=True)
+                mine = np.isin(found, own)
+                found, places = found[mine], places[at[mine]]
+                padded = np.concatenate([np.zeros(side, np.uint64), hashes, np.zeros(side, np.uint64)])
+                around = np.arange(side)
+                rows = np.empty((len(found), HEAD + 2 * side), np.uint64)
+                rows[:, 0] = np.frombuffer(digest[:8], np.uint64)[0]
+                rows[:, 1] = places
+                rows[:, 2] = Rolling(mix(hashes)).runs(block)[places]
+                rows[:, 3] = np.minimum(side, len(words) - block - places)
+                # Left of the anchor from near to far, so that both sides are read outwards.
+                rows[:, HEAD : HEAD + side] = padded[places[:, None] + side - 1 - around]
+                rows[:, HEAD + side :] = padded[places[:, None] + side + block + around]
+                yield pa.RecordBatch.from_arrays([pa.array(int64(found)), pa.array([r.tobytes() for r in rows], pa.binary())], ["anchor", "block"])
+
+    return texts.select("text", "digest", "own").mapInArrow(run, "anchor long, block binary")
+
+
+def matches(hashes: np.ndarray, places: np.ndarray, blocks: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Maximal runs (begin, end) of a text that stand in one reference: the blocks at ``places``, extended
+    word by word to both sides, and joined where they continue each other in the same reference."""
+    block = window // 2
+    side = window - block
+    same = Rolling(mix(hashes)).runs(block)[places] == blocks[:, 2]
+    places, blocks = places[same], blocks[same]
+    if not len(places):
+        return []
+    padded = np.concatenate([np.zeros(side, np.uint64), hashes, np.zeros(side, np.uint64)])
+    around = np.arange(side)
+    source, at = blocks[:, 0], blocks[:, 1].view(np.int64)
+    left = (padded[places[:, None] + side - 1 - around] == blocks[:, HEAD : HEAD + side]) & (around < np.minimum(places, at)[:, None])
+    room = np.minimum(len(hashes) - block - places, blocks[:, 3].view(np.int64))
+    right = (padded[places[:, None] + side + block + around] == blocks[:, HEAD + side :]) & (around < room[:, None])
+    begin = places - np.logical_and.accumulate(left, axis=1).sum(axis=1)
+    end = places + block + np.logical_and.accumulate(right, axis=1).sum(axis=1)
+    order = np.lexsort((begin, at - places, source))
+    runs: list[tuple[int, int]] = []
+    last = None
+    for i in order:
+        line = (source[i], at[i] - places[i])
+        if line == last and begin[i] <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(runs[-1][1], int(end[i])))
+        else:
+            runs.append((int(begin[i]), int(end[i])))
+        last = line
+    return runs
+
+
+def factors(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The greedy factors of a text: from each place the run that reaches furthest, then on from its end.
+
+    A factor is given with all of its run, also what lies before the place it was taken at.
+    """
+    taken: list[tuple[int, int]] = []
+    at, best = -1, None
+    for run in sorted(runs):
+        if best and run[0] > at:
+            # The place ``at`` is reached: the run that covers it and goes furthest becomes a factor.
+            taken.append(best)
+            at, best = best[1], None
+        if run[1] > at and (best is None or run[1] > best[1]):
+            if best is None and run[0] > at:
+                at = run[0]
+            best = run
+    return taken + [best] if best else taken
+
+
+def parsed(texts: DataFrame, window: int) -> DataFrame:
+    """(doc_id, unit, start, stop, key, check): long factors of each text, and the windows to be checked.
+
+    ``texts(doc_id, text, digest, shared)`` with ``shared`` a list of (anchor, block), block null where the text is
+    the reference itself. Factors of ``window`` words or more have no key. Windows around shared blocks that lie
+    inside no such factor (at factor boundaries, in references, where a later text than the reference is
+    repeated) carry 128 bits of hash. A row whose text has another digest is passed over.
+    """
+    block = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -84,43 +180,63 @@ def windows(texts: DataFrame, window: int) -> DataFrame:
                     continue
                 hashes = cache.of(words)
                 rolling = Rolling(hashes)
-                places, blocks = anchors(rolling, window)
-                shared = batch.column("shared")[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                places = places[np.isin(blocks, shared)]
+                shared = batch.column("shared")[i].values
+                known = shared.field("anchor").to_numpy(zero_copy_only=False).view(np.uint64)
+                order = np.argsort(known)
+                known = known[order]
+                places, found = anchors(rolling, window)
+                row = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                hit = known[row] == found
+                places, row = places[hit], order[row[hit]]
+                data = shared.field("block")
+                referred = data.is_valid().to_numpy(zero_copy_only=False)
+                width = HEAD + 2 * (window - block)
+                table = np.frombuffer(b"".join(data.drop_null().to_pylist()), np.uint64).reshape(-1, width)
+                number = np.cumsum(referred) - 1
+                there = referred[row]
+                long = [f for f in factors(matches(hashes, places[there], table[number[row[there]]], window)) if f[1] - f[0] >= window]
+
                 starts = len(words) - window + 1
                 edges = np.zeros(starts + window, np.int64)
-                np.add.at(edges, np.maximum(places - (window - window // 2), 0), 1)
+                np.add.at(edges, np.maximum(places - (window - block), 0), 1)
                 np.add.at(edges, places + 1, -1)
-                at = np.flatnonzero(np.cumsum(edges)[:starts] > 0)
+                around = np.cumsum(edges)[:starts] > 0
+                for begin, end in long:
+                    around[begin : end - window + 1] = False
+                at = np.flatnonzero(around)
                 # A second hash of the same run, from word hashes mixed anew.
                 second = Rolling(mix(hashes)).runs(window)[at]
-                n = len(at)
+                n, m = len(at), len(long)
+                spans = np.array(long, np.int32).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(int64(rolling.runs(window)[at])),
-                        pa.array(int64(second)),
-                        pa.repeat(pa.scalar(batch.column("doc_id")[i].as_py(), pa.int64()), n),
-                        pa.repeat(pa.scalar(digest[:8], pa.binary()), n),
-                        pa.array(at.astype(np.int32)),
+                        pa.repeat(pa.scalar(batch.column("doc_id")[i].as_py(), pa.int64()), n + m),
+                        pa.repeat(pa.scalar(digest[:8], pa.binary()), n + m),
+                        pa.array(np.concatenate([at.astype(np.int32), spans[:, 0]])),
+                        pa.array(np.concatenate([at.astype(np.int32) + np.int32(window), spans[:, 1]])),
+                        pa.concat_arrays([pa.array(int64(rolling.runs(window)[at])), pa.nulls(m, pa.int64())]),
+                        pa.concat_arrays([pa.array(int64(second)), pa.nulls(m, pa.int64())]),
                     ],
-                    ["key", "check", "doc_id", "unit", "start"],
+                    ["doc_id", "unit", "start", "stop", "key", "check"],
                 )
 
-    return texts.select("doc_id", "text", "digest", "shared").mapInArrow(run, "key long, check long, doc_id long, unit binary, start int")
+    schema = "doc_id long, unit binary, start int, stop int, key long, check long"
+    return texts.select("doc_id", "text", "digest", "shared").mapInArrow(run, schema)
 
 
-def factors(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Spans (begin, end) covered by the windows of a text that the join found; spans that touch or overlap become one."""
-    spans: list[tuple[int, int]] = []
-    starts = np.sort(starts)
-    breaks = np.flatnonzero(np.diff(starts) > window)
-    for first, last in zip(np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(starts) - 1]])):
-        spans.append((int(starts[first]), int(starts[last]) + window))
-    return spans
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """``spans`` (begin, end) in order, those that touch or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(spans):
+        if out and begin <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((begin, end))
+    return out
 
 
-def cut_texts(texts: DataFrame, window: int) -> DataFrame:
-    """(digest, n_removed, kept_sha256, kept_text) of ``texts(text, digest, starts)``."""
+def cut_texts(texts: DataFrame) -> DataFrame:
+    """(digest, n_removed, kept_sha256, kept_text) of ``texts(text, digest, spans)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +246,8 @@ def cut_texts(texts: DataFrame, window: int) -> DataFrame:
                 if hashlib.sha256(b" ".join(words)).digest() != digest:
                     continue
                 kept, at = [], 0
-                for begin, end in factors(batch.column("starts")[i].values.to_numpy(zero_copy_only=False), window):
+                spans = batch.column("spans")[i].values
+                for begin, end in merged(list(zip(spans.field("start").to_pylist(), spans.field("stop").to_pylist()))):
                     kept += words[at:begin]
                     at = end
                 kept += words[at:]
@@ -143,7 +260,7 @@ def cut_texts(texts: DataFrame, window: int) -> DataFrame:
             )
 
     schema = "digest binary, n_removed long, kept_sha256 string, kept_text string"
-    return texts.select("text", "digest", "starts").mapInArrow(run, schema)
+    return texts.select("text", "digest", "spans").mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
@@ -153,12 +270,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False)
     doc_id. Words are cut at space and U+0009 to U+000D.
 
     Plan: (1) equal texts fold into their smallest doc_id; the others are covered whole. (2) Every
-    text is cut into reference blocks by content; blocks of two documents at least form the index.
-    (3) Only windows around indexed blocks are written, and the smallest doc_id of each is found by
-    grouping on 128 bits of hash. (4) The windows found are merged to spans and cut out.
-    No pairs of documents arise anywhere: a passage in m documents costs m rows.
-
-    Null and short texts keep all words. Rows with a null doc_id keep all words and are no reference.
+    text is cut into blocks by content; blocks of two documents at least form the index, with the words
+    around them in their smallest doc_id, the reference. (3) Every text is factored greedily against the references
+    of its blocks; factors of ``window`` words or more are repeated spans. (4) Windows around indexed blocks
+    that lie in no such factor are compared by 128 bits of hash, for their smallest doc_id. The smallest
+    doc_id of a window never has it inside a factor, so none is lost. (5) Spans are merged and cut out.
+    No pairs of documents arise anywhere: a block in m documents costs m rows.
+
+    Very long texts are read whole. Null and short texts keep all words. Rows with a null doc_id keep all words and are no reference.
     Rows that share a doc_id do not remove each other's words. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -168,23 +287,32 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False)
     units = pin(units, "texts-once")
 
     blocks = units.select("rep", "digest", F.explode("anchors").alias("anchor"))
-    seen = blocks.groupBy("anchor").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("n"))
-    index = pin(seen.filter("low < high").select("anchor", "n"), "block-index")
-    shared = lookup(blocks, index.select("anchor"), "anchor", counts=index)
-    shared = shared.groupBy("rep", "digest").agg(F.collect_list("anchor").alias("shared"))
-
+    holder = F.struct("rep", "digest")
+    seen = blocks.groupBy("anchor").agg(F.min(holder).alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("n"))
+    index = pin(seen.filter("low.rep < high").select("anchor", "low.rep", "low.digest", "n"), "block-index")
+    owners = index.groupBy("rep", "digest").agg(F.collect_list("anchor").alias("own"))
+    rows = docs.join(owners, docs["doc_id"] == owners["rep"]).select("text", "digest", "own")
+    # A document can have equal rows: one block an anchor.
+    around = reference_blocks(rows, window).groupBy("anchor").agg(F.any_value("block").alias("block"))
+    references = pin(index.select("anchor", F.col("rep").alias("low")).join(around, "anchor"), "reference-blocks")
+
+    shared = lookup(blocks, references, "anchor", counts=index)
+    shared = shared.select("rep", "digest", F.struct("anchor", F.when(F.col("low") < F.col("rep"), F.col("block")).alias("block")).alias("s"))
+    shared = shared.groupBy("rep", "digest").agg(F.collect_list("s").alias("shared"))
     rows = docs.join(shared, docs["doc_id"] == shared["rep"]).select("doc_id", "text", "digest", "shared")
-    found = pin(windows(rows, window), "windows")
-    first = found.groupBy("key", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
+    found = pin(parsed(rows, window), "factors")
+    checked = found.filter("key IS NOT NULL")
+    first = checked.groupBy("key", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
     first = pin(first.filter("low < high").select(F.struct("key", "check").alias("id"), "low", "n"), "window-index")
-    placed = found.select(F.struct("key", "check").alias("id"), "doc_id", "unit", "start")
+    placed = checked.select(F.struct("key", "check").alias("id"), "doc_id", "unit", "start", "stop")
     covered = lookup(placed, first.select("id", "low"), "id", counts=first).filter("doc_id > low")
-    covered = covered.groupBy("doc_id", "unit").agg(F.collect_set("start").alias("starts"))
+    covered = covered.select("doc_id", "unit", "start", "stop").unionByName(found.filter("key IS NULL").select("doc_id", "unit", "start", "stop"))
+    covered = covered.groupBy("doc_id", "unit").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     # The full digest again: a doc_id can have several versions.
     named = units.select(F.col("rep").alias("doc_id"), F.substring("digest", 1, 8).alias("unit"), "digest")
     covered = named.join(covered, ["doc_id", "unit"])
-    parts = cut_texts(docs.join(covered, "doc_id"), window)
+    parts = cut_texts(docs.join(covered, "doc_id"))
     keep = ["n_removed", "kept_sha256"] + ["kept_text"] * texts
     parts = parts.groupBy("digest").agg(*[F.any_value(c).alias(c) for c in keep])
     known = units.select("digest", "rep", "size").join(parts, "digest", "left").filter("size > 1 OR n_removed IS NOT NULL")
