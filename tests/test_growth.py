@@ -22,3 +22,25 @@ def test_format_size_beyond_64_bits(spark, tmp_path):
         2: "4.00 B", 9_000_000: f"{6_000_000 * 9_000_000**2 / 1024**4:.2f} TB",
         3_000_000_000: f"{2 * 10**9 * 9 * 10**18 / 1024**4:.2f} TB",
     }
+
+
+@pytest.mark.parametrize("shipped", [200_000, 0])
+def test_skipgram_pairs_shuffle_once(spark, monkeypatch, shipped):
+    """Counts equal brute force when stretches and held pairs are small; one shuffle carries the pairs."""
+    monkeypatch.setattr(ft, "PLACES", 7, raising=False)
+    monkeypatch.setattr(ft, "HELD_PAIRS", 5, raising=False)
+    monkeypatch.setattr(ft, "SHIPPED_WORDS", shipped, raising=False)
+    texts = [[f"w{(i * j + j * j) % 11}" for j in range(i % 23)] for i in range(60)] + [["w1", None, "w1", "rare", "w2"]]
+    words = {f"w{i}": 10 - i for i in range(10)}
+    want = Counter()
+    for t in texts:
+        for i, a in enumerate(t):
+            for j in range(max(i - 3, 0), min(i + 4, len(t))):
+                if i != j and a in words and t[j] in words:
+                    want[words[a], words[t[j]]] += 1
+    df = spark.createDataFrame([(t,) for t in texts], "t array<string>").repartition(3)
+    vocab = spark.createDataFrame(list(words.items()), "word string, id bigint")
+    pairs = ft.skipgram_pairs(df, F.col("t"), vocab, 3)
+    if shipped:
+        assert exchanges(pairs) == 1
+    assert {(r["target"], r["context"]): r["n"] for r in pairs.collect()} == dict(want)

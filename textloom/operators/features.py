@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,43 +99,98 @@ def top_terms(weights: DataFrame, key: str, k: int = 10) -> DataFrame:
     return ranked.select(key, F.col("rank").cast("bigint").alias("rank"), "term", "weight")
 
 
-def skipgram_pairs(df: DataFrame, tokens: Column, vocab: DataFrame, window: int = 5) -> DataFrame:
-    """(target, context, n): ids of words at most ``window`` apart, both in the vocabulary.
+# Words that are sent to the tasks at most, as one Arrow array of some 20 bytes a word.
+SHIPPED_WORDS = 2_000_000
+# Places that are paired at a time, and different pairs that a task holds before it hands them on.
+PLACES = 500_000
+HELD_PAIRS = 4_000_000
+
+
+def _word_places(arrays: pa.ListArray | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The elements of all lists, and the list that each stands in."""
+    rows = arrays.combine_chunks() if isinstance(arrays, pa.ChunkedArray) else arrays
+    return rows.flatten(), pc.list_parent_indices(rows).to_numpy(zero_copy_only=False)
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, and the sum of the counts of each."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def word_pairs(df: DataFrame, tokens: Column, vocab: DataFrame, window: int = 5) -> DataFrame:
+    """(a, b, n): ids a <= b of words at most ``window`` apart, both in the vocabulary, and how often they are, in either order.
 
-    Words become ids before anything is paired, and only pairs of ids are shuffled, counted per batch
-    first. Only words that follow are paired: the pairs that precede are the same ones turned round.
-    A vocabulary of up to MAX_SHIPPED_ROWS words is sent to the tasks; a larger one is joined by word.
+    Words become ids before anything is paired, a task adds up equal pairs of bounded stretches, and every pair of ids is
+    shuffled once. A vocabulary of up to SHIPPED_WORDS words is sent to the tasks; a larger one is joined by word.
     """
     vocab = pin(vocab.select("word", "id"), "vocabulary")
+    if (vocab.agg(F.max("id")).first()[0] or 0) >= 1 << 31:
+        raise ValueError("word ids must be below 2^31")
     rows = df.select(tokens.alias("_t")).filter(F.size("_t") > 1)
-    if vocab.count() <= MAX_SHIPPED_ROWS:
-        ids = {r["word"]: r["id"] for r in vocab.collect()}
-        as_ids = lambda batch: [np.fromiter((ids.get(w, -1) for w in words), np.int64) for words in batch.column("_t").to_pylist()]
+    if vocab.count() <= SHIPPED_WORDS:
+        shipped = vocab.toArrow()
+        words, numbers = shipped["word"].combine_chunks(), np.append(shipped["id"].to_numpy(), -1)
+        sent = df.sparkSession.sparkContext.broadcast((words, numbers))
+
+        def as_ids(found: pa.Array) -> np.ndarray:
+            words, numbers = sent.value
+            return numbers[pc.fill_null(pc.index_in(found.cast(words.type), words), -1).to_numpy(zero_copy_only=False)]
     else:
         placed = rows.withColumn("_row", F.monotonically_increasing_id())
         words = pin(placed.select("_row", F.posexplode("_t").alias("_pos", "word")), "word-places")
         known = lookup(words, vocab, "word", how="left").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", "id"))).alias("_t"))
         rows = known.select(F.transform("_t", lambda x: F.coalesce(x["id"], F.lit(-1))).alias("_t"))
-        as_ids = lambda batch: [np.array(x, np.int64) for x in batch.column("_t").to_pylist()]
+        as_ids = lambda found: found.to_numpy(zero_copy_only=False)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def handed_on() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys[0] >> 32), pa.array(keys[0] & 0xFFFFFFFF), pa.array(counts[0])], ["a", "b", "n"])
+
+        keys, counts, waiting = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
         for batch in batches:
-            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for x in as_ids(batch):
+            found, row = _word_places(batch.column("_t"))
+            x = as_ids(found)
+            for start in range(0, len(x), PLACES):
                 for gap in range(1, window + 1):
-                    a, b = x[:-gap], x[gap:]
-                    both = (a >= 0) & (b >= 0)
-                    left.append(a[both])
-                    right.append(b[both])
-            found, n = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(n)], ["a", "b", "n"])
-
-    known = rows.mapInArrow(pairs, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+                    end = min(start + PLACES, len(x) - gap)
+                    if end <= start:
+                        break
+                    a, b = x[start:end], x[start + gap : end + gap]
+                    both = (a >= 0) & (b >= 0) & (row[start:end] == row[start + gap : end + gap])
+                    a, b = a[both], b[both]
+                    key, n = np.unique(np.minimum(a, b) << 32 | np.maximum(a, b), return_counts=True)
+                    keys.append(key)
+                    counts.append(n)
+                    waiting += len(key)
+                if waiting > HELD_PAIRS:
+                    merged = _added(keys, counts)
+                    keys, counts, waiting = [merged[0]], [merged[1]], 0
+                    if len(keys[0]) > HELD_PAIRS:
+                        yield handed_on()
+                        keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        merged = _added(keys, counts)
+        keys, counts = [merged[0]], [merged[1]]
+        yield handed_on()
+
+    return rows.mapInArrow(pairs, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def skipgram_pairs(df: DataFrame, tokens: Column, vocab: DataFrame, window: int = 5) -> DataFrame:
+    """(target, context, n): ids of words at most ``window`` apart, both in the vocabulary.
+
+    Both directions of a pair come from one counted row; a word beside itself is its own target twice.
+    """
+    known = word_pairs(df, tokens, vocab, window)
+    same = F.struct(F.col("a").alias("target"), F.col("b").alias("context"), (F.col("n") * 2).alias("n"))
     turned = F.array(
         F.struct(F.col("a").alias("target"), F.col("b").alias("context"), "n"),
         F.struct(F.col("b").alias("target"), F.col("a").alias("context"), "n"),
     )
-    return known.select(F.inline(turned)).groupBy("target", "context").agg(F.sum("n").alias("n"))
+    return known.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(same)).otherwise(turned)))
 
 
 def sum_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
