@@ -2,11 +2,13 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from textloom.operators import features as ft
+from textloom.operators import naive_bayes as nb
 
 
 def exchanges(df, text="Exchange hashpartitioning"):
@@ -44,3 +46,42 @@ def test_skipgram_pairs_shuffle_once(spark, monkeypatch, shipped):
     if shipped:
         assert exchanges(pairs) == 1
     assert {(r["target"], r["context"]): r["n"] for r in pairs.collect()} == dict(want)
+
+
+@pytest.mark.parametrize("shipped", [2_000_000, 0])
+def test_freq_features_shuffle_sums_only(spark, monkeypatch, shipped):
+    monkeypatch.setattr(ft, "SHIPPED_WORDS", shipped, raising=False)
+    monkeypatch.setattr(ft, "ROWS_COUNTED", 4, raising=False)
+    rows = [(i % 17, i % 2, [f"w{(i * j) % 13}" for j in range(i % 9)]) for i in range(40)] + [(None, 1, ["w1"]), (99, 0, None), (98, 0, ["w1", "w1"])]
+    df = spark.createDataFrame(rows, "id bigint, label int, t array<string>").repartition(2)
+    uses = Counter((w, label) for _, label, t in rows for w in t or [])
+    sums = {}
+    for key, _, t in rows:
+        x = sums.setdefault(key, [0, 0])
+        for w in t or []:
+            x[0] += uses[w, 1]
+            x[1] += uses[w, 0]
+    sums[None] = [0, 0]
+    counts = nb.class_word_freqs(df, F.col("t"), "label")
+    found = nb.freq_features(df, "id", F.col("t"), counts)
+    if shipped:
+        # The keys on both sides of the last join, and nothing by word.
+        assert "explode" not in found._jdf.queryExecution().executedPlan().toString()
+        assert exchanges(found, "word") == 0
+    got = sorted((str(r["id"]), r["x0"], r["x1"], r["x2"]) for r in found.collect())
+    assert got == sorted((str(k), 1.0, float(sums[k][0]), float(sums[k][1])) for k, _, _ in rows)
+
+
+def test_gradient_steps_compile_nothing(spark, monkeypatch):
+    random = np.random.default_rng(1)
+    x = random.integers(0, 50, (500, 2)).astype(float)
+    y = (x[:, 0] + random.normal(0, 5, 500) > x[:, 1]).astype(int)
+    df = spark.createDataFrame([(1.0, float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "x0 double, x1 double, x2 double, y int")
+    matrix = nb.gd_logistic(df, ["x0", "x1", "x2"], "y", 1e-4, 12)
+    monkeypatch.setattr(nb, "MAX_SHIPPED_ROWS", 10)
+    compiled = lambda: spark._jvm.org.apache.spark.metrics.source.CodegenMetrics.METRIC_COMPILATION_TIME().getCount()
+    nb.gd_logistic(df, ["x0", "x1", "x2"], "y", 1e-4, 2)
+    before = compiled()
+    cost, theta = nb.gd_logistic(df, ["x0", "x1", "x2"], "y", 1e-4, 12)
+    assert compiled() - before <= 3
+    assert cost == pytest.approx(matrix[0], rel=1e-12) and theta == pytest.approx(matrix[1], rel=1e-9)

@@ -35,6 +35,60 @@ def term_counts(df: DataFrame, key: str, tokens: Column, max_n: int = 1) -> Data
     return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+# Rows whose terms are counted at a time.
+ROWS_COUNTED = 1000
+
+
+def row_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """(key, word, c): words of each row with their count there; rows that share a key stay apart. No shuffle, no table of all words."""
+    found = df.select(key, tokens.alias("_t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_COUNTED):
+                part = batch.slice(start, ROWS_COUNTED)
+                words, row = _word_places(part.column("_t"))
+                coded = words.dictionary_encode(null_encoding="encode")
+                kinds = max(len(coded.dictionary), 1)
+                at, c = np.unique(row * kinds + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at // kinds)), coded.dictionary.take(pa.array(at % kinds)), pa.array(c)], [key, "word", "c"])
+
+    return found.mapInArrow(run, f"{key} {found.schema[key].dataType.simpleString()}, word string, c bigint")
+
+
+def word_sums(df: DataFrame, key: str, tokens: Column, table: DataFrame, columns: list[str]) -> DataFrame:
+    """(key, *columns): sums of the columns of ``table(word, n, ...)`` over the words of each key, repeats counted.
+
+    ``n`` is how often a word occurs. A table of up to SHIPPED_WORDS words is sent to the tasks and nothing but the sums is
+    shuffled; a larger one is joined by word.
+    """
+    if table.count() > SHIPPED_WORDS:
+        hits = lookup(row_counts(df, key, tokens), table.select("word", *columns), "word", counts=table)
+        return hits.groupBy(key).agg(*[F.sum(F.col("c") * F.col(c)).alias(c) for c in columns])
+    shipped = table.select("word", *columns).toArrow()
+    values = [np.append(shipped[c].to_numpy(), 0) for c in columns]
+    sent = df.sparkSession.sparkContext.broadcast((shipped["word"].combine_chunks(), values))
+    found = df.select(key, tokens.alias("_t"))
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.select(*columns).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, values = sent.value
+        for batch in batches:
+            places, row = _word_places(batch.column("_t"))
+            at = pc.fill_null(pc.index_in(places.cast(words.type), words), -1).to_numpy(zero_copy_only=False)
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            sums = []
+            for x in values:
+                if x.dtype.kind == "f":
+                    sums.append(np.bincount(row, x[at], batch.num_rows))
+                else:
+                    sums.append(np.diff(np.append(0, np.cumsum(x[at]))[ends]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sums)], [key, *columns])
+
+    rows = found.mapInArrow(run, f"{key} {found.schema[key].dataType.simpleString()}, {types}")
+    return rows.groupBy(key).agg(*[F.sum(c).alias(c) for c in columns])
+
+
 def features(counts: DataFrame, n_docs: Column, min_df: int, max_df: float, max_features: int | None) -> DataFrame:
     """(term, df, total): terms inside the document-frequency limits, the most frequent first."""
     stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))

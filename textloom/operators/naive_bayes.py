@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.skew import lookup
+from textloom.operators.features import word_sums
 from textloom.session import MAX_SHIPPED_ROWS, pin, scalar
 
 
@@ -71,8 +74,7 @@ def nb_train(df: DataFrame, tokens: Column, label: str) -> DataFrame:
 def nb_predict(df: DataFrame, key: str, tokens: Column, model: DataFrame) -> DataFrame:
     """(key, score): prior plus the log likelihood of every known word, repeats counted."""
     prior = scalar(model.agg(F.max("logprior").alias("p")), F.col("p"))
-    scored = lookup(doc_words(df, key, tokens), model.select("word", "loglikelihood"), "word", counts=model)
-    sums = scored.groupBy(key).agg(F.sum(F.col("c") * F.col("loglikelihood")).alias("s"))
+    sums = word_sums(df, key, tokens, model, ["loglikelihood"]).withColumnRenamed("loglikelihood", "s")
     return df.select(key).join(sums, key, "left").select(key, (prior + F.coalesce("s", F.lit(0.0))).alias("score"))
 
 
@@ -88,10 +90,7 @@ def nb_errors(scored: DataFrame, label: str) -> DataFrame:
 def freq_features(df: DataFrame, key: str, tokens: Column, freqs: DataFrame) -> DataFrame:
     """(key, x0, x1, x2): bias, summed positive and negative counts of the row's words."""
     wide = pin(pos_neg(freqs).withColumn("n", F.col("positive") + F.col("negative")), "word-classes")
-    hits = lookup(doc_words(df, key, tokens), wide.select("word", "positive", "negative"), "word", counts=wide)
-    sums = hits.groupBy(key).agg(
-        F.sum(F.col("c") * F.col("positive")).alias("x1"), F.sum(F.col("c") * F.col("negative")).alias("x2")
-    )
+    sums = word_sums(df, key, tokens, wide, ["positive", "negative"]).withColumnsRenamed({"positive": "x1", "negative": "x2"})
     joined = df.select(key).join(sums, key, "left")
     return joined.select(
         key, F.lit(1.0).alias("x0"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("x1", "x2")]
@@ -115,33 +114,60 @@ def gd_logistic(
     """(cost, theta) of batch gradient descent from zero.
 
     Equal examples are counted first: a step is a weighted sum over the different ones. Up to
-    MAX_SHIPPED_ROWS of these, the steps run on them as one matrix. More stay a pinned table, and
-    every step is one aggregation of a few sums over it.
+    MAX_SHIPPED_ROWS of these, the steps run on them as one matrix. More stay a pinned table of blocks,
+    and in every step each task sends back a few sums over its blocks. The plan of a step holds no
+    numbers of it, so nothing is compiled again.
     """
     rows = examples.select(*[F.col(c).cast("double").alias(c) for c in columns], F.col(label).cast("double").alias("y"))
     rows = pin(rows.groupBy(*columns, "y").agg(F.count(F.lit(1)).alias("m")), "examples")
     if rows.count() <= MAX_SHIPPED_ROWS:
         return _matrix_steps(rows.toPandas(), columns, alpha, num_iters)
-    theta, cost = [0.0] * len(columns), float("nan")
+    return _block_steps(rows, columns, alpha, num_iters)
+
+
+def _block_steps(rows: DataFrame, columns: list[str], alpha: float, num_iters: int) -> tuple[float, list[float]]:
+    width = len(columns)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in [*columns, "y", "m"]])
+            yield pa.RecordBatch.from_arrays([pa.array([block.tobytes()], pa.binary())], ["block"])
+
+    blocks = pin(rows.select(*columns, "y", "m").mapInArrow(packed, "block binary"), "example-blocks")
+    theta, cost = np.zeros(width), float("nan")
+
+    def sums(theta: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(width + 2)
+            for batch in batches:
+                for data in batch.column("block"):
+                    block = np.frombuffer(data.as_buffer()).reshape(width + 2, -1)
+                    x, y, m = block[:width], block[width], block[width + 1]
+                    loss, slope = _loss_and_slope(theta @ x, y)
+                    total += [m.sum(), m @ loss, *(x @ (m * slope))]
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["sums"])
+
+        return np.array(blocks.mapInArrow(run, "sums array<double>").toArrow()["sums"].to_pylist()).sum(axis=0)
+
     for _ in range(num_iters):
-        z = _margin(theta, columns)
-        h, loss = sigmoid(z), F.greatest(z, F.lit(0.0)) - F.col("y") * z + F.log1p(F.exp(-F.abs(z)))
-        sums = [F.sum(F.col("m") * F.col(c) * (h - F.col("y"))).alias(f"g{i}") for i, c in enumerate(columns)]
-        step = rows.agg(F.sum("m").alias("n"), F.sum(F.col("m") * loss).alias("loss"), *sums).first()
-        cost = step["loss"] / step["n"]
-        theta = [t - alpha * step[f"g{i}"] / step["n"] for i, t in enumerate(theta)]
-    return cost, theta
+        n, loss, *slope = sums(theta)
+        cost = float(loss / n)
+        theta = theta - alpha / n * np.array(slope)
+    return cost, theta.tolist()
+
+
+def _loss_and_slope(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log loss, written so that no logarithm of zero arises, and its slope."""
+    return np.maximum(z, 0) - y * z + np.log1p(np.exp(-np.abs(z))), 1 / (1 + np.exp(-np.clip(z, -700, 700))) - y
 
 
 def _matrix_steps(rows: pd.DataFrame, columns: list[str], alpha: float, num_iters: int) -> tuple[float, list[float]]:
     x, y, m = rows[columns].to_numpy(), rows["y"].to_numpy(), rows["m"].to_numpy(float)
     theta, n, cost = np.zeros(len(columns)), m.sum(), float("nan")
     for _ in range(num_iters if n else 0):
-        z = x @ theta
-        h = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-        # The log loss, written so that no logarithm of zero arises.
-        cost = float((m * (np.maximum(z, 0) - y * z + np.log1p(np.exp(-np.abs(z))))).sum() / n)
-        theta = theta - alpha / n * (x.T @ (m * (h - y)))
+        loss, slope = _loss_and_slope(x @ theta, y)
+        cost = float((m * loss).sum() / n)
+        theta = theta - alpha / n * (x.T @ (m * slope))
     return cost, theta.tolist()
 
 
