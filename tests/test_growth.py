@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from textloom.operators import features as ft
 from textloom.operators import naive_bayes as nb
+from textloom.operators import overlap as ov
 
 
 def exchanges(df, text="Exchange hashpartitioning"):
@@ -85,3 +86,24 @@ def test_gradient_steps_compile_nothing(spark, monkeypatch):
     cost, theta = nb.gd_logistic(df, ["x0", "x1", "x2"], "y", 1e-4, 12)
     assert compiled() - before <= 3
     assert cost == pytest.approx(matrix[0], rel=1e-12) and theta == pytest.approx(matrix[1], rel=1e-9)
+
+
+def test_tasks_count_bounded_text(spark, monkeypatch):
+    """Ten times the text makes ten times the tasks, not larger ones; the counts stay the same."""
+    monkeypatch.setattr(ft, "COUNTED_CHARS", 400, raising=False)
+    monkeypatch.setattr(ov, "COUNTED_CHARS", 400, raising=False)
+    texts = [(i % 90, " ".join(f"w{(i * j) % 19}" for j in range(40)), " ".join(f"w{(i + j) % 7}" for j in range(30))) for i in range(100)]
+    df = spark.createDataFrame([*texts, (None, None, None)], "id bigint, a string, b string")
+    chars = sum(len(a) for _, a, _ in texts)
+    counts = ft.tfidf(df, "id", "a", min_df=1, max_df=1.0)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" in plan and f", {-(-chars // 400)}), REPARTITION_BY_NUM" in plan
+    want = Counter()
+    for key, a, _ in texts:
+        words = a.split()
+        want.update((key, g) for g in [*words, *(f"{x} {y}" for x, y in zip(words, words[1:]))])
+    assert {(r["id"], r["term"]): r["tf"] for r in counts.collect()} == dict(want)
+    tokens = [ov.punctuated_tokens(F.col(c)) for c in ("a", "b")]
+    rows = df.filter("id IS NOT NULL")
+    sized = ov.corpus_bleu(rows, ["id"], *tokens, F.length("a") + F.length("b"))
+    assert sized.first() == ov.corpus_bleu(rows, ["id"], *tokens).first()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.stem import stem_word
 from textloom.functions.text import ngrams
+from textloom.session import parts_of
 
 # Weights of the four BLEU orders.
 BLEU_WEIGHTS = {1: (1.0,), 2: (0.5, 0.5), 3: (0.33, 0.33, 0.33), 4: (0.25, 0.25, 0.25, 0.25)}
@@ -24,13 +25,19 @@ def punctuated_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f]"), F.lit(0))
 
 
-def corpus_bleu(df: DataFrame, key: list[str], pred_tokens: Column, ref_tokens: Column) -> DataFrame:
+# Characters of text whose n-grams one task counts.
+COUNTED_CHARS = 4_000_000
+
+
+def corpus_bleu(df: DataFrame, key: list[str], pred_tokens: Column, ref_tokens: Column, size: Column | None = None) -> DataFrame:
     """One row bleu1..bleu4 over the whole corpus, without smoothing.
 
     Pairs are placed once by key; counting and clipping the n-grams of a pair stays in its
-    partition, and only a few sums per order leave it.
+    partition, and only a few sums per order leave it. With ``size``, the length of a row's texts, a
+    task gets about COUNTED_CHARS, so that its n-grams fit in memory.
     """
-    pairs = df.select(*key, pred_tokens.alias("_p"), ref_tokens.alias("_r")).repartition(*key)
+    pairs = df.select(*key, pred_tokens.alias("_p"), ref_tokens.alias("_r"))
+    pairs = pairs.repartition(*key) if size is None else pairs.repartition(parts_of(df, size, COUNTED_CHARS), *key)
 
     def counted_grams(side: str, n: int) -> Column:
         marks = [F.lit(n).alias("order"), F.lit(int(side == "_p")).alias("p"), F.lit(int(side == "_r")).alias("r")]

@@ -177,7 +177,8 @@ BLEU = f"""WITH {QA_PAIRS},
 @query("corpus_bleu", BLEU)
 def corpus_bleu(spark, sf):
     tokens = ov.punctuated_tokens
-    scores = ov.corpus_bleu(answers(spark, sf), ["conv_id", "turn"], tokens(F.col("prediction")), tokens(F.col("reference")))
+    lengths = [F.coalesce(F.length(c), F.lit(0)) for c in ("prediction", "reference")]
+    scores = ov.corpus_bleu(answers(spark, sf), ["conv_id", "turn"], tokens(F.col("prediction")), tokens(F.col("reference")), sum(lengths, F.lit(0)))
     return rounded(scores, *scores.columns)
 
 
