@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from textloom.operators import features as ft
+from textloom.operators import models as ml
 from textloom.operators import naive_bayes as nb
 from textloom.operators import overlap as ov
 
@@ -107,3 +108,23 @@ def test_tasks_count_bounded_text(spark, monkeypatch):
     rows = df.filter("id IS NOT NULL")
     sized = ov.corpus_bleu(rows, ["id"], *tokens, F.length("a") + F.length("b"))
     assert sized.first() == ov.corpus_bleu(rows, ["id"], *tokens).first()
+
+
+def test_count_vectors_keep_no_tokens_in_memory(spark, monkeypatch):
+    """The fit stores its rows where a limit is a share; the words inside the limits are the same either way."""
+    stored = []
+
+    class Recorded(ml.CountVectorizer):
+        def fit(self, rows):
+            stored.append(self.getMinDF() < 1 or self.getMaxDF() < 1)
+            return super().fit(rows)
+
+    monkeypatch.setattr(ml, "CountVectorizer", Recorded)
+    texts = [" ".join(f"w{j:02}" for j in range(12) if i % (j + 1) == 0) for i in range(40)]
+    uses = Counter(w for t in texts for w in t.split())
+    df = spark.createDataFrame(list(enumerate(texts)) + [(40, "")], "id int, text string").repartition(3)
+    for least, most in ((5, 0.7), (0.1, 0.5), (0.001, 30), (2, 40)):
+        low, high = (x * 41 if x < 1 else x for x in (least, most))
+        found = ml.count_vectors(df, "id", "text", min_df=least, max_df=most).vocabulary
+        assert set(found) == {w for w, n in uses.items() if low <= n <= high}
+    assert stored == [False] * 4

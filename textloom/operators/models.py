@@ -53,8 +53,12 @@ def count_vectors(
     """Sparse count vectors over the most frequent terms inside the document-frequency limits."""
     tokens = tx.drop_stop_words(word_tokens(F.col(text)), stop_words)
     rows = pin(df.select(key, tokens.alias("_tokens")), "count-tokens")
+    # Given shares, the fit keeps all tokens in memory as objects to count the rows; given numbers, it reads them once.
+    n = rows.count()
+    least = max(min_df * n, 1.0) if min_df < 1 else min_df
+    most = max_df * n if max_df < 1 <= max_df * n else max_df
     model = CountVectorizer(
-        inputCol="_tokens", outputCol="features", vocabSize=max_features, minDF=min_df, maxDF=max_df
+        inputCol="_tokens", outputCol="features", vocabSize=max_features, minDF=least, maxDF=most
     ).fit(rows)
     return CountRows(model.transform(rows).select(key, "features"), key, model.vocabulary)
 
