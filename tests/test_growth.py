@@ -1,8 +1,10 @@
 """Work that must not grow faster than the input: counted shuffles and compilations, and values beyond the small tables."""
 
+import itertools
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +130,44 @@ def test_count_vectors_keep_no_tokens_in_memory(spark, monkeypatch):
         found = ml.count_vectors(df, "id", "text", min_df=least, max_df=most).vocabulary
         assert set(found) == {w for w, n in uses.items() if low <= n <= high}
     assert stored == [False] * 4
+
+
+def test_stretches_are_bounded_and_whole(monkeypatch):
+    from textloom.functions import batches
+
+    monkeypatch.setattr(batches, "HELD_BYTES", 10)
+    texts = pa.array(["aaaa", "bbbbb", None, "c", "d" * 30, "", None, "ä" * 5, "e"])
+    found = list(batches.stretches(texts))
+    assert sum(n for _, n in found) == len(texts)
+    assert [start for start, _ in found] == [0, *itertools.accumulate(n for _, n in found)][:-1]
+    assert all(n == 1 or sum(len((t or "").encode()) for t in texts.slice(s, n).to_pylist()) <= 10 for s, n in found)
+    assert list(batches.stretches(texts.slice(4, 2))) == [(0, 1), (1, 1)]
+    assert list(batches.stretches(pa.array([], pa.string()))) == []
+
+
+def test_ranges_hold_a_bounded_piece(monkeypatch):
+    from textloom.functions import batches
+    from textloom.sources import records
+
+    monkeypatch.setattr(batches, "HELD_BYTES", 100)
+    rows = [("a", 0, f"line {i}") for i in range(200)] + [("a", 5000, "x" * 300), ("b", 0, "y")]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("file", "start", "value"), r)) for r in rows])
+    pieces = list(records.ranges(iter([batch])))
+    assert [(*key, v) for key, values in pieces for v in values] == rows
+    assert max(len(values) for _, values in pieces) <= 100 // len("line 0")
+
+
+def test_text_udfs_answer_in_bounded_batches(spark, monkeypatch):
+    """Encoded and parsed texts equal those of whole batches, also where texts are missing or empty."""
+    from textloom.functions import html as hp
+    from textloom.operators import encoding, web
+
+    texts = [None, "ab  c", "", "  ", None, "x " * 3_000_000, "ab", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(1).sortWithinPartitions("id")
+    ids = encoding.encode_column(F.col("text"), lambda w: [len(w), 7], before=[1], after=[2])
+    cut = encoding.encode_column(F.col("text"), lambda w: [len(w), 7], before=[1], after=[2], max_length=2)
+    rows = df.select("id", ids.alias("ids"), cut.alias("cut"), web.html_to_text(F.col("text")).alias("html")).collect()
+    for r, text in zip(sorted(rows), texts):
+        want = None if text is None else [1, *(x for w in text.split() for x in (len(w), 7)), 2]
+        assert r["ids"] == want and r["cut"] == (None if want is None else want[:2])
+        assert r["html"] == (None if text is None else hp.visible_text(text))

@@ -6,13 +6,18 @@ checked) and shipped to the tasks. Every task remembers the words it has encoded
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.batches import stretches
+
 MAX_VOCAB = 100_000
 WORD_CACHE = 200_000
 
@@ -25,23 +30,30 @@ def encode_column(
     max_length: int | None = None,
 ) -> Column:
     """Ids of every whitespace word in turn, optionally wrapped and truncated."""
-    head, tail = before or [], after or []
+    head, tail = array("i", before or []), array("i", after or [])
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cached = lru_cache(WORD_CACHE)(word_ids)
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        cached = lru_cache(WORD_CACHE)(lambda word: array("i", word_ids(word)))
         for texts in batches:
-            out = []
-            for content in texts:
-                if content is None:
-                    out.append(None)
-                    continue
-                ids = list(head)
-                for word in content.split():
-                    ids.extend(cached(word))
-                ids.extend(tail)
-                out.append(ids if max_length is None else ids[:max_length])
-            yield pd.Series(out)
+            for start, n in stretches(texts):
+                ids, ends, missing = array("i"), np.zeros(n + 1, np.int32), np.zeros(n + 1, bool)
+                for i, content in enumerate(texts.slice(start, n).to_pylist()):
+                    begin = len(ids)
+                    if content is None:
+                        missing[i] = True
+                    else:
+                        ids.extend(head)
+                        for word in content.split():
+                            ids.extend(cached(word))
+                        ids.extend(tail)
+                        if max_length is not None:
+                            kept = ids[begin:][:max_length]
+                            del ids[begin:]
+                            ids.extend(kept)
+                    ends[i + 1] = len(ids)
+                values = pa.array(np.frombuffer(ids, np.int32)) if ids else pa.array([], pa.int32())
+                yield pa.ListArray.from_arrays(pa.array(ends, mask=missing), values)
 
     return encode(text)
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import html as hp
+from textloom.functions.batches import stretches
 from textloom.functions.text import quote_url, unescape_entities
 
 # Hosts and file types that are never collected.
@@ -25,9 +27,11 @@ PUBMED_PAGE = "https://pubmed.ncbi.nlm.nih.gov/"
 
 
 def _text_of(html: Column, reader) -> Column:
-    @F.pandas_udf("string")
-    def read(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda p: None if p is None else reader(p))
+    @F.arrow_udf("string")
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages in batches:
+            for start, n in stretches(pages):
+                yield pa.array([None if p is None else reader(p) for p in pages.slice(start, n).to_pylist()], pa.string())
 
     return read(html)
 

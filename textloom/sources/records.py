@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.functions.batches import stretches
 from textloom.session import collect_bounded, pin
 
 # Byte ranges of one read, whose summaries (a few numbers each) the driver puts in order.
@@ -72,12 +73,13 @@ def json_scanner(chunk: str, state: State) -> State:
 def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], list[str]]]:
     """The chunks of a partition, range by range, in pieces."""
     for batch in batches:
-        names, starts, values = (batch.column(c).to_pylist() for c in ("file", "start", "value"))
-        begin = 0
-        for i in range(1, len(names) + 1):
-            if i == len(names) or names[i] != names[begin] or starts[i] != starts[begin]:
-                yield (names[begin], starts[begin]), values[begin:i]
-                begin = i
+        for at, n in stretches(batch.column("value")):
+            names, starts, values = (batch.column(c).slice(at, n).to_pylist() for c in ("file", "start", "value"))
+            begin = 0
+            for i in range(1, len(names) + 1):
+                if i == len(names) or names[i] != names[begin] or starts[i] != starts[begin]:
+                    yield (names[begin], starts[begin]), values[begin:i]
+                    begin = i
 
 
 def starting_states(chunks: DataFrame, scan: Scanner) -> tuple[dict[tuple[str, int], State], list[tuple[str, State]]]:
