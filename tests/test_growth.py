@@ -13,6 +13,7 @@ from textloom.operators import features as ft
 from textloom.operators import models as ml
 from textloom.operators import naive_bayes as nb
 from textloom.operators import overlap as ov
+from textloom.operators import vectors as vt
 
 
 def exchanges(df, text="Exchange hashpartitioning"):
@@ -171,3 +172,19 @@ def test_text_udfs_answer_in_bounded_batches(spark, monkeypatch):
         want = None if text is None else [1, *(x for w in text.split() for x in (len(w), 7)), 2]
         assert r["ids"] == want and r["cut"] == (None if want is None else want[:2])
         assert r["html"] == (None if text is None else hp.visible_text(text))
+
+
+def test_vector_grid_takes_arrow_blocks(spark, monkeypatch):
+    """A block reaches Python as Arrow, not as an object a row; the result is that of shipped queries; vectors of two lengths are refused."""
+    rows = [(i, [float((i * j) % 7) for j in range(1, 6)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, vector array<float>").repartition(3)
+    queries = df.select(F.col("id").alias("query_id"), "vector")
+    want = sorted(map(tuple, vt.nearest(queries, df, 4).collect()))
+    monkeypatch.setattr(vt, "MAX_SHIPPED_NUMBERS", 10)
+    found = vt.nearest(queries, df, 4)
+    assert exchanges(found, "FlatMapCoGroupsInArrow") == 1
+    assert vt.QUERY_BLOCK + vt.VECTOR_BLOCK <= 40_000
+    assert sorted(map(tuple, found.collect())) == want and len(want) == 240
+    for odd in (pa.array([[1.0], [1.0, 2.0], None]), pa.array([[1.0], None]), pa.array([None], pa.list_(pa.float32()))):
+        with pytest.raises(ValueError, match="one length"):
+            vt._arrow_matrix(pa.chunked_array([odd]))
