@@ -13,6 +13,7 @@ from textloom.operators import features as ft
 from textloom.operators import models as ml
 from textloom.operators import naive_bayes as nb
 from textloom.operators import overlap as ov
+from textloom.operators import unigram
 from textloom.operators import vectors as vt
 
 
@@ -188,3 +189,18 @@ def test_vector_grid_takes_arrow_blocks(spark, monkeypatch):
     for odd in (pa.array([[1.0], [1.0, 2.0], None]), pa.array([[1.0], None]), pa.array([None], pa.list_(pa.float32()))):
         with pytest.raises(ValueError, match="one length"):
             vt._arrow_matrix(pa.chunked_array([odd]))
+
+
+def test_unigram_seeds_are_cut_on_the_cluster(spark):
+    words = [("banana", 3), ("bandana", 2), ("anna", 1), ("nab", 1)]
+    counts = Counter()
+    for word, n in words:
+        for i in range(len(word)):
+            for j in range(i + 2, min(len(word), i + 4) + 1):
+                counts[word[i:j]] += n
+    ranked = sorted(((t, n) for t, n in counts.items() if n >= 2), key=lambda x: (-x[1] * len(x[0]), x[0]))
+    df = spark.createDataFrame(words, "word string, n bigint")
+    for seeds in (1, 7, len(ranked), 1000):
+        found = unigram.seed_pieces(df, seeds, 4)
+        assert exchanges(found, "TakeOrderedAndProject") == 0
+        assert sorted(map(tuple, found.collect())) == sorted(ranked[:seeds])

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.encoding import MAX_VOCAB, decode_column, encode_column
+from textloom.operators.ordering import row_index
 from textloom.session import collect_bounded, pin
 
 MARK = "▁"
@@ -156,7 +157,9 @@ def seed_pieces(words: DataFrame, seeds: int, longest: int) -> DataFrame:
     # The boundary mark may only open a piece.
     pieces = pieces.filter(F.instr(F.substring("token", 2, longest), MARK) == 0)
     counted = pieces.groupBy("token").agg(F.sum("n").alias("n")).filter("n >= 2")
-    return counted.orderBy(F.desc(F.col("n") * F.length("token")), "token").limit(seeds)
+    # A sort with a limit would send that many rows of every partition to the driver; positions are found on the cluster.
+    placed = row_index(counted, F.desc(F.col("n") * F.length("token")), "token", name="_place")
+    return placed.filter(F.col("_place") <= seeds).drop("_place")
 
 
 def unigram_train(
