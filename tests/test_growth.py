@@ -204,3 +204,29 @@ def test_unigram_seeds_are_cut_on_the_cluster(spark):
         found = unigram.seed_pieces(df, seeds, 4)
         assert exchanges(found, "TakeOrderedAndProject") == 0
         assert sorted(map(tuple, found.collect())) == sorted(ranked[:seeds])
+
+
+def test_nmf_reads_its_counts_once(spark):
+    """Counts are costly to make. One round's sums equal plain matrix products."""
+    cells = [(i, f"t{(i * j) % 9}", i % 4 + 1) for i in range(50) for j in (1, 2) if j == 1 or i % 9]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    counts = spark.createDataFrame(cells, "id long, term string, tf long").repartition(3).mapInArrow(counted, "id long, term string, tf long")
+    terms, h = ml.nmf_factors(counts, "id", 2, iterations=2, tolerance=0, inner=1)
+    assert read.value == len(cells)
+    assert terms == sorted({t for _, t, _ in cells})
+    a = np.zeros((50, len(terms)))
+    for i, t, n in cells:
+        a[i, terms.index(t)] = n
+    average = np.mean([n for *_, n in cells])
+    want = np.sqrt(average / 2) * np.abs(np.random.default_rng(42).standard_normal((2, len(terms)))) + 1e-9
+    for _ in range(2):
+        w = np.full((50, 2), np.sqrt(average / 2))
+        w *= (a @ want.T) / np.maximum(w @ (want @ want.T), 1e-12)
+        want = want * (w.T @ a) / np.maximum((w.T @ w) @ want, 1e-12)
+    assert np.allclose(h, want)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
@@ -101,11 +102,13 @@ def nmf_factors(
     tasks and send back W'W and W'A, summed over all rows; H (topics x kept terms) is all that the
     driver holds. Stops when a round lowers the error by less than ``tolerance`` of the first one.
     """
-    terms = sorted(r["term"] for r in collect_bounded(counts.select("term").distinct(), what="terms"))
-    place = {t: i for i, t in enumerate(terms)}
+    # The counts are computed once; all else is read from the rows.
     rows = pin(counts.groupBy(key).agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("tf").cast("double")).alias("tf")), "count-rows")
+    terms = sorted(r["term"] for r in collect_bounded(rows.select(F.explode("terms").alias("term")).distinct(), what="terms"))
+    words = pa.array(terms, pa.string())
     random = np.random.default_rng(seed)
-    total = counts.agg(F.avg("tf")).first()[0] or 1.0
+    average, square = rows.select(F.explode("tf").alias("tf")).agg(F.avg("tf"), F.sum(F.col("tf") ** 2)).first()
+    total, square = average or 1.0, square or 0.0
     h = np.sqrt(total / n_topics) * np.abs(random.standard_normal((n_topics, len(terms)))) + 1e-9
 
     def sums(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,15 +117,17 @@ def nmf_factors(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros((n_topics, n_topics + len(terms)))
             for batch in batches:
-                lists = zip(batch.column("terms").to_pylist(), batch.column("tf").to_pylist())
-                cells = [(np.array([place[t] for t in ts], int), np.array(n)) for ts, n in lists]
-                ah = np.array([n @ h.T[at] for at, n in cells])
+                found = batch.column("terms")
+                at = pc.index_in(found.flatten(), words).to_numpy(zero_copy_only=False)
+                row = pc.list_parent_indices(found).to_numpy(zero_copy_only=False)
+                n = batch.column("tf").flatten().to_numpy(zero_copy_only=False)
+                ah = np.stack([np.bincount(row, n * x[at], batch.num_rows) for x in h], axis=1)
                 w = np.full(ah.shape, np.sqrt(total / n_topics))
                 for _ in range(inner):
                     w *= ah / np.maximum(w @ gram, 1e-12)
                 out[:, :n_topics] += w.T @ w
-                for x, (at, n) in zip(w, cells):
-                    out[:, n_topics + at] += np.outer(x, n)
+                for topic, x in enumerate(w.T):
+                    out[topic, n_topics:] += np.bincount(at, n * x[row], len(terms))
             i, j = np.nonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(out[i, j])], ["i", "j", "x"])
 
@@ -131,7 +136,6 @@ def nmf_factors(
         total_sums[found["i"].to_numpy(), found["j"].to_numpy()] = found["x"].to_numpy()
         return total_sums[:, :n_topics], total_sums[:, n_topics:]
 
-    square = counts.agg(F.sum(F.col("tf").cast("double") ** 2)).first()[0] or 0.0
     errors: list[float] = []
     for _ in range(iterations):
         ww, wa = sums(h)
