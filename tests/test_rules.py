@@ -224,6 +224,14 @@ def test_word_vectors_bring_companions_together(spark):
     assert cos(rows["a0"], rows["a1"]) > cos(rows["a0"], rows["b1"])
 
 
+def test_word_vectors_train_on_every_core(spark, monkeypatch):
+    settings, real = [], ml.Word2Vec
+    monkeypatch.setattr(ml, "Word2Vec", lambda **given: settings.append(given) or real(**given))
+    df = spark.createDataFrame([("a b c a b c".split(),)] * 40, "t array<string>")
+    assert ml.word2vec(df, F.col("t"), size=4, epochs=1).count() == 3
+    assert settings[0]["numPartitions"] == spark.sparkContext.defaultParallelism
+
+
 def test_topics_separate_two_vocabularies(spark):
     random = np.random.default_rng(5)
     words = ["apple pear plum fig date".split(), "iron zinc lead gold tin".split()]
