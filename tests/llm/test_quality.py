@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -151,3 +152,31 @@ def test_without_labels_or_rows(spark, no_docs, corpus):
     assert quality.judged(no_docs, none).collect() == [] and quality.judged(no_docs, labels).collect() == []
     kept = [r for r in quality.judged(docs, none).collect() if r["kept"]]
     assert len(kept) == docs.filter("length(trim(translate(text, '\n', ''))) > 0").count()
+
+
+def test_the_model_keeps_few_bytes_a_run(spark, monkeypatch):
+    """Counts of runs, sorted and packed, instead of a hash and a logarithm each."""
+    monkeypatch.setattr(quality, "FILTER_BITS", (1 << 15, 1 << 16))
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(2000)}" for _ in range(500)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    fitted = {r["doc_id"] for r in quality.trusted_ids(labels).filter("fit").collect()}
+    three = {x for i in fitted for w in [texts[i].split()] for x in zip(w, w[1:], w[2:])}
+    runs = len(three) + len({x[1:] for x in three})
+    path = quality.fit(docs, labels).values.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert sum(f.stat().st_size for f in Path(path).iterdir()) < 8 * runs
+
+
+def test_batches_that_ask_nothing_and_many_batches(corpus, monkeypatch):
+    rows, docs, labels = corpus
+    model = quality.fit(docs, labels)
+    scored = lambda found: {r["doc_id"]: r["perplexity"] or 0.0 for r in found}
+    want = scored(quality.perplexities(docs, model).collect())
+    monkeypatch.setattr(quality, "BATCH_DOCUMENTS", 1)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = quality.perplexities(docs, model).collect()
+    finally:
+        docs.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows) and scored(got) == pytest.approx(want, rel=1e-12)
