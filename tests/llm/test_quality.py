@@ -180,3 +180,12 @@ def test_batches_that_ask_nothing_and_many_batches(corpus, monkeypatch):
     finally:
         docs.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == len(rows) and scored(got) == pytest.approx(want, rel=1e-12)
+
+
+def test_forgotten_words_keep_their_numbers(monkeypatch):
+    monkeypatch.setattr(quality, "CACHED_WORDS", 3)
+    words = [f"w{i}".encode() for i in range(6)]
+    ids = quality.Ids(quality.np.unique(quality.WordHashes().of(words[:5])))
+    first = {w: ids.of(w).tolist() for w in words}
+    assert sorted(n for n, _ in first.values()) == [0, 1, 2, 3, 4, 5] and first[words[5]] == [5, 6]
+    assert ids.of(b" ".join(words)).tolist() == [first[w][0] for w in words] + [6] and ids.of(b"").tolist() == [6]

@@ -34,10 +34,10 @@ SHARDS = 16
 SHARD_RUNS = 1_000_000
 GROUP_PARTITIONS = 16
 # Words of text whose runs are counted together before they are moved.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 300_000
 # Documents that ask the model together, and words of theirs.
 BATCH_DOCUMENTS = 8_000
-BATCH_RUNS = 1_500_000
+BATCH_RUNS = 500_000
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
