@@ -169,6 +169,46 @@ def test_pages_around_one_body_make_few_pairs(spark, monkeypatch):
     assert 0 < sum(counted) < 4_000
 
 
+@pytest.mark.parametrize("block", [5, 4_096])
+def test_parity_bits_lose_no_pair_and_leave_few_texts_to_move(spark, monkeypatch, block):
+    monkeypatch.setattr(dd, "BLOCK_SETS", block)
+    rows = near_copies()
+    # The second row of an id is another text.
+    rows.append((0, rows[1][1] + " and more"))
+    texts = spark.createDataFrame([(i, t) for i, t in rows if len(t) >= 5], "id int, text string")
+    ids = sorted({i for i, t in rows if len(t) >= 5})
+    every = [(a, b) for a in ids for b in ids if a < b]
+    asked = dd.pin(spark.createDataFrame(every, "a int, b int"))
+    found = {tuple(r) for r in dd._possible(asked, texts, 0.9, 5).collect()}
+    sets: dict = {}
+    for i, t in rows:
+        sets.setdefault(i, []).append({t[j : j + 5] for j in range(len(t) - 4)})
+    score = lambda a, b: max(len(x & y) / len(x | y) for x in sets[a] for y in sets[b])
+    assert {p for p in every if score(*p) >= 0.9} <= found
+    # What passes is hardly below the threshold.
+    assert all(score(*p) > 0.8 for p in found)
+
+
+def test_no_table_of_all_shingles_and_no_texts_of_hopeless_pairs(spark, monkeypatch):
+    """400 pages around one body: only their rarest shingles are written, and no text meets another."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    body = "".join(rng.choice(letters) for _ in range(1_000))
+    rows = [(i, body + "".join(rng.choice(letters) for _ in range(80))) for i in range(400)]
+    written, pin = {}, dd.pin
+
+    def counting(df, name="pin", *rest, **options):
+        out = pin(df, name, *rest, **options)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(dd, "pin", counting)
+    df = spark.createDataFrame(rows, "id int, t string")
+    assert dd.near_dup_dedup(df, "id", "t", 0.9).count() == 400
+    assert max(written.values()) < 400 * 1_076 / 5
+    assert written["possible-pairs"] == 0
+
+
 def test_sketches_hold_no_shingles(spark):
     df = spark.createDataFrame([(1, "a text of some length"), (2, "abc"), (3, None)], "id int, t string")
     sketch = dd.sketches(df, "id", "t", 0.9)
