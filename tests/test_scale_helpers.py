@@ -209,6 +209,19 @@ def test_no_table_of_all_shingles_and_no_texts_of_hopeless_pairs(spark, monkeypa
     assert written["possible-pairs"] == 0
 
 
+def test_sets_below_the_threshold_share_few_buckets():
+    """At 0.9, pairs of similarity 0.7 shared two buckets on average with bands of six."""
+    rng = np.random.default_rng(8)
+    bands, rows = dd.band_layout(0.9, max_hashes=dd.MAX_COORDINATES)
+    orders, shared, found = dd._coordinates(bands * rows), 0, 0
+    for _ in range(60):
+        some = rng.integers(0, 1 << 64, 1_190, dtype=np.uint64)
+        keys = [dd._band_keys(part, bands, rows, orders) for part in (some[:1_000], some[190:], some[:950])]
+        shared += int((keys[0] == keys[1]).sum())
+        found += bool((keys[0] == keys[2]).any())
+    assert found == 60 and shared < 60
+
+
 def test_sketches_hold_no_shingles(spark):
     df = spark.createDataFrame([(1, "a text of some length"), (2, "abc"), (3, None)], "id int, t string")
     sketch = dd.sketches(df, "id", "t", 0.9)
