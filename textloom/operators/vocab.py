@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.operators.ordering import row_index
 from textloom.session import fresh_path
@@ -44,9 +45,11 @@ def word_vocab(df: DataFrame, tokens: Column) -> DataFrame:
 def min_freq_vocab(df: DataFrame, key: str, tokens: Column, min_freq: int = 5) -> DataFrame:
     """(word, n, id): words seen often enough, numbered by first occurrence."""
     seen = df.select(key, F.posexplode(tokens).alias("pos", "word"))
-    stats = seen.groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "pos")).alias("first")
-    ).filter(F.col("n") >= min_freq)
+    first = F.struct(key, "pos")
+    if isinstance(df.schema[key].dataType, T.IntegralType):
+        # One number in the same order, a missing key first: a smallest struct would sort all words of a task.
+        first = F.coalesce(F.col(key).cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
+    stats = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first")).filter(F.col("n") >= min_freq)
     return row_index(stats, "first").select("word", "n", (F.col("row_index") - 1).alias("id"))
 
 
