@@ -1,7 +1,9 @@
 """Work that must not grow faster than the input: counted shuffles and compilations, and values beyond the small tables."""
 
+import hashlib
 import itertools
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,7 @@ from textloom.operators import overlap as ov
 from textloom.operators import unigram
 from textloom.operators import vectors as vt
 from textloom.operators import vocab as vc
+from textloom.plans import catalog_corpus as corpus
 
 
 def exchanges(df, text="Exchange hashpartitioning"):
@@ -276,3 +279,17 @@ def test_nmf_reads_its_counts_once(spark):
         w *= (a @ want.T) / np.maximum(w @ (want @ want.T), 1e-12)
         want = want * (w.T @ a) / np.maximum((w.T @ w) @ want, 1e-12)
     assert np.allclose(h, want)
+
+
+@pytest.mark.parametrize("most", [1000, 3])
+def test_pages_of_one_row_group_are_written_by_many_tasks(spark, monkeypatch, tmp_path, most):
+    monkeypatch.setattr(corpus, "WRITTEN_PAGES", most, raising=False)
+    asked, real = [], corpus.rd.read_html
+    monkeypatch.setattr(corpus.rd, "read_html", lambda spark, path: asked.append(path) or real(spark, path))
+    html = {i: f"<p>{i}</p>\n" * (i % 3) for i in range(60)}
+    spark.createDataFrame(list(html.items()), "page_id bigint, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    found = entry.queries()["read_html"](spark, str(tmp_path)).collect()
+    assert {r["page_id"]: (r["n_chars"], r["digest"]) for r in found} == {i: (len(t), hashlib.md5(t.encode()).hexdigest()) for i, t in html.items()}
+    files = list(Path(asked[0]).glob("page_id=*/part-*"))
+    writers = {f.name.split("-")[1] for f in files}
+    assert len(files) == len(found) == 60 and len(writers) >= (6 if most == 1000 else 12)
