@@ -192,6 +192,19 @@ def test_sparse_grid_equals_shipped_queries(spark, monkeypatch):
     assert {r[0] for r in shipped if r[0] == r[1] and r[3] == 1} == set(range(0, 80, 8))
 
 
+def test_documents_that_are_the_queries_are_weighed_once(spark, monkeypatch):
+    counted, real = [], rt.term_counts
+    monkeypatch.setattr(rt, "term_counts", lambda *given, **more: counted.append(given) or real(*given, **more))
+    rows = [(1, "red fox red"), (2, "red hen"), (3, ""), (4, None), (None, "fox den"), (2, "hen hut")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    held, asked = rt.sparse_weights(docs, "id", "text", docs, "id", "text")
+    assert len(counted) == 2
+    table = lambda df: {(r["id"], r["term"]): round(r["weight"], 12) for r in df.collect()}
+    own = table(rt.own_weights(docs, "id", "text"))
+    assert len(counted) == 3 and own == table(asked)
+    assert {k: w for k, w in own.items() if k[0] is not None} == table(held)
+
+
 def test_large_vocabularies_are_joined(spark, monkeypatch):
     df = spark.createDataFrame([(["a", "b", "x", "a", "c"],), (["c", "a"],), (["a"],)], "t array<string>")
     vocab = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "word string, id long")
